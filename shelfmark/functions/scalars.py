@@ -72,6 +72,15 @@ def round_half_up(col: Column, digits: int) -> Column:
     return F.round(col * F.lit(scale), 0) / F.lit(scale)
 
 
+def exact_avg(col: Column, digits: int = 6) -> Column:
+    """Average that does not depend on the order of summation, rounded half up.
+
+    Sums decimals instead of doubles, so every partitioning gives the same last digit. Eight
+    places of a value count; infinite values are left out.
+    """
+    return F.round(F.avg(col.try_cast("decimal(28,8)")), digits).cast("double")
+
+
 def discount_pct(price: Column, list_price: Column) -> Column:
     """Percent off the list price, 0 without a positive list price, null without a price."""
     pct = (list_price - price) * F.lit(100.0) / list_price

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scalars import round_half_up
+from shelfmark.functions.scalars import exact_avg, round_half_up
 from shelfmark.operators.median import group_medians
 
 PUBLISHER = "spec_publisher_vn"
@@ -15,14 +15,10 @@ PUBLISHER = "spec_publisher_vn"
 # Upper bounds of the discount tiers, in percent.
 TIER_BOUNDS = [10, 20, 30, 50]
 
-# Averages and correlations of doubles hang on the order of summation in the last digits.
+# Places of shares and correlations.
 DIGITS = 6
 
 
-def _avg(col: str | Column) -> Column:
-    return round_half_up(F.avg(col), DIGITS)
-
-
 def price_bucket(width: float) -> Column:
     """Lower bound of the fixed-width bucket a price falls into."""
     return F.floor(F.col("price") / F.lit(float(width))) * F.lit(float(width))
@@ -45,9 +41,9 @@ def kpi_cards(books: DataFrame, reviews: DataFrame) -> DataFrame:
     """One row: books, reviews, average price, average rating, share of books with reviews."""
     per_books = books.agg(
         F.count(F.lit(1)).alias("books"),
-        _avg("price").alias("avg_price"),
-        _avg("rating_average").alias("avg_rating"),
-        _avg(F.col("has_reviews").cast("double")).alias("share_with_reviews"),
+        exact_avg(F.col("price")).alias("avg_price"),
+        exact_avg(F.col("rating_average")).alias("avg_rating"),
+        exact_avg(F.col("has_reviews").cast("double")).alias("share_with_reviews"),
     )
     per_reviews = reviews.agg(F.count(F.lit(1)).alias("reviews"))
     both = per_books.unionByName(per_reviews, allowMissingColumns=True)
@@ -72,7 +68,7 @@ def top_publishers(books: DataFrame, n: int = 10) -> DataFrame:
     named = books.where(F.col(PUBLISHER).isNotNull())
     return (
         named.groupBy(PUBLISHER)
-        .agg(F.count(F.lit(1)).alias("books"), _avg("price").alias("avg_price"))
+        .agg(F.count(F.lit(1)).alias("books"), exact_avg(F.col("price")).alias("avg_price"))
         .orderBy(F.desc("books"), PUBLISHER)
         .limit(n)
     )
@@ -141,8 +137,8 @@ def reviews_by_star(reviews: DataFrame) -> DataFrame:
 def verified_split(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("reviewer_purchased").agg(
         F.count(F.lit(1)).alias("reviews"),
-        _avg("rating").alias("avg_rating"),
-        _avg("thank_count").alias("avg_thanks"),
+        exact_avg(F.col("rating")).alias("avg_rating"),
+        exact_avg(F.col("thank_count")).alias("avg_thanks"),
     )
 
 
@@ -162,21 +158,21 @@ def discount_tiers(books: DataFrame) -> DataFrame:
     known = books.where(F.col("discount_pct").isNotNull())
     return known.groupBy(discount_tier(F.col("discount_pct")).alias("tier")).agg(
         F.count(F.lit(1)).alias("books"),
-        _avg("rating_average").alias("avg_rating"),
-        _avg("quantity_sold").alias("avg_quantity_sold"),
+        exact_avg(F.col("rating_average")).alias("avg_rating"),
+        exact_avg(F.col("quantity_sold")).alias("avg_quantity_sold"),
     )
 
 
 def discount_by_publisher(books: DataFrame) -> DataFrame:
     named = books.where(F.col(PUBLISHER).isNotNull())
-    return named.groupBy(PUBLISHER).agg(_avg("discount_pct").alias("avg_discount_pct"))
+    return named.groupBy(PUBLISHER).agg(exact_avg(F.col("discount_pct")).alias("avg_discount_pct"))
 
 
 def _by_price(books: DataFrame, width: float, measures: Mapping[str, str]) -> DataFrame:
     priced = books.where(F.col("price").isNotNull())
     return priced.groupBy(price_bucket(width).alias("price_from")).agg(
         F.count(F.lit(1)).alias("books"),
-        *(_avg(col).alias(alias) for alias, col in measures.items()),
+        *(exact_avg(F.col(col)).alias(alias) for alias, col in measures.items()),
     )
 
 

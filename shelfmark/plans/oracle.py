@@ -160,7 +160,10 @@ def _add(name: str, sql: str, ctes: str = "") -> None:
 
 
 def _avg(expression: str) -> str:
-    return f"round(avg({expression}) * 1e6, 0) / 1e6"
+    """Average to six places, half up, from a whole-number sum of the values times 10^8."""
+    total = f"sum(CAST(round(({expression}) * 1e8) AS HUGEINT))"
+    n = f"count({expression})"
+    return f"sign({total}) * ((2 * abs({total}) + 100 * {n}) // (200 * {n})) / 1e6"
 
 
 # --- sources and sinks -----------------------------------------------------------------------
