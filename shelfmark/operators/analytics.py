@@ -15,6 +15,9 @@ PUBLISHER = "spec_publisher_vn"
 # Upper bounds of the discount tiers, in percent.
 TIER_BOUNDS = [10, 20, 30, 50]
 
+# What an underpriced book is judged by.
+MEASURES = ["price", "rating_average", "review_count"]
+
 # Places of shares and correlations.
 DIGITS = 6
 
@@ -185,10 +188,12 @@ def price_vs_sales(books: DataFrame, width: float) -> DataFrame:
 
 
 def underpriced_books(books: DataFrame) -> DataFrame:
-    """Books cheaper than their publisher's median, with rating and review count above theirs."""
-    measures = ["price", "rating_average", "review_count"]
-    wanted = books.select("product_id", "name", PUBLISHER, *measures)
-    medians = group_medians(wanted, PUBLISHER, measures)
+    """Books cheaper than their publisher's median, with rating and review count above theirs.
+
+    Reads `books` three times, so pass a written table.
+    """
+    wanted = books.select("product_id", "name", PUBLISHER, *MEASURES)
+    medians = group_medians(wanted, PUBLISHER, MEASURES)
     return (
         wanted.join(medians, PUBLISHER)
         .where(F.col("price") < F.col("median_price"))

@@ -81,6 +81,12 @@ def _reviews(spark, sf_dir):
     return models.fct_reviews(_stg_reviews(spark, sf_dir), _books(spark, sf_dir))
 
 
+def _facts(spark, sf_dir):
+    """Books as a written table, and the reviews joined to it, for plans that need both."""
+    books = tables.materialize(_books(spark, sf_dir), "books")
+    return books, models.fct_reviews(_stg_reviews(spark, sf_dir), books)
+
+
 # --- sources and sinks -----------------------------------------------------------------------
 
 
@@ -500,12 +506,12 @@ def scd2_merge(spark, sf_dir):
     """The last run merged into the history of all runs before it."""
     runs = _price_runs(spark, sf_dir)
     last = runs.agg(F.max("extracted_at")).first()[0]
-    before = _backfill(runs.where(F.col("extracted_at") < last))
+    # The earlier history does not know the last run; what it left open is still open.
+    before = tables.materialize(_backfill(runs.where(F.col("extracted_at") < last)), "history")
     source = rows.latest_per_key(
         runs.where(F.col("extracted_at") == last), ["product_id"], order="seen_at", ties=[]
     )
     now = S.run_timestamp(F.lit(last))
-    # The earlier history does not know the last run; what it left open is still open.
     merged = history.scd2_merge(before, source, "product_id", HISTORY_CHECK, now)
     return _history_columns(merged)
 
@@ -611,7 +617,9 @@ def price_sales_corr(spark, sf_dir):
 
 @query
 def underpriced_books(spark, sf_dir):
-    return A.underpriced_books(_books(spark, sf_dir))
+    columns = ["product_id", "name", A.PUBLISHER, *A.MEASURES]
+    books = _books(spark, sf_dir).select(*columns)
+    return A.underpriced_books(tables.materialize(books, "books"))
 
 
 # --- data quality ----------------------------------------------------------------------------
@@ -695,12 +703,14 @@ def dq_rating_range(spark, sf_dir):
 
 @query
 def dq_review_count(spark, sf_dir):
-    return quality.dq_review_count(_books(spark, sf_dir), _reviews(spark, sf_dir))
+    books, reviews = _facts(spark, sf_dir)
+    return quality.dq_review_count(books, reviews)
 
 
 @query
 def dq_review_orphans(spark, sf_dir):
-    return quality.dq_review_orphans(_reviews(spark, sf_dir), _books(spark, sf_dir))
+    books, reviews = _facts(spark, sf_dir)
+    return quality.dq_review_orphans(reviews, books)
 
 
 @query
