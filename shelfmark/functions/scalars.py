@@ -15,6 +15,9 @@ MAX_EPOCH_SECONDS = 9_223_372_036
 # Spark's own text-to-double cast also takes Java suffixes ("1d", "2f"), which are not numbers here.
 _NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
+# Digits that are JSON as they stand and fit a bigint.
+_DIGITS = r"^-?(0|[1-9]\d{0,17})$"
+
 
 def to_number(col: Column, dtype: T.DataType = T.StringType()) -> Column:
     """Number, or null where the value does not read as one. NaN counts as missing."""
@@ -43,7 +46,14 @@ def extract_quantity(col: Column, dtype: T.DataType = T.StringType()) -> Column:
             return F.lit(None).cast("bigint")
         return col.getField("value").try_cast("bigint")
     if isinstance(dtype, T.StringType):
-        col, dtype = F.try_parse_json(col), T.VariantType()
+        # Each text is parsed at most once, and plain digits not at all.
+        parsed = F.try_parse_json(col)
+        is_object = F.startswith(F.ltrim(col, F.lit(" \t\r\n")), F.lit("{"))
+        return (
+            F.when(col.rlike(_DIGITS), col.try_cast("bigint"))
+            .when(is_object, F.try_variant_get(parsed, "$.value", "bigint"))
+            .otherwise(F.try_variant_get(parsed, "$", "bigint"))
+        )
     if isinstance(dtype, T.VariantType):
         return F.coalesce(
             F.try_variant_get(col, "$.value", "bigint"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,31 +37,29 @@ KNOWN_SPECS = [
 
 SPEC_PREFIX = "spec_"
 
-# JSON texts of a code that counts as not given.
+# The usual shape. Text that does not fit is read element by element instead.
+_USUAL = "array<struct<attributes array<struct<code string, name string, value string>>>>"
+_STRICT = {"allowSingleQuotes": "false"}
+
+# JSON texts of a code that counts as not given, and how a typed read shows them.
 _EMPTY_CODE = ["null", '""', "0", "0.0", "false", "[]", "{}"]
+_EMPTY_LOOK = ["", "null", "0", "0.0", "false", "[]", "{}"]
 
+_ITEMS = "array<struct<ok:boolean,gi:int,ai:int,k:string,v:string>>"
 
-def _json(variant: Column, path: str) -> Column:
-    return F.to_json(F.try_variant_get(variant, path, "variant"))
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
-def _is_object(variant: Column) -> Column:
-    return F.schema_of_variant(variant).startswith("OBJECT<")
 
-
-def _attribute_key(attr: Column) -> Column:
-    code = _json(attr, "$.code")
-    name = F.try_variant_get(attr, "$.name", "string")
-    null_name = F.is_variant_null(F.try_variant_get(attr, "$.name", "variant"))
-    label = F.when(
-        code.isNotNull() & ~code.isin(_EMPTY_CODE), F.try_variant_get(attr, "$.code", "string")
-    ).otherwise(F.coalesce(name, F.when(null_name, F.lit("none")), F.lit("unknown")))
+def _key(label: Column) -> Column:
     return F.replace(F.lower(F.concat(F.lit(SPEC_PREFIX), label)), F.lit(" "), F.lit("_"))
 
 
-def _item(ok: Column, gi: Column, ai: Column, key: Column, value: Column) -> Column:
+def _item(ok: bool | Column, gi: Column, ai: Column, key: Column, value: Column) -> Column:
     return F.struct(
-        ok.alias("ok"),
+        (F.lit(ok) if isinstance(ok, bool) else ok).alias("ok"),
         gi.cast("int").alias("gi"),
         ai.cast("int").alias("ai"),
         key.alias("k"),
@@ -67,55 +67,86 @@ def _item(ok: Column, gi: Column, ai: Column, key: Column, value: Column) -> Col
     )
 
 
-def spec_items(text: Column) -> Column:
-    """array<struct<ok, gi, ai, k, v>> in document order, up to the first malformed element.
+def _usual_items(text: Column) -> Column:
+    """Items of well-formed text; null when any element is unusual in shape or code."""
 
-    `gi` and `ai` are the positions of the group and of the attribute in it. Text that is no
-    JSON array gives an empty array. Reading stops at the first group that is no object, whose
-    `attributes` is no list, or at the first attribute that is no object; pairs before it stay.
-    """
-    no_text = F.lit(None).cast("string")
+    def plain(attr: Column) -> Column:
+        code = F.coalesce(attr["code"], F.lit(""))
+        by_name = (code == "") & attr["name"].isNotNull()
+        return attr.isNotNull() & (by_name | ~code.isin(_EMPTY_LOOK))
 
-    def group_items(group: Column, gi: Column) -> Column:
-        listed = F.try_variant_get(group, "$.attributes", "array<variant>")
-        raw = _json(group, "$.attributes")
-        empty = raw.isNull() | raw.isin('""', "{}")
-        bad = F.array(_item(F.lit(False), gi, F.lit(-1), no_text, no_text))
+    def whole(group: Column) -> Column:
+        listed = group["attributes"]
+        return group.isNotNull() & listed.isNotNull() & F.forall(listed, plain)
 
-        def attr_item(attr: Column, ai: Column) -> Column:
-            return _item(
-                F.coalesce(_is_object(attr), F.lit(False)),
-                gi,
-                ai,
-                _attribute_key(attr),
-                F.try_variant_get(attr, "$.value", "string"),
-            )
+    def items(group: Column, gi: Column) -> Column:
+        def item(attr: Column, ai: Column) -> Column:
+            code = attr["code"]
+            label = F.when(code != "", code).otherwise(attr["name"])
+            return _item(True, gi, ai, _key(label), attr["value"])
 
-        items = F.when(listed.isNotNull(), F.transform(listed, attr_item))
-        items = items.when(empty, F.slice(bad, 1, 0)).otherwise(bad)
-        return F.when(F.coalesce(_is_object(group), F.lit(False)), items).otherwise(bad)
+        return F.transform(group["attributes"], item)
 
-    groups = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
-    items = F.flatten(F.transform(groups, group_items))
-    first_bad = F.array_position(F.transform(items, lambda i: i["ok"]), False)
-    kept = F.when(first_bad > 0, F.slice(items, F.lit(1), first_bad.cast("int") - 1))
-    return F.coalesce(kept.otherwise(items), F.slice(items, 1, 0), F.array().cast(_ITEMS))
+    typed = F.when(
+        F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, _USUAL, _STRICT)
+    )
+    return _bind(
+        typed,
+        lambda groups: F.when(
+            F.coalesce(F.forall(groups, whole), F.lit(False)),
+            F.flatten(F.transform(groups, items)),
+        ),
+    )
 
 
-_ITEMS = "array<struct<ok:boolean,gi:int,ai:int,k:string,v:string>>"
+def _json(variant: Column, path: str) -> Column:
+    return F.to_json(F.try_variant_get(variant, path, "variant"))
+
 
+def _is_object(variant: Column) -> Column:
+    return F.coalesce(F.startswith(F.to_json(variant), F.lit("{")), F.lit(False))
 
-def spec_map(text: Column) -> Column:
-    """map<key, value>, a later attribute replacing an earlier one of the same key."""
-    items = spec_items(text)
 
-    def is_last(pairs: Column) -> Column:
-        backwards = F.reverse(F.transform(pairs, lambda p: p["k"]))
-        return F.filter(
-            pairs,
-            lambda p, i: F.array_position(backwards, p["k"]) == F.size(pairs).cast("bigint") - i,
+def _exact_items(text: Column) -> Column:
+    """Items of any text, one at a time, up to the first malformed group or attribute."""
+    nothing = F.lit(None).cast("string")
+
+    def label(attr: Column) -> Column:
+        code = _json(attr, "$.code")
+        name = F.try_variant_get(attr, "$.name", "string")
+        null_name = F.is_variant_null(F.try_variant_get(attr, "$.name", "variant"))
+        given = code.isNotNull() & ~code.isin(_EMPTY_CODE)
+        return F.when(given, F.try_variant_get(attr, "$.code", "string")).otherwise(
+            F.coalesce(name, F.when(null_name, F.lit("none")), F.lit("unknown"))
         )
 
-    # The one-element array binds the parsed items to a name, so the text is read once.
-    deduped = F.transform(F.array(items), is_last)[0]
-    return F.map_from_entries(F.transform(deduped, lambda p: F.struct(p["k"], p["v"])))
+    def items(group: Column, gi: Column) -> Column:
+        def item(attr: Column, ai: Column) -> Column:
+            value = F.try_variant_get(attr, "$.value", "string")
+            return _item(_is_object(attr), gi, ai, _key(label(attr)), value)
+
+        bad = F.array(_item(False, gi, F.lit(-1), nothing, nothing))
+        listed = F.try_variant_get(group, "$.attributes", "array<variant>")
+        raw = _json(group, "$.attributes")
+        # Absent, empty text and an empty object hold no attribute, which is no fault.
+        empty = raw.isNull() | raw.isin('""', "{}")
+        found = F.when(listed.isNotNull(), F.transform(listed, item))
+        found = found.when(empty, F.slice(bad, 1, 0)).otherwise(bad)
+        return F.when(_is_object(group), found).otherwise(bad)
+
+    def until_bad(found: Column) -> Column:
+        first_bad = F.array_position(F.transform(found, lambda i: i["ok"]), False).cast("int")
+        return F.when(first_bad > 0, F.slice(found, F.lit(1), first_bad - 1)).otherwise(found)
+
+    groups = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    return _bind(F.flatten(F.transform(groups, items)), until_bad)
+
+
+def spec_items(text: Column) -> Column:
+    """array<struct<ok, gi, ai, k, v>> in document order, up to the first malformed element.
+
+    `gi` and `ai` are the positions of the group and of the attribute in it. Text that is no
+    JSON array gives an empty array. Reading stops at the first group that is no object, whose
+    `attributes` is no list, or at the first attribute that is no object; pairs before it stay.
+    """
+    return F.coalesce(_usual_items(text), _exact_items(text), F.array().cast(_ITEMS))

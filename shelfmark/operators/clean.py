@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as S
-from shelfmark.functions.specs import KNOWN_SPECS, SPEC_PREFIX, spec_items, spec_map
+from shelfmark.functions.specs import KNOWN_SPECS, SPEC_PREFIX, spec_items
 from shelfmark.operators.rows import drop_if_present, drop_null_keys, latest_per_key
 
 # Listing columns that the detail record holds in better shape.
@@ -68,10 +68,18 @@ def pivot_specs(df: DataFrame, col: str, spec_keys: Sequence[str] = KNOWN_SPECS)
 
     Works inside the row: no explode, no grouping and no join back, hence no shuffle.
     """
-    pairs = "__specs"
     names = [k if k.startswith(SPEC_PREFIX) else SPEC_PREFIX + k for k in spec_keys]
-    mapped = df.withColumn(pairs, spec_map(F.col(col)))
-    return mapped.withColumns({n: F.col(pairs)[n] for n in names}).drop(pairs, col)
+    items, keys, values = "__items", "__keys", "__values"
+    # Read backwards: the first match is the last attribute of that key.
+    listed = df.withColumn(items, spec_items(F.col(col))).withColumns(
+        {keys: F.reverse(F.col(items)["k"]), values: F.reverse(F.col(items)["v"])}
+    )
+
+    last = {
+        name: F.expr(f"get({values}, cast(array_position({keys}, '{name}') AS int) - 1)")
+        for name in names
+    }
+    return listed.withColumns(last).drop(items, keys, values, col)
 
 
 def spec_keys(df: DataFrame, col: str, limit: int = MAX_SPEC_KEYS) -> list[str]:

@@ -35,6 +35,16 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return _files(spark, path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out to all cores; else `df` as it is.
+
+    A small file is one task however heavy its parsing. Large inputs have files enough and pass
+    through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
+
+
 def bronze_append(df: DataFrame, path: str, run: str) -> None:
     """Write one run into its own folder. Other runs stay untouched; a retried run replaces itself."""
     df.write.mode("overwrite").parquet(f"{path}/{RUN}={run}")

@@ -6,10 +6,10 @@ JSON) are planted by rules on the columns, so that every branch of the operators
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.functions.scalars import run_stamp
+from shelfmark.functions.scalars import RUN_STAMP
+from shelfmark.sources.bronze import spread
 
 # Latest-per-key needs a total order; these make one on the fixtures.
 LISTING_TIES = ["seller_product_id", "seller_id", "original_price"]
@@ -20,167 +20,147 @@ RUN = "20240301_000000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _text(prefix: str, col: str) -> Column:
-    return F.concat(F.lit(prefix), F.col(col))
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def _columns(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*(f"{sql} AS {name}" for name, sql in expressions.items()))
+
+
+_UNITS = "cast(l_quantity AS bigint)"
+_PAID = "l_extendedprice * (1 - l_discount)"
+
+_LISTING = {
+    "id": "l_partkey",
+    "sku": "concat('SKU-', l_partkey)",
+    "name": "CASE WHEN l_linenumber = 7 THEN '  ' ELSE concat('Book ', l_partkey) END",
+    "url_key": "concat('book-', l_partkey)",
+    "url_path": "concat('book-', l_partkey, '.html')",
+    "type": "l_linestatus",
+    "seller_id": "l_suppkey",
+    "seller_product_id": "l_orderkey * 10 + l_linenumber",
+    "price": f"CASE WHEN {_UNITS} = 1 THEN -({_PAID}) WHEN {_UNITS} <> 2 THEN {_PAID} END",
+    "list_price": """CASE WHEN l_discount = 0 THEN 0.0D
+        WHEN l_tax = 0.08D THEN l_extendedprice * 0.9D ELSE l_extendedprice END""",
+    "original_price": "l_extendedprice",
+    "discount": "l_extendedprice * l_discount",
+    "discount_rate": "l_discount",
+    "rating_average": """CASE WHEN NOT (l_returnflag = 'R' AND l_linestatus = 'O')
+        THEN l_linenumber * 0.8D END""",
+    "review_count": f"""CASE WHEN l_linenumber = 5 THEN NULL WHEN l_returnflag = 'N' THEN 0L
+        ELSE {_UNITS} * 2 END""",
+    "order_count": "cast(l_linenumber AS bigint)",
+    "favourite_count": "l_suppkey",
+    "quantity_sold": f"""CASE l_orderkey % 6 WHEN 0 THEN cast({_UNITS} AS string)
+        WHEN 1 THEN concat({_UNITS}, '.7')
+        WHEN 2 THEN to_json(named_struct('text', 'sold', 'value', {_UNITS}))
+        WHEN 3 THEN concat('"', {_UNITS}, '"')
+        WHEN 4 THEN 'n/a' END""",
+    "brand_name": "concat('Brand ', l_suppkey)",
+    "book_cover": "lower(l_returnflag)",
+    "has_ebook": "l_linestatus = 'O'",
+    "bundle_deal": "l_returnflag = 'R'",
+    "shippable": "l_tax > 0.02D",
+    "is_visible": "l_linenumber < 7",
+    "is_flower": "false",
+    "is_gift_card": "false",
+    "availability": "1L",
+    "inventory": "'stock'",
+    "salable_type": "l_linestatus",
+    "stock_item": "concat('item ', l_linenumber)",
+    "primary_category_path": "concat('1/2/', l_suppkey)",
+    "productset_id": "l_suppkey",
+    "productset_group_name": "concat('set ', l_returnflag)",
+    "thumbnail_url": "concat('thumb/', l_partkey)",
+    "thumbnail_width": "280L",
+    "thumbnail_height": "280L",
+    "url_review": "concat('review/', l_partkey)",
+    "author_name": "concat('Author ', l_suppkey)",
+    "short_description": "'short'",
+    "inventory_status": "'available'",
+    "extracted_at": f"date_format(l_shipdate, '{RUN_STAMP}')",
+}
 
 
 def listing_raw(lineitem: DataFrame) -> DataFrame:
     """Every order line is one extraction of its part as a product."""
-    units = F.col("l_quantity").cast("bigint")
-    paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    shape = F.col("l_orderkey") % 6
-    quantity = (
-        F.when(shape == 0, units.cast("string"))
-        .when(shape == 1, F.concat(units.cast("string"), F.lit(".7")))
-        .when(shape == 2, F.to_json(F.struct(F.lit("sold").alias("text"), units.alias("value"))))
-        .when(shape == 3, F.concat(F.lit('"'), units.cast("string"), F.lit('"')))
-        .when(shape == 4, F.lit("n/a"))
-    )
-    return lineitem.select(
-        F.col("l_partkey").alias("id"),
-        _text("SKU-", "l_partkey").alias("sku"),
-        F.when(F.col("l_linenumber") == 7, F.lit("  "))
-        .otherwise(_text("Book ", "l_partkey"))
-        .alias("name"),
-        _text("book-", "l_partkey").alias("url_key"),
-        F.concat(_text("book-", "l_partkey"), F.lit(".html")).alias("url_path"),
-        F.col("l_linestatus").alias("type"),
-        F.col("l_suppkey").alias("seller_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seller_product_id"),
-        F.when(units == 1, -paid).when(units != 2, paid).alias("price"),
-        F.when(F.col("l_discount") == 0, F.lit(0.0))
-        .when(F.col("l_tax") == 0.08, F.col("l_extendedprice") * 0.9)
-        .otherwise(F.col("l_extendedprice"))
-        .alias("list_price"),
-        F.col("l_extendedprice").alias("original_price"),
-        (F.col("l_extendedprice") * F.col("l_discount")).alias("discount"),
-        F.col("l_discount").alias("discount_rate"),
-        F.when(
-            ~((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")),
-            F.col("l_linenumber") * 0.8,
-        ).alias("rating_average"),
-        F.when(F.col("l_linenumber") == 5, F.lit(None).cast("bigint"))
-        .when(F.col("l_returnflag") == "N", F.lit(0).cast("bigint"))
-        .otherwise(units * 2)
-        .alias("review_count"),
-        F.col("l_linenumber").cast("bigint").alias("order_count"),
-        F.col("l_suppkey").alias("favourite_count"),
-        quantity.alias("quantity_sold"),
-        _text("Brand ", "l_suppkey").alias("brand_name"),
-        F.lower("l_returnflag").alias("book_cover"),
-        (F.col("l_linestatus") == "O").alias("has_ebook"),
-        (F.col("l_returnflag") == "R").alias("bundle_deal"),
-        (F.col("l_tax") > 0.02).alias("shippable"),
-        (F.col("l_linenumber") < 7).alias("is_visible"),
-        F.lit(False).alias("is_flower"),
-        F.lit(False).alias("is_gift_card"),
-        F.lit(1).cast("bigint").alias("availability"),
-        F.lit("stock").alias("inventory"),
-        F.col("l_linestatus").alias("salable_type"),
-        _text("item ", "l_linenumber").alias("stock_item"),
-        _text("1/2/", "l_suppkey").alias("primary_category_path"),
-        F.col("l_suppkey").alias("productset_id"),
-        _text("set ", "l_returnflag").alias("productset_group_name"),
-        _text("thumb/", "l_partkey").alias("thumbnail_url"),
-        F.lit(280).cast("bigint").alias("thumbnail_width"),
-        F.lit(280).cast("bigint").alias("thumbnail_height"),
-        _text("review/", "l_partkey").alias("url_review"),
-        _text("Author ", "l_suppkey").alias("author_name"),
-        F.lit("short").alias("short_description"),
-        F.lit("available").alias("inventory_status"),
-        run_stamp(F.col("l_shipdate")).alias("extracted_at"),
-    )
-
-
-def specifications() -> Column:
-    """Groups of attributes from the columns of `part`, as JSON text.
-
-    A second publisher overrides the first when p_size is a multiple of 7. When it is a multiple of
-    11, a group that is no object stands before the last group.
-    """
-
-    def attribute(code: Column, name: str, value: Column) -> Column:
-        return F.struct(code.alias("code"), F.lit(name).alias("name"), value.alias("value"))
-
-    def group(name: str, *attributes: Column) -> Column:
-        return F.to_json(
-            F.struct(F.lit(name).alias("name"), F.array(*attributes).alias("attributes"))
-        )
-
-    general = group(
-        "General",
-        attribute(F.lit("publisher_vn"), "Publisher", F.col("p_brand")),
-        attribute(F.lit(""), "Number Of Page", F.col("p_size").cast("string")),
-        attribute(F.lit("Book Cover"), "Cover", F.col("p_type")),
-    )
-    press = F.concat("p_brand", F.lit(" Press"))
-    second = group("More", attribute(F.lit("publisher_vn"), "Publisher", press))
-    more = F.when(F.col("p_size") % 7 == 0, second).otherwise('{"name":"More","attributes":[]}')
-    broken = F.when(F.col("p_size") % 11 == 0, F.lit("5,")).otherwise("")
-    number = F.concat(F.lit("978"), F.col("p_partkey"))
-    ids = group("Ids", attribute(F.lit("isbn13"), "ISBN", number))
-    return F.concat(F.lit("["), general, F.lit(","), more, F.lit(","), broken, ids, F.lit("]"))
+    return _columns(lineitem, _LISTING)
+
+
+def _group(name: str, *attributes: tuple[str, str, str]) -> str:
+    listed = ", ".join(
+        f"named_struct('code', {code}, 'name', {label}, 'value', {value})"
+        for code, label, value in attributes
+    )
+    return f"to_json(named_struct('name', '{name}', 'attributes', array({listed})))"
+
+
+_GENERAL = _group(
+    "General",
+    ("'publisher_vn'", "'Publisher'", "p_brand"),
+    ("''", "'Number Of Page'", "cast(p_size AS string)"),
+    ("'Book Cover'", "'Cover'", "p_type"),
+)
+_MORE = _group("More", ("'publisher_vn'", "'Publisher'", "concat(p_brand, ' Press')"))
+_IDS = _group("Ids", ("'isbn13'", "'ISBN'", "concat('978', p_partkey)"))
+
+# A second publisher overrides the first when p_size is a multiple of 7. When it is a multiple of
+# 11, a group that is no object stands before the last group.
+_SPECIFICATIONS = f"""concat('[', {_GENERAL}, ',',
+    CASE WHEN p_size % 7 = 0 THEN {_MORE} ELSE '{{"name":"More","attributes":[]}}' END, ',',
+    CASE WHEN p_size % 11 = 0 THEN '5,' ELSE '' END, {_IDS}, ']')"""
+
+_DETAIL = {
+    "product_id": "CASE WHEN p_size <= 40 THEN p_partkey END",
+    "name": "p_name",
+    "description": "concat('About ', p_name)",
+    "short_description": "p_type",
+    "price": """CASE WHEN p_size % 13 = 0 THEN 'n/a'
+        ELSE cast(p_retailprice + e.more AS string) END""",
+    "list_price": """CASE WHEN p_size % 5 = 0 THEN '0'
+        ELSE cast(p_retailprice * 1.25D AS string) END""",
+    "discount_rate": "20.0D",
+    "rating_average": """CASE WHEN p_size = 3 THEN 'unknown'
+        ELSE concat(p_size % 5 + 1, '.5') END""",
+    "review_count": """CASE WHEN p_size % 4 = 0 THEN concat(p_size, '.5')
+        ELSE cast(p_size AS string) END""",
+    "inventory_status": "CASE WHEN p_size % 2 = 0 THEN 'available' ELSE 'out_of_stock' END",
+    "specifications": _SPECIFICATIONS,
+    "images": "to_json(array(concat('img/', p_partkey)))",
+    "categories": "to_json(named_struct('id', p_size, 'name', p_type))",
+    "url_key": "concat('book-', p_partkey)",
+    "sku": "concat('SKU-', p_partkey)",
+    "extracted_at": "e.stamp",
+}
 
 
 def detail_raw(part: DataFrame) -> DataFrame:
     """Every part in two extractions; parts over size 40 came back without an id."""
-    runs = F.array(
-        F.struct(F.lit("20240101_000000").alias("stamp"), F.lit(1.0).alias("more")),
-        F.struct(F.lit("20240201_000000").alias("stamp"), F.lit(0.0).alias("more")),
-    )
-    size = F.col("p_size")
-    price = (F.col("p_retailprice") + F.col("e.more")).cast("string")
-    return part.withColumn("e", F.explode(runs)).select(
-        F.when(size <= 40, F.col("p_partkey")).alias("product_id"),
-        F.col("p_name").alias("name"),
-        _text("About ", "p_name").alias("description"),
-        F.col("p_type").alias("short_description"),
-        F.when(size % 13 == 0, F.lit("n/a")).otherwise(price).alias("price"),
-        F.when(size % 5 == 0, F.lit("0"))
-        .otherwise((F.col("p_retailprice") * 1.25).cast("string"))
-        .alias("list_price"),
-        F.lit(20.0).alias("discount_rate"),
-        F.when(size == 3, F.lit("unknown"))
-        .otherwise(F.concat((size % 5 + 1).cast("string"), F.lit(".5")))
-        .alias("rating_average"),
-        F.when(size % 4 == 0, F.concat(size.cast("string"), F.lit(".5")))
-        .otherwise(size.cast("string"))
-        .alias("review_count"),
-        F.when(size % 2 == 0, F.lit("available"))
-        .otherwise(F.lit("out_of_stock"))
-        .alias("inventory_status"),
-        specifications().alias("specifications"),
-        F.to_json(F.array(_text("img/", "p_partkey"))).alias("images"),
-        F.to_json(F.struct(size.alias("id"), F.col("p_type").alias("name"))).alias("categories"),
-        _text("book-", "p_partkey").alias("url_key"),
-        _text("SKU-", "p_partkey").alias("sku"),
-        F.col("e.stamp").alias("extracted_at"),
-    )
-
-
-def _props_k() -> Column:
-    return F.get_json_object("props", "$.k").cast("bigint")
-
-
-def _stars() -> Column:
-    kind = F.col("event_type")
-    return (
-        F.when(kind == "purchase", F.lit("5"))
-        .when(kind == "view", F.lit("4"))
-        .when(kind == "click", F.lit("3"))
-        .when(kind == "signup", F.lit("2.5"))
-        .otherwise(F.lit("x"))
-    )
-
-
-def _reviewed_product() -> Column:
-    known = F.when(F.col("event_type") == "error", -1 - F.col("user_id")).otherwise(
-        F.col("user_id")
-    )
-    return F.when(_props_k() != 0, known)
+    runs = """explode(array(named_struct('stamp', '20240101_000000', 'more', 1.0D),
+        named_struct('stamp', '20240201_000000', 'more', 0.0D))) AS e"""
+    return _columns(part.selectExpr("*", runs), _DETAIL)
+
+
+_K = "cast(get_json_object(props, '$.k') AS bigint)"
+_STARS = """CASE event_type WHEN 'purchase' THEN '5' WHEN 'view' THEN '4' WHEN 'click' THEN '3'
+    WHEN 'signup' THEN '2.5' ELSE 'x' END"""
+_EPOCH = "unix_timestamp(cast(ts AS timestamp))"
+
+_REVIEWS = {
+    "review_id": "event_id",
+    "product_id": f"""CASE WHEN {_K} <> 0
+        THEN CASE WHEN event_type = 'error' THEN -1 - user_id ELSE user_id END END""",
+    "rating": _STARS,
+    "title": "CASE WHEN event_type = 'signup' THEN '  ' ELSE event_type END",
+    "content": "props",
+    "thank_count": f"{_K} + again",
+    "created_at": f"""CASE event_id % 3 WHEN 0 THEN cast({_EPOCH} AS string)
+        WHEN 1 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') ELSE 'n/a' END""",
+    "reviewer_name": f"CASE WHEN {_K} % 10 = 3 THEN ' ' ELSE concat('user ', user_id) END",
+    "reviewer_purchased": "event_type = 'purchase'",
+    "extracted_at": f"""date_format(
+        cast(ts AS timestamp) + make_dt_interval(again), '{RUN_STAMP}')""",
+}
 
 
 def reviews_raw(events: DataFrame) -> DataFrame:
@@ -188,29 +168,20 @@ def reviews_raw(events: DataFrame) -> DataFrame:
 
     Errors review unknown products; events with k = 0 came back without a product.
     """
-    later = F.col("ts").cast("timestamp") + F.make_dt_interval(F.col("again"))
-    epoch = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
-    as_date = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    shape = F.col("event_id") % 3
-    return events.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        F.col("event_id").alias("review_id"),
-        _reviewed_product().alias("product_id"),
-        _stars().alias("rating"),
-        F.when(F.col("event_type") == "signup", F.lit("  "))
-        .otherwise(F.col("event_type"))
-        .alias("title"),
-        F.col("props").alias("content"),
-        (_props_k() + F.col("again")).alias("thank_count"),
-        F.when(shape == 0, epoch)
-        .when(shape == 1, as_date)
-        .otherwise(F.lit("n/a"))
-        .alias("created_at"),
-        F.when(_props_k() % 10 == 3, F.lit(" "))
-        .otherwise(_text("user ", "user_id"))
-        .alias("reviewer_name"),
-        (F.col("event_type") == "purchase").alias("reviewer_purchased"),
-        run_stamp(later).alias("extracted_at"),
-    )
+    return _columns(events.selectExpr("*", "explode(array(0, 1)) AS again"), _REVIEWS)
+
+
+_PRICE_RUNS = {
+    "product_id": "user_id",
+    "name": "concat('Book ', user_id, ' of ', event_id)",
+    "price": """CASE event_type WHEN 'click' THEN 10.0D WHEN 'purchase' THEN 30.0D
+        WHEN 'signup' THEN 40.0D WHEN 'view' THEN 50.0D END""",
+    "original_price": "value",
+    "discount_rate": f"{_K} % 2 * 10.0D",
+    "brand_name": "concat('Brand ', user_id)",
+    "seen_at": "ts",
+    "extracted_at": f"date_format(date_trunc('day', cast(ts AS timestamp)), '{RUN_STAMP}')",
+}
 
 
 def price_runs(events: DataFrame) -> DataFrame:
@@ -218,83 +189,40 @@ def price_runs(events: DataFrame) -> DataFrame:
 
     Users without an event on a day are absent from that run. `seen_at` orders rows of one run.
     """
-    kind = F.col("event_type")
-    price = (
-        F.when(kind == "click", F.lit(10.0))
-        .when(kind == "purchase", F.lit(30.0))
-        .when(kind == "signup", F.lit(40.0))
-        .when(kind == "view", F.lit(50.0))
-    )
-    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
-    return events.select(
-        F.col("user_id").alias("product_id"),
-        F.concat(F.lit("Book "), F.col("user_id"), F.lit(" of "), F.col("event_id")).alias("name"),
-        price.alias("price"),
-        F.col("value").alias("original_price"),
-        (_props_k() % 2 * 10.0).alias("discount_rate"),
-        _text("Brand ", "user_id").alias("brand_name"),
-        F.col("ts").alias("seen_at"),
-        run_stamp(day).alias("extracted_at"),
-    )
+    return _columns(events, _PRICE_RUNS)
+
+
+def _offer(product: str, sku: str, seller: str, price: str) -> str:
+    return f"""named_struct('id', {product}, 'sku', concat('{sku}', {product}),
+        'name', concat('Book ', {product}), 'seller_id', {seller}, 'price', {price},
+        'quantity_sold', CASE WHEN l_returnflag <> 'N'
+            THEN named_struct('text', 'sold', 'value', {_UNITS}) END,
+        'has_ebook', l_linestatus = 'O', 'badges', array('badge'))"""
 
 
 def listing_payload(lineitem: DataFrame) -> DataFrame:
     """One listing page per order line: the part, and the part as its supplier offers it."""
-
-    def item(product: str, sku: str, seller: Column, price: str) -> Column:
-        units = F.col("l_quantity").cast("bigint")
-        sold = F.struct(F.lit("sold").alias("text"), units.alias("value"))
-        return F.struct(
-            F.col(product).alias("id"),
-            _text(sku, product).alias("sku"),
-            _text("Book ", product).alias("name"),
-            seller.alias("seller_id"),
-            F.col(price).alias("price"),
-            F.when(F.col("l_returnflag") != "N", sold).alias("quantity_sold"),
-            (F.col("l_linestatus") == "O").alias("has_ebook"),
-            F.array(F.lit("badge")).alias("badges"),
-        )
-
-    none = F.lit(None).cast("bigint")
-    page = F.struct(
-        F.array(
-            item("l_partkey", "SKU-", F.col("l_suppkey"), "l_extendedprice"),
-            item("l_suppkey", "OWN-", none, "l_tax"),
-        ).alias("data")
-    )
-    return lineitem.select(F.to_json(page).alias("payload"))
+    line = _offer("l_partkey", "SKU-", "l_suppkey", "l_extendedprice")
+    own = _offer("l_suppkey", "OWN-", "cast(NULL AS bigint)", "l_tax")
+    page = f"named_struct('data', array({line}, {own}))"
+    return lineitem.selectExpr(f"to_json({page}) AS payload")
 
 
 def detail_payload(part: DataFrame) -> DataFrame:
     """One product response per part; odd sizes lack categories, multiples of 3 lack images."""
-    size = F.col("p_size")
-    images = F.array(
-        F.struct(_text("img/", "p_partkey").alias("base_url"), size.alias("position")),
-        F.struct(F.lit(None).cast("string").alias("base_url"), size.alias("position")),
-    )
-    response = F.struct(
-        F.col("p_partkey").alias("id"),
-        F.col("p_name").alias("name"),
-        _text("About ", "p_name").alias("description"),
-        F.col("p_retailprice").alias("price"),
-        size.alias("review_count"),
-        F.array(
-            F.struct(
-                F.lit("General").alias("name"),
-                F.array(
-                    F.struct(F.lit("brand").alias("code"), F.col("p_brand").alias("value"))
-                ).alias("attributes"),
-            )
-        ).alias("specifications"),
-        F.when(size % 3 != 0, images).alias("images"),
-        F.when(
-            size % 2 == 0, F.struct(size.alias("id"), F.col("p_type").alias("name"))
-        ).alias("categories"),
-        _text("SKU-", "p_partkey").alias("sku"),
-    )
-    return part.select(
-        F.to_json(response, {"ignoreNullFields": "true"}).alias("payload")
-    )
+    images = """array(
+        named_struct('base_url', concat('img/', p_partkey), 'position', p_size),
+        named_struct('base_url', cast(NULL AS string), 'position', p_size))"""
+    specifications = """array(named_struct('name', 'General',
+        'attributes', array(named_struct('code', 'brand', 'value', p_brand))))"""
+    response = f"""named_struct('id', p_partkey, 'name', p_name,
+        'description', concat('About ', p_name), 'price', p_retailprice,
+        'review_count', p_size, 'specifications', {specifications},
+        'images', CASE WHEN p_size % 3 <> 0 THEN {images} END,
+        'categories', CASE WHEN p_size % 2 = 0
+            THEN named_struct('id', p_size, 'name', p_type) END,
+        'sku', concat('SKU-', p_partkey))"""
+    return part.selectExpr(f"to_json({response}) AS payload")
 
 
 def reviews_payload(events: DataFrame) -> DataFrame:
@@ -302,25 +230,16 @@ def reviews_payload(events: DataFrame) -> DataFrame:
 
     Pages of viewers report as many reviews as the event's k.
     """
-    author = F.struct(
-        _text("user ", "user_id").alias("name"),
-        (F.col("event_type") == "purchase").alias("purchased"),
-    )
-
-    def review(shift: int, by: Column) -> Column:
-        return F.struct(
-            (F.col("event_id") * 2 + shift).alias("id"),
-            _stars().alias("rating"),
-            F.col("event_type").alias("title"),
-            (_props_k() + shift).alias("thank_count"),
-            F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"),
-            by.alias("created_by"),
-        )
-
-    nobody = F.when(F.lit(False), author)
-    total = F.when(F.col("event_type") == "view", _props_k()).otherwise(F.lit(2))
-    page = F.struct(
-        F.array(review(0, author), review(1, nobody)).alias("data"),
-        F.struct(total.alias("total")).alias("paging"),
-    )
-    return events.select(F.col("user_id").alias("product_id"), F.to_json(page).alias("payload"))
+    author = """named_struct('name', concat('user ', user_id),
+        'purchased', event_type = 'purchase')"""
+
+    def review(shift: int, by: str) -> str:
+        return f"""named_struct('id', event_id * 2 + {shift}, 'rating', {_STARS},
+            'title', event_type, 'thank_count', {_K} + {shift}, 'created_at', {_EPOCH},
+            'created_by', {by})"""
+
+    nobody = f"CASE WHEN false THEN {author} END"
+    total = f"CASE WHEN event_type = 'view' THEN {_K} ELSE 2L END"
+    page = f"""named_struct('data', array({review(0, author)}, {review(1, nobody)}),
+        'paging', named_struct('total', {total}))"""
+    return events.selectExpr("user_id AS product_id", f"to_json({page}) AS payload")
