@@ -33,10 +33,13 @@ def clean_listing(df: DataFrame, ties: Sequence[str] | None = None) -> DataFrame
 
 def clean_detail(
     df: DataFrame,
-    spec_keys: Sequence[str] = KNOWN_SPECS,
+    spec_keys: Sequence[str] | None = KNOWN_SPECS,
     ties: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Latest row per product; tolerant numbers; one `spec_` column per specification key."""
+    """Latest row per product; tolerant numbers; one `spec_` column per specification key.
+
+    With `spec_keys=None` the columns are the known keys and every other key of the latest rows.
+    """
     changed = {
         "rating_average": S.to_number(*_typed(df, "rating_average")),
         "review_count": S.to_int_nullable(S.to_number(*_typed(df, "review_count"))),
@@ -44,6 +47,10 @@ def clean_detail(
         "list_price": S.zero_to_null(S.to_number(*_typed(df, "list_price"))),
     }
     latest = latest_per_key(df, ["product_id"], ties=ties)
+    if spec_keys is None:
+        known = [SPEC_PREFIX + key for key in KNOWN_SPECS]
+        found = discover_spec_keys(latest, "specifications")
+        spec_keys = known + [key for key in found if key not in known]
     return pivot_specs(latest.withColumns(changed), "specifications", spec_keys)
 
 
@@ -63,6 +70,11 @@ def flatten_specs(df: DataFrame, id_col: str, col: str) -> DataFrame:
     return items.select(id_col, "item.gi", "item.ai", "item.k", "item.v")
 
 
+def _quoted(text: str) -> str:
+    """A SQL string literal; keys come from the data."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def pivot_specs(df: DataFrame, col: str, spec_keys: Sequence[str] = KNOWN_SPECS) -> DataFrame:
     """Replace the specification text by one column per key, null where the key is absent.
 
@@ -76,13 +88,13 @@ def pivot_specs(df: DataFrame, col: str, spec_keys: Sequence[str] = KNOWN_SPECS)
     )
 
     last = {
-        name: F.expr(f"get({values}, cast(array_position({keys}, '{name}') AS int) - 1)")
+        name: F.expr(f"get({values}, cast(array_position({keys}, {_quoted(name)}) AS int) - 1)")
         for name in names
     }
     return listed.withColumns(last).drop(items, keys, values, col)
 
 
-def spec_keys(df: DataFrame, col: str, limit: int = MAX_SPEC_KEYS) -> list[str]:
+def discover_spec_keys(df: DataFrame, col: str, limit: int = MAX_SPEC_KEYS) -> list[str]:
     """Every key that occurs, sorted: for tables whose columns follow the data.
 
     Keys are reduced per task before the shuffle and never exceed the width of a table.

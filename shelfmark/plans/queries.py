@@ -374,7 +374,7 @@ def pivot_specs(spark, sf_dir):
 def pivot_specs_discovered(spark, sf_dir):
     """Columns follow the keys that occur."""
     details = _detail_raw(spark, sf_dir).select("sku", "extracted_at", "specifications")
-    found = clean.spec_keys(details, "specifications")
+    found = clean.discover_spec_keys(details, "specifications")
     return clean.pivot_specs(details, "specifications", found)
 
 

@@ -50,6 +50,13 @@ def bronze_append(df: DataFrame, path: str, run: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{RUN}={run}")
 
 
+def run_folders(spark: SparkSession, path: str) -> list[str]:
+    """The run stamps below `path`, oldest first."""
+    run = F.regexp_extract("path", rf"/{RUN}=([^/]+)/", 1).alias("run")
+    found = _files(spark, path).select(run).where(F.col("run") != "").distinct()
+    return sorted(row["run"] for row in found.collect())
+
+
 def latest_run_file(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows of the newest run (greatest run folder, else greatest file name); None without files.
 

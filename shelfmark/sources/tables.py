@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.session import scratch_path
 
 
-def _create_database(spark: SparkSession, name: str) -> None:
+def create_database(spark: SparkSession, name: str) -> None:
     if "." in name:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {name.rsplit('.', 1)[0]}")
 
@@ -23,7 +23,7 @@ def write_version(
 
     `buckets` (number, column) stores it hash-partitioned, so that joins on it need no shuffle.
     """
-    _create_database(df.sparkSession, name)
+    create_database(df.sparkSession, name)
     version = f"{name}__{uuid.uuid4().hex[:12]}"
     writer = df.write.option("path", f"{location}/{version.replace('.', '/')}")
     if buckets is not None:
