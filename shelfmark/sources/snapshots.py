@@ -30,7 +30,9 @@ def committed_run(spark: SparkSession, name: str) -> str | None:
     return shown["value"]
 
 
-def _runs_to_drop(spark: SparkSession, location: str, committed: str | None, run: str) -> list[str]:
+def _left_over_runs(
+    spark: SparkSession, location: str, committed: str | None, run: str
+) -> list[str]:
     """Folders of runs that were written but never committed."""
     return [
         r
@@ -65,8 +67,10 @@ def snapshot(
         written = spark.read.parquet(location)
         still_open = (F.col(RUN) == committed) & (F.col(_STATE) == "open")
         open_rows = written.where(still_open).select(*columns)
-    for left_over in _runs_to_drop(spark, location, committed, run):
-        open_rows.limit(0).write.mode("overwrite").parquet(f"{location}/{RUN}={left_over}")
+    for left_over in _left_over_runs(spark, location, committed, run):
+        for state in ("open", "closed"):
+            folder = f"{location}/{RUN}={left_over}/{_STATE}={state}"
+            open_rows.limit(0).write.mode("overwrite").parquet(folder)
 
     now = run_timestamp(F.lit(run))
     step = history.scd2_step(open_rows, source, key, check_cols, now, invalidate_missing)
