@@ -430,7 +430,7 @@ _add(
 SELECT 2 * count(*) AS details, 2 * count(*) AS with_publisher,
        2 * count(CASE WHEN p_size % 11 <> 0 THEN 1 END) AS with_isbn13,
        2 * count(CASE WHEN p_size % 11 = 0 THEN 1 END) AS without_isbn13,
-       0 AS with_edition
+       CAST(0 AS BIGINT) AS with_edition
 FROM part""",
 )
 
