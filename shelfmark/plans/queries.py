@@ -716,7 +716,8 @@ def dq_review_orphans(spark, sf_dir):
 @query
 def dq_report(spark, sf_dir):
     """Facts feed many rules: the columns that rules read are written once."""
-    books = _books(spark, sf_dir).select(
+    listing, detail = _stg_listing(spark, sf_dir), _stg_detail(spark, sf_dir)
+    books = models.fct_books(listing, detail).select(
         *["product_id", "name", "price", "list_price", "discount_pct"],
         *["rating_average", "review_count", "has_reviews"],
         *["primary_category_path", "brand_name"],
@@ -729,8 +730,8 @@ def dq_report(spark, sf_dir):
     )
     return quality.dq_report(
         {
-            "stg_listing": _stg_listing(spark, sf_dir),
-            "stg_detail": _stg_detail(spark, sf_dir),
+            "stg_listing": listing,
+            "stg_detail": detail,
             "stg_reviews": staged,
             "books": written,
             "reviews": tables.materialize(facts, "reviews"),
