@@ -49,6 +49,17 @@ def silver_from_raw(raw: dict[str, DataFrame], location: str) -> DataFrame:
     )
 
 
+def publish_staging(spark: SparkSession) -> None:
+    """The staging models, as views of this session over the silver tables."""
+    tables.publish_views(
+        {
+            "stg_listing": models.stg_listing(spark.table(SILVER["listing"])),
+            "stg_detail": models.stg_detail(spark.table(SILVER["detail"])),
+            "stg_reviews": models.stg_reviews(spark.table(SILVER["reviews"])),
+        }
+    )
+
+
 def silver_to_gold(
     spark: SparkSession, location: str, buckets: tuple[int, str] | None = None
 ) -> None:
@@ -58,13 +69,7 @@ def silver_to_gold(
     grouping them by product later needs no shuffle.
     """
     prepare(spark)
-    tables.publish_views(
-        {
-            "stg_listing": models.stg_listing(spark.table(SILVER["listing"])),
-            "stg_detail": models.stg_detail(spark.table(SILVER["detail"])),
-            "stg_reviews": models.stg_reviews(spark.table(SILVER["reviews"])),
-        }
-    )
+    publish_staging(spark)
     books = models.fct_books(spark.table("stg_listing"), spark.table("stg_detail"))
     tables.write_table(books, BOOKS, location, buckets)
     reviews = models.fct_reviews(spark.table("stg_reviews"), spark.table(BOOKS))
@@ -76,7 +81,7 @@ def snapshot_prices(spark: SparkSession, location: str, run: str) -> DataFrame:
     prepare(spark)
     source = models.snapshot_source(spark.table(BOOKS))
     recorded = snapshots.snapshot(
-        SNAPSHOT, source, f"{location}/book_prices", run, SNAPSHOT_KEY, SNAPSHOT_CHECK
+        SNAPSHOT, source, f"{location}/snapshots/book_prices", run, SNAPSHOT_KEY, SNAPSHOT_CHECK
     )
     shown = history.price_history(recorded, run_timestamp(F.lit(run)))
     tables.write_table(shown, PRICES, location)
@@ -86,6 +91,7 @@ def snapshot_prices(spark: SparkSession, location: str, run: str) -> DataFrame:
 def check(spark: SparkSession) -> DataFrame:
     """The report of all rules over staging and facts."""
     prepare(spark)
+    publish_staging(spark)
     return quality.dq_report(
         {
             "stg_listing": spark.table("stg_listing"),

@@ -160,20 +160,29 @@ def nested_to_json(spark, sf_dir):
     return bronze.nested_to_json(nested)
 
 
+def _scratch_database(spark):
+    """(database, location) that nothing else uses."""
+    location = scratch_path(spark, "tables")
+    return location.rsplit("/", 1)[1].replace("-", "_"), location
+
+
 @query
 def silver_write(spark, sf_dir):
+    database, location = _scratch_database(spark)
     silver = {
         "silver_listing": clean.clean_listing(_listing_raw(spark, sf_dir), fx.LISTING_TIES),
         "silver_detail": clean.clean_detail(_detail_raw(spark, sf_dir), ties=fx.DETAIL_TIES),
         "silver_reviews": clean.clean_reviews(_reviews_raw(spark, sf_dir), fx.REVIEW_TIES),
     }
-    return tables.write_tables(spark, silver, scratch_path(spark, "silver"))
+    named = {f"{database}.{name}": df for name, df in silver.items()}
+    counts = tables.write_tables(spark, named, location)
+    return counts.withColumn("table", F.substring_index("table", ".", -1))
 
 
 @query
 def mart_write(spark, sf_dir):
     """Staging as views, marts as tables; the second mart reads the first as a table."""
-    location = scratch_path(spark, "marts")
+    database, location = _scratch_database(spark)
     staged = {
         "stg_listing": _stg_listing(spark, sf_dir),
         "stg_detail": _stg_detail(spark, sf_dir),
@@ -181,10 +190,12 @@ def mart_write(spark, sf_dir):
     }
     tables.publish_views(staged)
     books = models.fct_books(spark.table("stg_listing"), spark.table("stg_detail"))
-    tables.write_table(books, "fct_books", location)
-    reviews = models.fct_reviews(spark.table("stg_reviews"), spark.table("fct_books"))
-    tables.write_table(reviews, "fct_reviews", location)
-    return spark.table("fct_reviews").select(
+    tables.write_table(books, f"{database}.fct_books", location)
+    reviews = models.fct_reviews(
+        spark.table("stg_reviews"), spark.table(f"{database}.fct_books")
+    )
+    tables.write_table(reviews, f"{database}.fct_reviews", location)
+    return spark.table(f"{database}.fct_reviews").select(
         "review_id", "product_id", "product_name", "price", "spec_publisher_vn"
     )
 

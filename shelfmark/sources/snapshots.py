@@ -56,7 +56,7 @@ def snapshot(
     under its own or a later stamp; a run that is already committed changes nothing.
     """
     spark = source.sparkSession
-    create_database(spark, name)
+    create_database(spark, name, location)
     committed = committed_run(spark, name)
     if committed is not None and run <= committed:
         return spark.table(name)

@@ -4,44 +4,62 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.session import scratch_path
 
+# Versions that stay after a write: the current one, and the one that running readers may hold.
+KEPT_VERSIONS = 2
 
-def create_database(spark: SparkSession, name: str) -> None:
-    if "." in name:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name.rsplit('.', 1)[0]}")
 
+def create_database(spark: SparkSession, name: str, location: str) -> str:
+    """Make sure the database of the table `name` exists below `location`; return its name."""
+    database, _, table = name.rpartition(".")
+    if not database or not table:
+        raise ValueError(f"a table needs a database: {name}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}/{database}'")
+    return database
 
-def write_version(
-    df: DataFrame, name: str, location: str, buckets: tuple[int, str] | None = None
-) -> str:
-    """Write `df` as a new table below `location` that nothing reads yet; return its name.
 
-    `buckets` (number, column) stores it hash-partitioned, so that joins on it need no shuffle.
-    """
-    create_database(df.sparkSession, name)
-    version = f"{name}__{uuid.uuid4().hex[:12]}"
-    writer = df.write.option("path", f"{location}/{version.replace('.', '/')}")
-    if buckets is not None:
-        number, column = buckets
-        writer = writer.bucketBy(number, column).sortBy(column)
-    writer.saveAsTable(version)
-    return version
+def _new_version(name: str) -> str:
+    """A name that sorts after all earlier versions."""
+    stamp = datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
+    return f"{name}__{stamp}_{uuid.uuid4().hex[:8]}"
+
+
+def versions(spark: SparkSession, name: str) -> list[str]:
+    """The stored versions of a table, oldest first."""
+    database, _, table = name.rpartition(".")
+    found = spark.sql(f"SHOW TABLES IN {database} LIKE '{table}__*'").select("tableName")
+    return sorted(f"{database}.{row[0]}" for row in found.collect())
 
 
 def write_table(
-    df: DataFrame, name: str, location: str, buckets: tuple[int, str] | None = None
+    df: DataFrame,
+    name: str,
+    location: str,
+    buckets: tuple[int, str] | None = None,
+    keep: int = KEPT_VERSIONS,
 ) -> None:
     """Replace the table `name`. Readers see the old rows until the new ones are complete.
 
-    The rows may come from the table itself: the old version is not touched.
+    The rows may come from the table itself: the old version is not touched. `buckets` (number,
+    column) stores the rows hash-partitioned, so that joins on the column need no shuffle.
     """
-    version = write_version(df, name, location, buckets)
-    df.sparkSession.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    spark = df.sparkSession
+    create_database(spark, name, location)
+    version = _new_version(name)
+    writer = df.write.format("parquet")
+    if buckets is not None:
+        number, column = buckets
+        writer = writer.bucketBy(number, column).sortBy(column)
+    writer.saveAsTable(version)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    for old in versions(spark, name)[:-keep]:
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
 def write_tables(spark: SparkSession, tables: Mapping[str, DataFrame], location: str) -> DataFrame:

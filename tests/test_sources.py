@@ -103,6 +103,17 @@ def test_table_can_be_replaced_from_itself(spark, tmp_path):
     assert sorted(r["id"] for r in spark.table("demo.numbers").collect()) == [10, 11, 12]
 
 
+def test_old_versions_go(spark, tmp_path):
+    for n in range(1, 5):
+        tables.write_table(spark.range(n), "kept.numbers", str(tmp_path))
+        tables.write_table(spark.range(9), "kept.numbers_too", str(tmp_path))
+    assert len(tables.versions(spark, "kept.numbers")) == tables.KEPT_VERSIONS
+    assert spark.table("kept.numbers").count() == 4
+    assert spark.table("kept.numbers_too").count() == 9
+    with pytest.raises(ValueError):
+        tables.write_table(spark.range(1), "no_database", str(tmp_path))
+
+
 def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
     location = str(tmp_path)
     left = spark.range(100).withColumnRenamed("id", "k").withColumn("l", F.lit(1))
@@ -119,9 +130,9 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
 
 def test_write_tables_counts(spark, tmp_path):
     counts = tables.write_tables(
-        spark, {"demo_a": spark.range(3), "demo_b": spark.range(0)}, str(tmp_path)
+        spark, {"counted.a": spark.range(3), "counted.b": spark.range(0)}, str(tmp_path)
     )
-    assert sorted(map(tuple, counts.collect())) == [("demo_a", 3), ("demo_b", 0)]
+    assert sorted(map(tuple, counts.collect())) == [("counted.a", 3), ("counted.b", 0)]
 
 
 def test_widest():
