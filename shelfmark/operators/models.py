@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +83,13 @@ def fct_books(listing: DataFrame, detail: DataFrame) -> DataFrame:
     Both sides hold one row per product and are already partitioned by it after cleaning, so
     the join itself adds no shuffle.
     """
-    from_detail = [c for c in FCT_BOOKS if c in STG_DETAIL and c not in STG_LISTING]
+    return join_books(listing, detail, FCT_BOOKS)
+
+
+def join_books(listing: DataFrame, detail: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The wanted columns of the book table; the sides need to hold no more than these take."""
+    wanted = [c for c in FCT_BOOKS if c in set(columns)]
+    from_detail = [c for c in wanted if c in STG_DETAIL and c not in STG_LISTING]
     books = listing.withColumns(
         {
             "discount_pct": S.discount_pct(F.col("price"), F.col("list_price")),
@@ -89,7 +97,7 @@ def fct_books(listing: DataFrame, detail: DataFrame) -> DataFrame:
         }
     )
     joined = books.join(detail.select("product_id", *from_detail), "product_id", "left")
-    return joined.select(*FCT_BOOKS)
+    return joined.select(*wanted)
 
 
 def books_narrow(books: DataFrame) -> DataFrame:
@@ -102,8 +110,14 @@ def fct_reviews(reviews: DataFrame, books: DataFrame) -> DataFrame:
     A product may hold most of the reviews: the join keeps reviews on the left, where a skewed
     partition is split at run time. Books go to every executor only when measured small.
     """
+    return join_reviews(reviews, books, FCT_REVIEWS)
+
+
+def join_reviews(reviews: DataFrame, books: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The wanted columns of the review table."""
+    wanted = [c for c in FCT_REVIEWS if c in set(columns)]
     context = books_narrow(books).withColumnRenamed("name", "product_name")
-    return reviews.join(context, "product_id", "left").select(*FCT_REVIEWS)
+    return reviews.join(context, "product_id", "left").select(*wanted)
 
 
 def snapshot_source(books: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators import models
+from shelfmark.sources.tables import materialize
+
+# A million 8-byte digests.
+MAX_BROADCAST_DIGESTS = 1_000_000
 
 
 # --- conditions on one row -------------------------------------------------------------------
@@ -59,12 +63,28 @@ def dq_not_null(df: DataFrame, col: str) -> DataFrame:
     return df.where(is_missing(col))
 
 
-def dq_unique(df: DataFrame, *cols: str) -> DataFrame:
-    """Values (or combinations) that occur more than once, with their number of rows."""
-    counted = df.dropna(subset=list(cols)).groupBy(*cols)
+def dq_unique(df: DataFrame, *cols: str, wide: bool = False) -> DataFrame:
+    """Values (or combinations) that occur more than once, with their number of rows.
+
+    For `wide` values (whole texts) a first pass shuffles digests only, and just the rows whose
+    digest repeats are grouped by the value itself. The result is the same.
+    """
+    keyed = df.dropna(subset=list(cols))
+    counted = (_with_repeated_digest(keyed, cols) if wide else keyed).groupBy(*cols)
     return counted.agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") > 1)
 
 
+def _with_repeated_digest(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows whose digest occurs more than once: all repeated values and a few chance hits."""
+    digest = F.xxhash64(*cols).alias("__digest")
+    counted = df.select(digest).groupBy("__digest").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(counted.where("n > 1").select("__digest"), "digests")
+    # The written digests are counted from file footers; only a small set is broadcast.
+    few = repeated.count() <= MAX_BROADCAST_DIGESTS
+    side = F.broadcast(repeated) if few else repeated
+    return df.select("*", digest).join(side, "__digest", "left_semi")
+
+
 def dq_accepted_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
     return df.where(is_not_accepted(col, values))
 
@@ -126,10 +146,12 @@ def dq_review_orphans(reviews: DataFrame, books: DataFrame) -> DataFrame:
 class Suite:
     """The rules of one table: conditions on rows, unique keys, and rules that read other tables.
 
-    `across` holds functions from the tables to a one-row DataFrame with the column `violations`.
+    `columns` are what the rules read. `across` holds functions from the tables to a one-row
+    DataFrame with the column `violations`.
     """
 
     table: str
+    columns: Sequence[str]
     rows: Mapping[str, Callable[[], Column]] = field(default_factory=dict)
     unique: Sequence[str] = ()
     across: Mapping[str, Callable[[Mapping[str, DataFrame]], DataFrame]] = field(
@@ -164,12 +186,19 @@ RATINGS = [1, 2, 3, 4, 5]
 SUITES = [
     Suite(
         "stg_listing",
+        columns=["product_id", "name", "price", "rating_average"],
         rows=_not_null("product_id", "name", "price", "rating_average"),
         unique=["product_id"],
     ),
-    Suite("stg_detail", rows=_not_null("product_id", "name", "price"), unique=["product_id"]),
+    Suite(
+        "stg_detail",
+        columns=["product_id", "name", "price"],
+        rows=_not_null("product_id", "name", "price"),
+        unique=["product_id"],
+    ),
     Suite(
         "stg_reviews",
+        columns=["review_id", "product_id", "rating"],
         rows={
             **_not_null("review_id", "product_id", "rating"),
             "accepted_values(rating)": lambda: is_not_accepted("rating", RATINGS),
@@ -178,6 +207,10 @@ SUITES = [
     ),
     Suite(
         "books",
+        columns=[
+            *["product_id", "name", "price", "list_price", "discount_pct"],
+            *["rating_average", "review_count", "has_reviews"],
+        ],
         rows={
             **_not_null(
                 "product_id", "price", "rating_average", "discount_pct", "has_reviews", "name"
@@ -198,6 +231,7 @@ SUITES = [
     ),
     Suite(
         "reviews",
+        columns=["review_id", "product_id", "rating", "title", "reviewer_name"],
         rows={
             **_not_null("review_id", "product_id", "rating"),
             "accepted_values(rating)": lambda: is_not_accepted("rating", RATINGS),
@@ -217,6 +251,11 @@ SUITES = [
 ]
 
 
+def columns_read(table: str) -> list[str]:
+    """The columns of a table that its rules read."""
+    return [c for suite in SUITES if suite.table == table for c in suite.columns]
+
+
 def _row_rules(df: DataFrame, rules: Mapping[str, Callable[[], Column]]) -> DataFrame:
     """All row conditions of a table in one scan, then one line per rule."""
     names = list(rules)

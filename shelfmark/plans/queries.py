@@ -649,7 +649,7 @@ def dq_unique(spark, sf_dir):
 
 @query
 def dq_unique_text(spark, sf_dir):
-    return quality.dq_unique(fx.table(spark, sf_dir, "documents"), "text")
+    return quality.dq_unique(fx.table(spark, sf_dir, "documents"), "text", wide=True)
 
 
 @query
@@ -726,25 +726,25 @@ def dq_review_orphans(spark, sf_dir):
 
 @query
 def dq_report(spark, sf_dir):
-    """Facts feed many rules: the columns that rules read are written once."""
-    listing, detail = _stg_listing(spark, sf_dir), _stg_detail(spark, sf_dir)
-    books = models.fct_books(listing, detail).select(
-        *["product_id", "name", "price", "list_price", "discount_pct"],
-        *["rating_average", "review_count", "has_reviews"],
-        *["primary_category_path", "brand_name"],
-        *["spec_publisher_vn", "spec_language_book", "spec_isbn13"],
-    )
-    written = tables.materialize(books, "books")
-    staged = _stg_reviews(spark, sf_dir)
-    facts = models.fct_reviews(staged, written).select(
-        "review_id", "product_id", "rating", "title", "reviewer_name"
-    )
+    """Every table feeds several rules, so the columns that rules read are written once."""
+    of_books = [*quality.columns_read("books"), *models.BOOKS_NARROW]
+    of_reviews = quality.columns_read("reviews")
+
+    def staged(name, df, wanted):
+        wanted = {*quality.columns_read(name), *wanted}
+        return tables.materialize(df.select(*(c for c in df.columns if c in wanted)), name)
+
+    listing = staged("stg_listing", _stg_listing(spark, sf_dir), of_books)
+    detail = staged("stg_detail", _stg_detail(spark, sf_dir), of_books)
+    reviews = staged("stg_reviews", _stg_reviews(spark, sf_dir), of_reviews)
+    books = tables.materialize(models.join_books(listing, detail, of_books), "books")
+    facts = models.join_reviews(reviews, books, of_reviews)
     return quality.dq_report(
         {
             "stg_listing": listing,
             "stg_detail": detail,
-            "stg_reviews": staged,
-            "books": written,
+            "stg_reviews": reviews,
+            "books": books,
             "reviews": tables.materialize(facts, "reviews"),
         }
     )

@@ -77,6 +77,23 @@ def test_unique_ignores_null(reviews):
     assert [tuple(r) for r in found] == [(14, 1, 2)]
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_unique_by_digest_gives_the_same(spark, monkeypatch, limit):
+    monkeypatch.setattr(Q, "MAX_BROADCAST_DIGESTS", limit)
+    texts = [(f"text {i % 37}" if i % 3 else None, i % 2) for i in range(200)]
+    df = spark.createDataFrame(texts, "text string, n int")
+    for cols in (["text"], ["text", "n"]):
+        narrow = sorted(map(tuple, Q.dq_unique(df, *cols).collect()))
+        assert sorted(map(tuple, Q.dq_unique(df, *cols, wide=True).collect())) == narrow
+        assert narrow
+
+
+def test_columns_read_suffice(spark, good, reviews):
+    """The report runs on just the columns a suite names."""
+    books = good.select(*Q.columns_read("books"))
+    assert Q.dq_report({"books": books, "reviews": reviews}).count() == 25
+
+
 def test_accepted_values_let_null_pass(reviews):
     found = Q.dq_accepted_values(reviews, "rating", [1, 2, 3, 4, 5])
     assert ids(found, "review_id") == [2, 4]
@@ -147,6 +164,6 @@ def test_row_rules_of_a_table_share_one_scan(spark, tmp_path, good):
     good.write.parquet(path)
     books = spark.read.parquet(path)
     rows_only = [s for s in Q.SUITES if s.table == "books"][0]
-    suite = Q.Suite("books", rows=rows_only.rows)
+    suite = Q.Suite("books", rows_only.columns, rows=rows_only.rows)
     plan = Q.dq_report({"books": books}, [suite])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
