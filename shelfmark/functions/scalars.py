@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.json import bind, is_whole, parse_whole
+
 # The run stamp, as written into every extracted record.
 RUN_STAMP = "yyyyMMdd_HHmmss"
 
@@ -47,12 +49,17 @@ def extract_quantity(col: Column, dtype: T.DataType = T.StringType()) -> Column:
         return col.getField("value").try_cast("bigint")
     if isinstance(dtype, T.StringType):
         # Each text is parsed at most once, and plain digits not at all.
-        parsed = F.try_parse_json(col)
         is_object = F.startswith(F.ltrim(col, F.lit(" \t\r\n")), F.lit("{"))
-        return (
-            F.when(col.rlike(_DIGITS), col.try_cast("bigint"))
-            .when(is_object, F.try_variant_get(parsed, "$.value", "bigint"))
-            .otherwise(F.try_variant_get(parsed, "$", "bigint"))
+
+        def value(parsed: Column) -> Column:
+            of_object = F.try_variant_get(parsed, "$[0].value", "bigint")
+            number = F.when(is_object, of_object).otherwise(
+                F.try_variant_get(parsed, "$[0]", "bigint")
+            )
+            return F.when(is_whole(parsed), number)
+
+        return F.when(col.rlike(_DIGITS), col.try_cast("bigint")).otherwise(
+            bind(parse_whole(col), value)
         )
     if isinstance(dtype, T.VariantType):
         return F.coalesce(

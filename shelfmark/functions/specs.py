@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark.functions.json import END, bind, is_whole, parse_whole
+
 # The specification columns the models name, in their order.
 KNOWN_SPECS = [
     "publisher_vn",
@@ -38,7 +38,8 @@ KNOWN_SPECS = [
 SPEC_PREFIX = "spec_"
 
 # The usual shape. Text that does not fit is read element by element instead.
-_USUAL = "array<struct<attributes array<struct<code string, name string, value string>>>>"
+_USUAL = """groups array<struct<attributes array<struct<code string, name string, value string>>>>,
+    mark string"""
 _STRICT = {"allowSingleQuotes": "false"}
 
 # JSON texts of a code that counts as not given, and how a typed read shows them.
@@ -48,11 +49,6 @@ _EMPTY_LOOK = ["", "null", "0", "0.0", "false", "[]", "{}"]
 _ITEMS = "array<struct<ok:boolean,gi:int,ai:int,k:string,v:string>>"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _key(label: Column) -> Column:
     return F.replace(F.lower(F.concat(F.lit(SPEC_PREFIX), label)), F.lit(" "), F.lit("_"))
 
@@ -87,16 +83,13 @@ def _usual_items(text: Column) -> Column:
 
         return F.transform(group["attributes"], item)
 
-    typed = F.when(
-        F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, _USUAL, _STRICT)
-    )
-    return _bind(
-        typed,
-        lambda groups: F.when(
-            F.coalesce(F.forall(groups, whole), F.lit(False)),
-            F.flatten(F.transform(groups, items)),
-        ),
-    )
+    def flat(typed: Column) -> Column:
+        groups = typed["groups"]
+        usual = (typed["mark"] == END) & F.forall(groups, whole)
+        return F.when(F.coalesce(usual, F.lit(False)), F.flatten(F.transform(groups, items)))
+
+    marked = F.concat(F.lit('{"groups":'), text, F.lit(f',"mark":"{END}"}}'))
+    return bind(F.from_json(marked, _USUAL, _STRICT), flat)
 
 
 def _json(variant: Column, path: str) -> Column:
@@ -138,8 +131,11 @@ def _exact_items(text: Column) -> Column:
         first_bad = F.array_position(F.transform(found, lambda i: i["ok"]), False).cast("int")
         return F.when(first_bad > 0, F.slice(found, F.lit(1), first_bad - 1)).otherwise(found)
 
-    groups = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
-    return _bind(F.flatten(F.transform(groups, items)), until_bad)
+    def found(parsed: Column) -> Column:
+        groups = F.try_variant_get(parsed, "$[0]", "array<variant>")
+        return F.when(is_whole(parsed), F.flatten(F.transform(groups, items)))
+
+    return bind(bind(parse_whole(text), found), until_bad)
 
 
 def spec_items(text: Column) -> Column:

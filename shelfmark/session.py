@@ -8,10 +8,12 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Results depend on these: text without a zone is UTC, and bad casts are explicit (try_*).
+# Results depend on these: text without a zone is UTC, bad casts are explicit (try_*), and of a key
+# that an object repeats the last value counts.
 SEMANTICS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # A hot key is split at run time instead of landing in one task. `forceOptimizeSkewedJoin`

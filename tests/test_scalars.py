@@ -57,6 +57,12 @@ def test_extract_quantity_text(column):
         "007": None,
         "+5": None,
         "-0": 0,
+        "12 junk": None,
+        '{"value":5} x': None,
+        "5,6": None,
+        "5]": None,
+        "\t12\n": 12,
+        '{"value":5,"value":6}': 6,
         "9007199254740993": 9007199254740993,
         "99999999999999999999": None,
     }

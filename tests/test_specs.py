@@ -84,6 +84,19 @@ CASES = {
         [(0, 0, "spec_a", "1")],
     ),
     "null attribute stops": (json.dumps([group(A, None, B)]), [(0, 0, "spec_a", "1")]),
+    "text behind": (json.dumps([group(A)]) + " junk", []),
+    "bracket behind": (json.dumps([group(A)]) + "]", []),
+    "list behind": (json.dumps([group(A)]) + ",[]", []),
+    "text behind an unusual list": (json.dumps([group(A), 5]) + " junk", []),
+    "line feeds around": ("\n" + json.dumps([group(A)]) + "\n", [(0, 0, "spec_a", "1")]),
+    "repeated field": (
+        '[{"attributes":[{"code":"a","code":"b","value":"1"},{"code":0,"code":"c"}]}]',
+        [(0, 0, "spec_b", "1"), (0, 1, "spec_c", None)],
+    ),
+    "repeated field, unusual": (
+        '[{"attributes":[{"code":"a","code":"b","value":"1"}]},7]',
+        [(0, 0, "spec_b", "1")],
+    ),
     "cut off": (json.dumps([group(A, B)])[:-5], []),
 }
 
