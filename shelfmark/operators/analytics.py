@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import exact_avg, round_half_up
-from shelfmark.operators.median import group_medians
+from shelfmark.operators.median import MAX_BROADCAST_GROUPS, group_medians
+from shelfmark.sources.tables import small_side
 
 PUBLISHER = "spec_publisher_vn"
 
@@ -194,6 +195,7 @@ def underpriced_books(books: DataFrame) -> DataFrame:
     """
     wanted = books.select("product_id", "name", PUBLISHER, *MEASURES)
     medians = group_medians(wanted, PUBLISHER, MEASURES)
+    medians = small_side(medians, "medians", MAX_BROADCAST_GROUPS)
     return (
         wanted.join(medians, PUBLISHER)
         .where(F.col("price") < F.col("median_price"))

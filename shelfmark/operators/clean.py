@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import scalars as S
 from shelfmark.functions.specs import KNOWN_SPECS, SPEC_PREFIX, spec_items
 from shelfmark.operators.rows import drop_if_present, drop_null_keys, latest_per_key
+from shelfmark.sources.tables import materialize
 
 # Listing columns that the detail record holds in better shape.
 LISTING_DROPPED = ["author_name", "short_description", "inventory_status"]
@@ -48,6 +49,8 @@ def clean_detail(
     }
     latest = latest_per_key(df, ["product_id"], ties=ties)
     if spec_keys is None:
+        # The latest rows are read twice, for their keys and for their values.
+        latest = materialize(latest, "latest_detail")
         known = [SPEC_PREFIX + key for key in KNOWN_SPECS]
         found = discover_spec_keys(latest, "specifications")
         spec_keys = known + [key for key in found if key not in known]

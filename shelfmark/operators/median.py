@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.sources.tables import small_side
+
 # The sketch is off by at most n / ACCURACY ranks; the bracket is a hundred times wider.
 ACCURACY = 10_000
 MARGIN = 0.01
 
+# One line per group and column: a few dozen bytes each.
+MAX_BROADCAST_GROUPS = 500_000
+
 
 def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """`group` and the exact median of every column (`median_<col>`), nulls ignored.
@@ -18,7 +23,7 @@ def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     A group may hold a third of all rows, so its values are never sorted as a whole. A quantile
     sketch, built per task and merged, brackets the middle ranks; values below the bracket are
     only counted, and the values inside it (about 2 % of a group) are reduced to distinct
-    values with counts before the ranking window sees them.
+    values with counts before the ranking window sees them. Reads `df` twice.
     """
     pairs = F.array(
         *(
@@ -36,6 +41,7 @@ def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
 
     bracket = F.percentile_approx("v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
     sketches = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), bracket.alias("b"))
+    sketches = small_side(sketches, "brackets", MAX_BROADCAST_GROUPS)
     located = values.join(sketches, keys).where(F.col("v") <= F.col("b")[1])
     below = F.col("v") < F.col("b")[0]
     counted = (

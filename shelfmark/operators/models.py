@@ -107,8 +107,9 @@ def books_narrow(books: DataFrame) -> DataFrame:
 def fct_reviews(reviews: DataFrame, books: DataFrame) -> DataFrame:
     """Staged reviews with the context of their book, null where the book is unknown.
 
-    A product may hold most of the reviews: the join keeps reviews on the left, where a skewed
-    partition is split at run time. Books go to every executor only when measured small.
+    A product may hold most of the reviews. With `books` a written table, both sides are shuffled
+    straight into the join, and a skewed partition of reviews is split at run time. Books go to
+    every executor only when measured small.
     """
     return join_reviews(reviews, books, FCT_REVIEWS)
 
@@ -125,7 +126,10 @@ def snapshot_source(books: DataFrame) -> DataFrame:
 
 
 def orphan_reviews(reviews: DataFrame, books: DataFrame) -> DataFrame:
-    """Reviews whose product is not among the books; a null product has no book either."""
+    """Reviews whose product is not among the books; a null product has no book either.
+
+    Pass `books` as a written table, as for `fct_reviews`.
+    """
     return reviews.join(books.select("product_id"), "product_id", "left_anti")
 
 

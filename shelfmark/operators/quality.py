@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators import models
-from shelfmark.sources.tables import materialize
+from shelfmark.sources.tables import small_side
 
 # A million 8-byte digests.
 MAX_BROADCAST_DIGESTS = 1_000_000
@@ -78,10 +78,8 @@ def _with_repeated_digest(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows whose digest occurs more than once: all repeated values and a few chance hits."""
     digest = F.xxhash64(*cols).alias("__digest")
     counted = df.select(digest).groupBy("__digest").agg(F.count(F.lit(1)).alias("n"))
-    repeated = materialize(counted.where("n > 1").select("__digest"), "digests")
-    # The written digests are counted from file footers; only a small set is broadcast.
-    few = repeated.count() <= MAX_BROADCAST_DIGESTS
-    side = F.broadcast(repeated) if few else repeated
+    repeated = counted.where("n > 1").select("__digest")
+    side = small_side(repeated, "digests", MAX_BROADCAST_DIGESTS)
     return df.select("*", digest).join(side, "__digest", "left_semi")
 
 

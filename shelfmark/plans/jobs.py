@@ -60,20 +60,14 @@ def publish_staging(spark: SparkSession) -> None:
     )
 
 
-def silver_to_gold(
-    spark: SparkSession, location: str, buckets: tuple[int, str] | None = None
-) -> None:
-    """Staging views and the two fact tables.
-
-    `buckets`, as (number, "product_id"), stores both facts by product, so that joining or
-    grouping them by product later needs no shuffle.
-    """
+def silver_to_gold(spark: SparkSession, location: str) -> None:
+    """Staging views and the two fact tables; the second reads the first as a table."""
     prepare(spark)
     publish_staging(spark)
     books = models.fct_books(spark.table("stg_listing"), spark.table("stg_detail"))
-    tables.write_table(books, BOOKS, location, buckets)
+    tables.write_table(books, BOOKS, location)
     reviews = models.fct_reviews(spark.table("stg_reviews"), spark.table(BOOKS))
-    tables.write_table(reviews, REVIEWS, location, buckets)
+    tables.write_table(reviews, REVIEWS, location)
 
 
 def snapshot_prices(spark: SparkSession, location: str, run: str) -> DataFrame:

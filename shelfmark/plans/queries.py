@@ -77,13 +77,9 @@ def _books(spark, sf_dir):
     return models.fct_books(_stg_listing(spark, sf_dir), _stg_detail(spark, sf_dir))
 
 
-def _reviews(spark, sf_dir):
-    return models.fct_reviews(_stg_reviews(spark, sf_dir), _books(spark, sf_dir))
-
-
 def _facts(spark, sf_dir):
-    """Books as a written table, and the reviews joined to it, for plans that need both."""
-    books = tables.materialize(_books(spark, sf_dir), "books")
+    """Books as a written table, as marts are, and the reviews joined to it."""
+    books = tables.materialize(models.books_narrow(_books(spark, sf_dir)), "books")
     return books, models.fct_reviews(_stg_reviews(spark, sf_dir), books)
 
 
@@ -464,7 +460,7 @@ def snapshot_source(spark, sf_dir):
 
 @query
 def fct_reviews(spark, sf_dir):
-    return _plain_time(_reviews(spark, sf_dir), "created_at")
+    return _plain_time(_facts(spark, sf_dir)[1], "created_at")
 
 
 @query
@@ -483,7 +479,8 @@ def has_reviews(spark, sf_dir):
 
 @query
 def orphan_reviews(spark, sf_dir):
-    orphans = models.orphan_reviews(_stg_reviews(spark, sf_dir), _books(spark, sf_dir))
+    known = tables.materialize(_books(spark, sf_dir).select("product_id"), "books")
+    orphans = models.orphan_reviews(_stg_reviews(spark, sf_dir), known)
     return orphans.select("review_id", "product_id", "title", "thank_count")
 
 
@@ -593,7 +590,7 @@ def verified_split(spark, sf_dir):
 
 @query
 def most_helpful(spark, sf_dir):
-    return A.most_helpful(_reviews(spark, sf_dir))
+    return A.most_helpful(_facts(spark, sf_dir)[1])
 
 
 @query
@@ -714,8 +711,8 @@ def dq_rating_range(spark, sf_dir):
 
 @query
 def dq_review_count(spark, sf_dir):
-    books, reviews = _facts(spark, sf_dir)
-    return quality.dq_review_count(books, reviews)
+    _, reviews = _facts(spark, sf_dir)
+    return quality.dq_review_count(_books(spark, sf_dir), reviews)
 
 
 @query

@@ -47,15 +47,18 @@ def write_table(
     """Replace the table `name`. Readers see the old rows until the new ones are complete.
 
     The rows may come from the table itself: the old version is not touched. `buckets` (number,
-    column) stores the rows hash-partitioned, so that joins on the column need no shuffle.
+    column) stores the rows hash-partitioned in one file per bucket, so that joins on the column
+    need no shuffle. Use it for columns without hot values: a bucket is never split.
     """
     spark = df.sparkSession
     create_database(spark, name, location)
     version = _new_version(name)
-    writer = df.write.format("parquet")
-    if buckets is not None:
+    if buckets is None:
+        writer = df.write.format("parquet")
+    else:
         number, column = buckets
-        writer = writer.bucketBy(number, column).sortBy(column)
+        by_bucket = df.repartition(number, column)
+        writer = by_bucket.write.format("parquet").bucketBy(number, column).sortBy(column)
     writer.saveAsTable(version)
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
     for old in versions(spark, name)[:-keep]:
@@ -86,3 +89,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, name: str, max_rows: int) -> DataFrame:
+    """The one-row-per-key side of a join, written once and counted from its file footers.
+
+    Up to `max_rows` rows it is broadcast, so the other side needs no shuffle. Beyond that it is a
+    plain table: both sides are then shuffled straight into the join, which is the shape in which
+    a hot key of the other side is split at run time.
+    """
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= max_rows else written

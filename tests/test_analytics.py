@@ -4,6 +4,7 @@ import statistics
 import pytest
 
 from shelfmark.operators import analytics as A
+from shelfmark.operators import median
 from shelfmark.operators.median import group_medians
 
 BOOKS = (
@@ -96,8 +97,10 @@ def test_underpriced(books):
     assert [r["product_id"] for r in A.underpriced_books(books).collect()] == [7]
 
 
-def test_medians_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_medians_against_brute_force(spark, monkeypatch, limit):
     """Small, large, constant, lopsided and heavily repeated groups; one holds most rows."""
+    monkeypatch.setattr(median, "MAX_BROADCAST_GROUPS", limit)
     rng = random.Random(3)
     groups = {
         "one": [4.0],

@@ -114,17 +114,6 @@ def test_staging_shapes(spark, ran):
     assert len(spark.table("stg_reviews").columns) == 10
 
 
-def test_facts_by_product_join_without_shuffle(spark, ran):
-    path, location, _ = ran
-    jobs.silver_to_gold(spark, location, buckets=(4, "product_id"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = spark.table(jobs.REVIEWS).select("product_id").join(spark.table(jobs.BOOKS), "product_id")
-        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_stream_follows_bronze(spark, tmp_path):
     """Folding runs as they arrive gives the rows of one pass over all of bronze."""
     from shelfmark.operators.rows import latest_per_key

@@ -124,10 +124,37 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
         joined = spark.table("demo.left").join(spark.table("demo.right"), "k")
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
         assert joined.count() == 100
+        # One file per bucket, however many tasks there were.
+        assert len(spark.table("demo.left").inputFiles()) == 4
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_small_side_is_broadcast_by_its_size(spark):
+    def plan(limit):
+        side = tables.small_side(spark.range(10), "side", limit)
+        joined = spark.range(1000).join(side, "id")
+        return joined._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan(10)
+    assert "strategy=broadcast" not in plan(9)
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert session.shared_folder(Session()) == "hdfs:///shared"
+    assert session.scratch_path(Session(), "x").startswith("hdfs:///shared/x-")
+
+
 def test_write_tables_counts(spark, tmp_path):
     counts = tables.write_tables(
         spark, {"counted.a": spark.range(3), "counted.b": spark.range(0)}, str(tmp_path)
