@@ -69,8 +69,9 @@ def clean_reviews(df: DataFrame, ties: Sequence[str] | None = None) -> DataFrame
 
 def flatten_specs(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """One row per attribute: (id, group position, attribute position, key, value)."""
-    items = df.select(id_col, F.explode(spec_items(F.col(col))).alias("item"))
-    return items.select(id_col, "item.gi", "item.ai", "item.k", "item.v")
+    # The outer form, since for the plain one Spark reads the text again for an inferred filter.
+    items = df.select(id_col, F.explode_outer(spec_items(F.col(col))).alias("item"))
+    return items.where(F.col("item").isNotNull()).select(id_col, "item.gi", "item.ai", "item.k", "item.v")
 
 
 def _quoted(text: str) -> str:
@@ -102,7 +103,8 @@ def discover_spec_keys(df: DataFrame, col: str, limit: int = MAX_SPEC_KEYS) -> l
 
     Keys are reduced per task before the shuffle and never exceed the width of a table.
     """
-    keys = df.select(F.explode(spec_items(F.col(col))["k"]).alias("k")).distinct()
+    keys = df.select(F.explode_outer(spec_items(F.col(col))["k"]).alias("k")).distinct()
+    keys = keys.where(F.col("k").isNotNull())
     found = [row["k"] for row in keys.limit(limit + 1).collect()]
     if len(found) > limit:
         raise ValueError(f"more than {limit} specification keys; pass the wanted ones")

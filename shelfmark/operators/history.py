@@ -72,7 +72,7 @@ def scd2_step(
             open_end.alias(VALID_TO),
         ),
     )
-    return both.select(F.inline(F.array_compact(F.array(old_row, new_row))))
+    return both.select(F.inline_outer(F.array_compact(F.array(old_row, new_row))))
 
 
 def scd2_merge(

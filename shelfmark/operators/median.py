@@ -35,7 +35,7 @@ def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     # A null group is no group, and a join on it would lose it anyway.
     values = (
         df.where(F.col(group).isNotNull())
-        .select(group, F.inline(pairs))
+        .select(group, F.inline_outer(pairs))
         .where(F.col("v").isNotNull())
     )
 

@@ -47,12 +47,22 @@ def _page(item: str) -> str:
     return f"data array<struct<{item}>>, paging struct<total bigint>"
 
 
+def _items(pages: DataFrame, *keep: str) -> DataFrame:
+    """One row per element of `page.data`.
+
+    The outer form is filtered afterwards: for the plain form Spark infers a filter on the list
+    and parses the page a second and third time to evaluate it.
+    """
+    items = pages.select(*keep, F.explode_outer("page.data").alias("item"))
+    return items.where(F.col("item").isNotNull())
+
+
 def listing_from_payload(
     df: DataFrame, run: str, item: str = LISTING_ITEM, col: str = "payload"
 ) -> DataFrame:
     """One row per item of every listing page; pass a wider `item` to keep more fields."""
     pages = df.select(F.from_json(col, _page(item)).alias("page"))
-    return stamp_run(pages.select(F.inline("page.data")), run)
+    return stamp_run(_items(pages).select("item.*"), run)
 
 
 def images_project(images: Column) -> Column:
@@ -70,8 +80,11 @@ def categories_to_text(categories: Column) -> Column:
 
 
 def detail_from_payload(df: DataFrame, run: str, col: str = "payload") -> DataFrame:
-    """Sixteen columns of every product response; unreadable responses give no row."""
-    products = df.select(F.from_json(col, DETAIL_FIELDS).alias("d")).where("d is not null")
+    """Sixteen columns of every product response.
+
+    An unreadable response gives a row without product id, which staging drops.
+    """
+    products = df.select(F.from_json(col, DETAIL_FIELDS).alias("d"))
     named = products.select(
         F.col("d.id").alias("product_id"),
         *(f"d.{c}" for c in DETAIL_SCALARS),
@@ -89,17 +102,17 @@ def reviews_from_payload(
 ) -> DataFrame:
     """One row per review of every review page, with the product the page was asked for."""
     pages = df.select(product, F.from_json(col, _page(REVIEW_ITEM)).alias("page"))
-    items = pages.select(F.col(product).alias("product_id"), F.explode("page.data").alias("r"))
+    items = _items(pages.withColumnRenamed(product, "product_id"), "product_id")
     named = items.select(
-        F.col("r.id").alias("review_id"),
+        F.col("item.id").alias("review_id"),
         "product_id",
-        "r.rating",
-        "r.title",
-        "r.content",
-        "r.thank_count",
-        "r.created_at",
-        F.col("r.created_by.name").alias("reviewer_name"),
-        F.col("r.created_by.purchased").alias("reviewer_purchased"),
+        "item.rating",
+        "item.title",
+        "item.content",
+        "item.thank_count",
+        "item.created_at",
+        F.col("item.created_by.name").alias("reviewer_name"),
+        F.col("item.created_by.purchased").alias("reviewer_purchased"),
     )
     return stamp_run(named, run)
 

@@ -264,7 +264,7 @@ def _row_rules(df: DataFrame, rules: Mapping[str, Callable[[], Column]]) -> Data
             for i, n in enumerate(names)
         )
     )
-    return counted.select(F.inline(lines))
+    return counted.select(F.inline_outer(lines))
 
 
 def dq_report(tables: Mapping[str, DataFrame], suites: Sequence[Suite] = SUITES) -> DataFrame:

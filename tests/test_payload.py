@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import payload
+from shelfmark.operators import clean, payload
 
 RUN = "20240101_000000"
 
@@ -36,10 +36,12 @@ def test_detail_responses(spark):
         },
         {"id": 2},
     ]
-    df = spark.createDataFrame([(json.dumps(r),) for r in responses], "payload string")
+    texts = [*map(json.dumps, responses), "no json", None]
+    df = spark.createDataFrame([(t,) for t in texts], "payload string")
     details = payload.detail_from_payload(df, RUN)
     assert len(details.columns) == 16
-    one, two = details.orderBy("product_id").collect()
+    assert details.where("product_id IS NULL").count() == 2
+    one, two = details.where("product_id IS NOT NULL").orderBy("product_id").collect()
     assert json.loads(one["specifications"]) == [{"name": "g", "attributes": []}]
     assert json.loads(one["images"]) == ["u", None, None]
     assert json.loads(one["categories"]) == {"id": 5}
@@ -79,3 +81,21 @@ def test_payload_text_keeps_diacritics(spark):
         [(json.dumps({"data": [{"id": 1, "name": "Bìa mềm"}]}),)], "payload string"
     )
     assert payload.listing_from_payload(df, RUN).select(F.col("name")).first()[0] == "Bìa mềm"
+
+
+def test_each_text_is_parsed_once(spark, tmp_path):
+    """Spark would infer filters that parse again below the rows they make."""
+    path = str(tmp_path / "pages")
+    spark.createDataFrame([(1, "{}")], "product_id bigint, payload string").write.parquet(path)
+    df = spark.read.parquet(path)
+    for rows in (
+        payload.listing_from_payload(df, RUN),
+        payload.detail_from_payload(df, RUN),
+        payload.reviews_from_payload(df, RUN),
+        payload.review_total_reached(df),
+    ):
+        text = rows._jdf.queryExecution().executedPlan().toString()
+        assert text.count("from_json(") == 1
+    specs = clean.flatten_specs(df, "product_id", "payload")
+    text = specs._jdf.queryExecution().executedPlan().toString()
+    assert text.count("from_json(") == 1 and text.count("parse_json(") <= 1
