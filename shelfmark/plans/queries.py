@@ -77,6 +77,15 @@ def _books(spark, sf_dir):
     return models.fct_books(_stg_listing(spark, sf_dir), _stg_detail(spark, sf_dir))
 
 
+def _books_table(spark, sf_dir, *columns):
+    """Some columns of the books as a written table.
+
+    Filters on parsed columns (publisher, quantity) would otherwise sink below the join and parse
+    every text again.
+    """
+    return tables.materialize(_books(spark, sf_dir).select("product_id", *columns), "books")
+
+
 def _facts(spark, sf_dir):
     """Books as a written table, as marts are, and the reviews joined to it."""
     books = tables.materialize(models.books_narrow(_books(spark, sf_dir)), "books")
@@ -550,7 +559,7 @@ def rating_breakdown(spark, sf_dir):
 
 @query
 def top_publishers(spark, sf_dir):
-    return A.top_publishers(_books(spark, sf_dir))
+    return A.top_publishers(_books_table(spark, sf_dir, A.PUBLISHER, "price"))
 
 
 @query
@@ -565,8 +574,9 @@ def discount_rating_corr(spark, sf_dir):
 
 @query
 def explore_books(spark, sf_dir):
+    shown = ["name", "price", "rating_average", A.PUBLISHER]
     found = A.explore_books(
-        _books(spark, sf_dir),
+        _books_table(spark, sf_dir, *shown, "discount_pct"),
         publishers=["Brand#1", "Brand#2", "Brand#3 Press", "Brand#4"],
         price=(1000.0, 90000.0),
         rating=(1.0, 5.0),
@@ -575,7 +585,7 @@ def explore_books(spark, sf_dir):
         sort="price",
         ascending=False,
     )
-    return found.select("product_id", "name", "price", "rating_average", A.PUBLISHER)
+    return found.select("product_id", *shown)
 
 
 @query
@@ -600,7 +610,7 @@ def discount_tiers(spark, sf_dir):
 
 @query
 def discount_by_publisher(spark, sf_dir):
-    return A.discount_by_publisher(_books(spark, sf_dir))
+    return A.discount_by_publisher(_books_table(spark, sf_dir, A.PUBLISHER, "discount_pct"))
 
 
 @query
@@ -620,14 +630,13 @@ def price_vs_sales(spark, sf_dir):
 
 @query
 def price_sales_corr(spark, sf_dir):
-    return A.correlation(_books(spark, sf_dir), "price", "quantity_sold")
+    measures = ["price", "quantity_sold"]
+    return A.correlation(_books_table(spark, sf_dir, *measures), *measures)
 
 
 @query
 def underpriced_books(spark, sf_dir):
-    columns = ["product_id", "name", A.PUBLISHER, *A.MEASURES]
-    books = _books(spark, sf_dir).select(*columns)
-    return A.underpriced_books(tables.materialize(books, "books"))
+    return A.underpriced_books(_books_table(spark, sf_dir, "name", A.PUBLISHER, *A.MEASURES))
 
 
 # --- data quality ----------------------------------------------------------------------------

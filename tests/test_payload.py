@@ -98,4 +98,4 @@ def test_each_text_is_parsed_once(spark, tmp_path):
         assert text.count("from_json(") == 1
     specs = clean.flatten_specs(df, "product_id", "payload")
     text = specs._jdf.queryExecution().executedPlan().toString()
-    assert text.count("from_json(") == 1 and text.count("parse_json(") <= 1
+    assert text.count("from_json(") == 1 and text.count("parseJson") <= 1
