@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language, line_dedup, mixing
+from shelfmark.llm import language, line_dedup, mixing, scoring
 from shelfmark.llm.common import fold
 
 
@@ -26,6 +26,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.drop("lang"), profiles).drop("text")
 
 
+def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(docs, 7) == 2, F.lit(False))
+    model, counts = scoring.train(docs.where(~held_out).select("text"))
+    scored = scoring.score(docs, model, counts)
+    return scored.withColumn("held_out", F.coalesce(fold(scored, 7) == 2, F.lit(False)))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
@@ -35,5 +43,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_language": op4_language,
+    "op5_scoring": op5_scoring,
     "op9_line_dedup": op9_line_dedup,
 }
