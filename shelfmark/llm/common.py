@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -16,6 +19,8 @@ TEXT = "__text"
 SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
 
 def document_key(docs: DataFrame) -> DataFrame:
     """Add `KEY`, a 64-bit hash of `doc_id` and `text`: equal rows are one document."""
@@ -72,3 +77,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         )
         roots = materialize(roots, f"{name}-roots")
     return roots
+
+
+def stretches(text: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes that end before white space."""
+    start = 0
+    while start < len(text):
+        space = _SPACE.search(text, start + size)
+        end = space.start() if space else len(text)
+        yield text[start:end]
+        start = end

@@ -19,7 +19,6 @@ inside a token of the vocabulary used here, so memory does not follow a text's l
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,15 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import stretches
 from shelfmark.sources.tables import materialize
 
 CAPACITY = 4096
 END = 1
-STRETCH = 4 << 20
 WORDS_KEPT = 300_000
 
-_SPACE = re.compile(rb"[ \t-\r]")
-
 
 class WordIds(dict):
     """Word to its ids as little-endian unsigned 32-bit bytes.
@@ -69,16 +66,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
-    """The text in parts of about `size` bytes that end before white space."""
-    start = 0
-    while start < len(text):
-        space = _SPACE.search(text, start + size)
-        end = space.start() if space else len(text)
-        yield text[start:end]
-        start = end
-
-
 def pieces_of(text: bytes, words: WordIds, capacity: int, end_id: int) -> Iterator[bytes]:
     """The ids of a document, cut where the capacity is reached."""
     full, held = capacity * 4, b""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language, line_dedup, mixing, packing, scoring
+from shelfmark.llm import language, licenses, line_dedup, mixing, packing, scoring
 from shelfmark.llm.common import fold
 
 
@@ -29,6 +29,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_read(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(fold(docs, 4) == 2, F.lit(False)))
@@ -53,6 +57,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
     "op4_language": op4_language,
     "op5_scoring": op5_scoring,
     "op9_line_dedup": op9_line_dedup,
