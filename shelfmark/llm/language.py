@@ -25,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import stretches
+
 PROFILE = 400
 UNKNOWN = "und"
+STRETCH = 1 << 20  # bytes of text whose n-grams are held at once
+ROWS = 500  # texts that are compared at once
 
 _CODE = 21  # bits of a code point
 
@@ -58,9 +62,33 @@ def grams(text: bytes) -> np.ndarray:
     return np.concatenate([x[x != 0], pairs | np.uint64(1 << 63), triples])
 
 
-def _ordered(found: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent n-grams, most frequent first."""
-    values, counts = np.unique(found, return_counts=True)
+def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts and their counts; memory follows `STRETCH`, not the texts."""
+    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def merged():
+        new, n = np.unique(np.concatenate(held), return_counts=True)
+        if not len(values):
+            return new, n
+        both, at = np.unique(np.concatenate([values, new]), return_inverse=True)
+        return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+    for text in texts:
+        for part in stretches(text, STRETCH):
+            held.append(grams(part))
+            size += len(held[-1])
+            if size >= 3 * STRETCH:
+                values, counts = merged()
+                held, size = [], 0
+    if held:
+        values, counts = merged()
+    return values, counts
+
+
+def _ordered(text: bytes, most: int) -> np.ndarray:
+    """The most frequent n-grams of a text, most frequent first."""
+    values, counts = gram_counts([text])
     return values[np.argsort(-counts, kind="stable")[:most]]
 
 
@@ -69,11 +97,11 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[np.ndarray]] = {}
+            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                by_lang.setdefault(lang, []).append(grams(text.as_py()))
-            for lang, found in by_lang.items():
-                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                by_lang.setdefault(lang, []).append(text.as_py())
+            for lang, texts in by_lang.items():
+                values, counts = gram_counts(texts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(counts)],
                     ["lang", "gram", "n"],
@@ -82,8 +110,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
     texts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
         "lang", F.col("text").cast("binary").alias("text")
     )
-    counts = texts.mapInArrow(counted, "lang string, gram long, n long")
-    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(counted, "lang string, gram long, n long")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
@@ -98,7 +126,7 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
 
 def _nearest(texts: list[bytes | None], profiles: dict[str, np.ndarray], size: int):
     """Language and score of every text."""
-    own = [_ordered(grams(t), size) if t else np.zeros(0, np.uint64) for t in texts]
+    own = [_ordered(t, size) if t else np.zeros(0, np.uint64) for t in texts]
     lengths = np.array([len(x) for x in own])
     languages = list(profiles)
     names = np.full(len(texts), UNKNOWN, object)
@@ -128,8 +156,14 @@ def language_of(text: Column, profiles: dict[str, np.ndarray], size: int = PROFI
     @F.pandas_udf("lang_pred string, score double")
     def nearest(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            names, scores = _nearest([None if t is None else bytes(t) for t in part], profiles, size)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            found = [
+                _nearest(list(part.iloc[i : i + ROWS]), profiles, size)
+                for i in range(0, len(part), ROWS)
+            ]
+            names, scores = zip(*found, strict=True) if found else ([[]], [[]])
+            yield pd.DataFrame(
+                {"lang_pred": np.concatenate(names), "score": np.concatenate(scores)}
+            )
 
     # Not to be evaluated again by every filter that looks at the result.
     return nearest.asNondeterministic()(text.cast("binary"))
