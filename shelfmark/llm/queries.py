@@ -43,8 +43,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(docs, 7) == 2, F.lit(False))
-    model, counts = scoring.train(docs.where(~held_out).select("text"))
-    scored = scoring.score(docs, model, counts)
+    scored = scoring.score(docs, scoring.train(docs.where(~held_out).select("text")))
     return scored.withColumn("held_out", F.coalesce(fold(scored, 7) == 2, F.lit(False)))
 
 

@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from shelfmark.sources.tables import materialize
 
 BASE = 1.5  # of the logarithm that quantises counts
-BITS = 12  # of the filter per key
+BITS = 10  # of the filter per key
 PROBES = 4
-MAX_BYTES = 512 << 20
+MAX_BYTES = 256 << 20
 HOT = 1 << 20
-BUFFER = 4 << 20  # n-grams that a task gathers before it sends them on
+BUFFER = 2 << 20  # n-grams that a task gathers before it sends them on
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word is a line feed
 
@@ -244,8 +244,18 @@ def _build(counts: DataFrame, segments: int, max_bytes: int) -> DataFrame:
     return counts.groupBy("segment").applyInArrow(built, _BUILT)
 
 
-def train(docs: DataFrame, max_bytes: int = MAX_BYTES, hot: int = HOT) -> tuple[Model, DataFrame]:
-    """The model of all `docs` (text), and the exact counts of all tokens as (token, count)."""
+@dataclass(frozen=True)
+class Trained:
+    """A model on its way to the workers, and the exact counts of all tokens as (token, count)."""
+
+    shared: Broadcast[Model]
+    counts: DataFrame
+    tokens: int
+    types: int
+
+
+def train(docs: DataFrame, max_bytes: int = MAX_BYTES, hot: int = HOT) -> Trained:
+    """The model of all `docs` (text)."""
     segments = _segments(docs)
     built = materialize(_build(_count(docs, segments), segments, max_bytes), "lm-segments")
     total = built.agg(
@@ -266,21 +276,26 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES, hot: int = HOT) -> tuple[
     frequent = counts.where(F.col("count") >= least).toArrow()
     token = frequent.column("token").to_numpy().view(np.uint64)
     order = np.argsort(token)
-    parts = {r["segment"]: r for r in built.select("segment", "bits", "size").collect()}
-    # A segment without keys has no bits.
-    sizes = [parts[i]["size"] if i in parts else 0 for i in range(segments)]
-    bits = np.frombuffer(b"".join(parts[i]["bits"] for i in range(segments) if i in parts), np.uint8)
+    # A segment without keys has no bits. The parts come one task's share at a time.
+    known = dict(built.select("segment", "size").collect())
+    sizes = np.array([known.get(i, 0) for i in range(segments)], np.uint64)
+    starts = np.append(0, np.cumsum(sizes)[:-1]).astype(np.uint64)
+    bits = np.zeros(int(sizes.sum()) // 8, np.uint8)
+    for segment, part in built.select("segment", "bits").toLocalIterator():
+        first = int(starts[segment]) // 8
+        bits[first : first + len(part)] = np.frombuffer(part, np.uint8)
     model = Model(
         bits=bits,
-        starts=np.append(0, np.cumsum(sizes)[:-1]).astype(np.uint64),
-        sizes=np.array(sizes, np.uint64),
+        starts=starts,
+        sizes=sizes,
         hot=token[order],
         hot_counts=frequent.column("count").to_numpy()[order],
         tokens=total["tokens"],
         types=total["types"],
         seen=1 - total["once"] / total["pairs"] if total["pairs"] else 0.0,
     )
-    return model, counts
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return Trained(shared, counts, model.tokens, model.types)
 
 
 def _scores(model: Model, tokens: list[np.ndarray]):
@@ -316,10 +331,9 @@ def _scores(model: Model, tokens: list[np.ndarray]):
     )
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, trained: Trained) -> DataFrame:
     """`doc_id`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score` for each document."""
-    spark = docs.sparkSession
-    shared: Broadcast[Model] = spark.sparkContext.broadcast(model)
+    shared = trained.shared
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -354,11 +368,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         ),
         "lm-scores",
     )
-    space = F.lit(float(model.tokens + model.types + 1))
+    space = F.lit(float(trained.tokens + trained.types + 1))
     # Tokens that training never saw find no count.
     rare = (
         first.select("row", F.explode("rare").alias("token"))
-        .join(counts, "token", "left")
+        .join(trained.counts, "token", "left")
         .groupBy("row")
         .agg(
             F.count("count").alias("n_rare"),
@@ -369,7 +383,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         "doc_id",
         "n_tokens",
         (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(trained.tokens).cast("long").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
         "score",
     )
