@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -87,3 +89,31 @@ def stretches(text: bytes, size: int = 4 << 20) -> Iterator[bytes]:
         end = space.start() if space else len(text)
         yield text[start:end]
         start = end
+
+
+class WordHashes(dict):
+    """Word to its 64-bit hash; forgets everything when it has grown too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Hashes of a text's words in order, A-Z in lower case."""
+        parts = [np.zeros(0, np.uint64)]
+        for stretch in stretches(text or b""):
+            words = stretch.lower().split()
+            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+        return np.concatenate(parts) if len(parts) > 2 else parts[-1]
+
+
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit numbers without visible order."""
+    x = (x ^ (x >> np.uint64(33))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))

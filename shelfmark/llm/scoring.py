@@ -34,6 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import WordHashes, mixed_bits
 from shelfmark.sources.tables import materialize
 
 BASE = 1.5  # of the logarithm that quantises counts
@@ -45,38 +46,17 @@ BUFFER = 2 << 20  # n-grams that a task gathers before it sends them on
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word is a line feed
 
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = np.power(BASE, np.arange(120))
 
 
-class _Hashes(dict):
-    """Word to hash; forgets everything when it has grown too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _tokens(text: bytes | None, known: _Hashes) -> np.ndarray:
-    """Hashes of a text's words, A-Z in lower case, and one end."""
-    words = text.lower().split() if text else []
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _M1
-    x = (x ^ (x >> np.uint64(29))) * _M2
-    return x ^ (x >> np.uint64(32))
+def _tokens(text: bytes | None, known: WordHashes) -> np.ndarray:
+    """Hashes of a text's words, and one end."""
+    return np.append(known.of(text), np.uint64(END))
 
 
 def _pairs(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(history * _GOLD + _mix(word))
+    return mixed_bits(history * _GOLD + mixed_bits(word))
 
 
 def _histories(tokens: np.ndarray) -> np.ndarray:
@@ -107,8 +87,8 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _positions(keys: np.ndarray, level: np.ndarray | int, bits: np.ndarray):
     """The bits of (key, level) inside its segment, one probe after the other."""
-    a = _mix(keys + np.asarray(level, np.uint64) * _GOLD)
-    step = _mix(a) | np.uint64(1)
+    a = mixed_bits(keys + np.asarray(level, np.uint64) * _GOLD)
+    step = mixed_bits(a) | np.uint64(1)
     for _ in range(PROBES):
         yield a % bits
         a = a + step
@@ -174,7 +154,7 @@ def _count(train: DataFrame, segments: int) -> DataFrame:
                 start = end
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = _Hashes(), [], 0
+        known, held, size = WordHashes(), [], 0
 
         def sent():
             rows = list(parts(held))
@@ -336,7 +316,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     shared = trained.shared
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = WordHashes()
         for batch in batches:
             if not batch.num_rows:
                 continue
