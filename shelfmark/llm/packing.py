@@ -20,13 +20,16 @@ inside a token of the vocabulary used here, so memory does not follow a text's l
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,13 +39,24 @@ from shelfmark.sources.tables import materialize
 
 CAPACITY = 4096
 END = 1
-WORDS_KEPT = 300_000
+WORDS_KEPT = 1_200_000  # in a worker
+STRETCH = 16 << 20  # bytes of text that are looked up at once
+
+_MARKS = tuple(",.;:!?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How the vocabulary writes bytes: printable ones as themselves, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordIds(dict):
-    """Word to its ids as little-endian unsigned 32-bit bytes.
+    """Word to its ids, as little-endian unsigned 32-bit bytes; texts are put together from there.
 
-    The vocabulary splits at white space before anything else, so a text's ids are its words' ids.
+    The vocabulary splits at white space, and words further into letters, digits and marks, before
+    it merges anything. Words up to U+00FF are keyed in lower case, which the vocabulary is in.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -50,33 +64,91 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-
-    def ids(self, words: list[bytes]) -> bytes:
-        """The ids of all words, one behind the other."""
-        new = list({w for w in words if w not in self})
-        if new:
-            if len(self) > WORDS_KEPT:
-                self.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch(
-                [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
-            )
-            for word, encoded in zip(new, found, strict=True):
-                self[word] = np.array(encoded.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
-
-
-def pieces_of(text: bytes, words: WordIds, capacity: int, end_id: int) -> Iterator[bytes]:
-    """The ids of a document, cut where the capacity is reached."""
-    full, held = capacity * 4, b""
-    for stretch in stretches(text):
-        held += words.ids(stretch.split())
-        # The end id is still to come, so a full piece can go only if something follows.
-        cut = len(held) // full * full
-        for at in range(0, cut, full):
-            yield held[at : at + full]
-        held = held[cut:]
-    yield held + np.array([end_id], "<u4").tobytes()
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        # Up to U+00FF, composition changes nothing and lower case is one letter for one.
+        simple = word.isascii() or max(word) < "\u0100"
+        if simple and word.islower() and word.isalpha():
+            written = word.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.tokenizer.model.tokenize(written)]
+            ids = array("I", found).tobytes()
+        elif simple and word[-1:] in _MARKS and word[:-1].isalpha():
+            ids = self[word[:-1].lower()] + self[word[-1]]
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        words = lists.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        distinct = _joined(words.dictionary)
+        # Special tokens are told by their case; other letters may change their number.
+        if "<|" not in distinct and (distinct.isascii() or max(distinct) < "\u0100"):
+            distinct = distinct.lower()
+        found = list(map(self.__getitem__, distinct.split("\n"))) if len(words) else []
+        sizes = np.array(list(map(len, found)), np.int64) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        bounds = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        shift = starts[at] - (ends - n)
+        ids = flat[np.repeat(shift, n) + np.arange(len(shift) and ends[-1])]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _joined(words: pa.Array) -> str:
+    """All words, a line feed between them."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(one, "\n").view(pa.binary())[0].as_py().decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=1)
+def _word_ids(tokenizer_path: str) -> WordIds:
+    """One per worker, so that tasks profit from each other."""
+    return WordIds(tokenizer_path)
+
+
+def _texts_ids(texts: list[bytes], words: WordIds) -> Iterator[tuple[int, bytes, bool]]:
+    """(text, ids of its next stretch, whether that was the last), about `STRETCH` bytes at once."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        parts = list(stretches(text)) or [b""]
+        for k, part in enumerate(parts):
+            held.append((i, part, k == len(parts) - 1))
+            size += len(part)
+            if size >= STRETCH:
+                yield from _stretch_ids(held, words)
+                held, size = [], 0
+    if held:
+        yield from _stretch_ids(held, words)
+
+
+def _stretch_ids(held, words: WordIds) -> Iterator[tuple[int, bytes, bool]]:
+    for (i, _, last), ids in zip(held, words.of([part for _, part, _ in held]), strict=True):
+        yield i, ids, last
+
+
+def pieces_of(
+    texts: list[bytes], words: WordIds, capacity: int, end_id: int
+) -> Iterator[tuple[int, int, bytes]]:
+    """(text, piece, ids): the ids of all texts, cut where the capacity is reached."""
+    full, held, piece = capacity * 4, b"", 0
+    for i, ids, last in _texts_ids(texts, words):
+        held += ids
+        if last:
+            held += np.array([end_id], "<u4").tobytes()
+        while len(held) > full or last and held:
+            yield i, piece, held[:full]
+            held, piece = held[full:], piece + 1
+        if last:
+            piece = 0
 
 
 def cut(
@@ -89,19 +161,19 @@ def cut(
     """One row per piece, with the task that cut it and its running number there by length."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = _word_ids(tokenizer_path)
         task = TaskContext.get().partitionId()
         numbers = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows, held = [], 0
-            for i, text in enumerate(batch.column("text")):
-                start = 0
-                for piece, ids in enumerate(pieces_of(text.as_py() or b"", words, capacity, end_id)):
-                    n = len(ids) // 4
-                    rows.append((i, piece, start, n, zlib.crc32(ids), int(numbers[n]), ids if keep_ids else None))
-                    numbers[n] += 1
-                    start += n
-                    held += len(ids) if keep_ids else 0
+            rows, held, start = [], 0, 0
+            texts = [text.as_py() or b"" for text in batch.column("text")]
+            for i, piece, ids in pieces_of(texts, words, capacity, end_id):
+                n = len(ids) // 4
+                start = 0 if piece == 0 else start
+                rows.append((i, piece, start, n, zlib.crc32(ids), int(numbers[n]), ids if keep_ids else None))
+                numbers[n] += 1
+                start += n
+                held += len(ids) if keep_ids else 0
                 if held > 32 << 20:
                     yield record(batch, rows, task)
                     rows, held = [], 0
