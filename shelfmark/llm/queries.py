@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import jaccard, language, licenses, line_dedup, mixing, packing, scoring
+from shelfmark.llm import (
+    jaccard,
+    language,
+    licenses,
+    line_dedup,
+    mixing,
+    neighbours,
+    packing,
+    scoring,
+    vector_dedup,
+)
 from shelfmark.llm.common import fold
 
 
@@ -47,6 +57,15 @@ def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(fold(scored, 7) == 2, F.lit(False)))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
@@ -63,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_language": op4_language,
     "op5_scoring": op5_scoring,
+    "op6_neighbours": op6_neighbours,
+    "op8_vector_dedup": op8_vector_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard": op10_jaccard,
 }
