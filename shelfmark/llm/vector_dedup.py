@@ -1,19 +1,23 @@
 """Vectors with a cosine of 0.9 or more, found through spherical-cap filters.
 
 A filter is a direction; a vector passes it if their inner product exceeds a threshold, so filters
-are caps of the sphere. The directions are a random product code: after one random rotation, a
-vector is cut into two parts and each part has a codebook of random directions; every pair of code
-words is a filter. That makes the list of all filters a vector exceeds cheap to decode: the two
-parts are scored apart, and sorted scores give the pairs above the threshold without trying all.
-Vectors that share a filter are compared exactly.
-
-The threshold lets a filter take about `LOAD` vectors of any number, and there are so many filters
-that two vectors at the limit share `SHARED` on average; both follow from the measure of caps.
+are caps of the sphere. The directions are random product codes: after a random rotation, a vector
+is cut into two parts and each part has a codebook of random directions; every pair of code words is
+a filter. That makes the list of all filters a vector exceeds cheap to decode: the two parts are
+scored apart, and sorted scores give the pairs above the threshold without trying all. Vectors that
+share a filter are compared exactly.
+
+The threshold lets a filter take about `LOAD` vectors, whatever their number, and there are so many
+filters that two vectors at the limit share `SHARED` of a code on average; both follow from the
+measure of caps. Filters with a code word in common are alike, so `CODES` codes with rotations of
+their own stand side by side; together they miss about one pair in a thousand right at the limit,
+and fewer above it.
 
 A pair that shares several filters counts in the smallest of them. A filter's task never lists its
 pairs: it returns, per vector, how many links it counted and one root per local component. Equal
-vectors are one vector with a weight. A filter with more than `STRIPE` vectors is cut into stripes,
-and each pair of stripes is a task of its own.
+vectors are one vector with a weight. Neighbouring filters share a task, to which a vector goes
+once. A filter with more than `STRIPE` vectors is cut into stripes, and each pair of stripes is a
+task of its own.
 
 Defined results: null, zero and non-finite vectors link with nothing; vectors of different length do
 not link; rows with an equal id are different vectors; a component's id is the smallest id in it.
@@ -29,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from shelfmark.llm.common import components
 from shelfmark.llm.vectors import matrix, usable, vectors
@@ -36,10 +41,12 @@ from shelfmark.sources.tables import materialize
 
 COSINE = 0.9
 LOAD = 256
-SHARED = 16
+SHARED = 8
+CODES = 3
 STRIPE = 4096
 SEED = 8
-TOGETHER = 16  # filters that one group of a task holds
+_FILTERS = StructField("filters", ArrayType(LongType()))
+TOGETHER = 32  # neighbouring filters in one group
 
 
 @dataclass(frozen=True)
@@ -87,13 +94,13 @@ def _cap(d: int, share: float, cosine: float) -> tuple[float, float]:
     return float(height), float((weight * passes).sum() / weight.sum())
 
 
-def code_for(length: int, n: int, cosine: float = COSINE) -> Code:
-    """The code for `n` vectors of a length; short vectors are read in 16 dimensions."""
+def code_for(length: int, n: int, cosine: float = COSINE, number: int = 0) -> Code:
+    """One of the codes for `n` vectors of a length; short vectors are read in 16 dimensions."""
     d = max(16, length)
     share = min(0.25, LOAD / max(1, n))
     height, probability = _cap(d, share, cosine)
     words = max(2, math.ceil(math.sqrt(SHARED / probability / share)))
-    random = np.random.default_rng([SEED, length])
+    random = np.random.default_rng([SEED, length, number])
     rotation, _ = np.linalg.qr(random.standard_normal((d, d)))
     half = d // 2
     books = []
@@ -104,35 +111,37 @@ def code_for(length: int, n: int, cosine: float = COSINE) -> Code:
     return Code(rotation[:length], books[0], books[1], height)
 
 
+def decode(unit: np.ndarray, codes: list[Code]) -> list[np.ndarray]:
+    """For each unit vector its filters in all codes, in order; filters are numbered through."""
+    found = []
+    for number, code in enumerate(codes):
+        ahead = number * len(code.first) * len(code.second)
+        found.append([x + ahead for x in code.filters(unit)])
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    """Unit vectors; by the largest component first, so that no square overflows or vanishes."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
 def _decoded(classes: DataFrame, n: int, cosine: float) -> DataFrame:
-    """(class, weight, dim, v, filters): unit vectors and the filters they exceed."""
+    """The classes with the filters that their vectors exceed."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Code] = {}
+        codes: dict[int, list[Code]] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in codes:
-                    codes[dim] = code_for(int(dim), n, cosine)
-                v = matrix(part.column("v"))
-                # By the largest component first, so that no square overflows or vanishes.
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-                found = [x.tolist() for x in codes[dim].filters(unit)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("class"),
-                        part.column("weight"),
-                        part.column("dim"),
-                        pa.array(list(unit), pa.list_(pa.float64())),
-                        pa.array(found, pa.list_(pa.int64())),
-                    ],
-                    ["class", "weight", "dim", "v", "filters"],
-                )
-
-    schema = "class long, weight long, dim int, v array<double>, filters array<long>"
-    return classes.mapInArrow(decoded, schema)
+                    codes[dim] = [code_for(dim, n, cosine, i) for i in range(CODES)]
+                unit = units(matrix(part.column("v")))
+                filters = pa.array([x.tolist() for x in decode(unit, codes[dim])], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, filters], [*part.schema.names, "filters"])
+
+    return classes.mapInArrow(decoded, StructType([*classes.schema.fields, _FILTERS]))
 
 
 def _first_shared(filters: list[np.ndarray], own: int) -> np.ndarray:
@@ -170,60 +179,85 @@ def _local_roots(linked: np.ndarray) -> np.ndarray:
         roots = least
 
 
+_COUNTED = "class long, root long, n long"
+
+
+def _count(cosine: float, by_filter: bool):
+    """Links of one group: of its filters that are not large, or of one pair of stripes."""
+
+    def counted(key, table):
+        out = {"class": [], "root": [], "n": []}
+        number = table.column("class").to_numpy()
+        weight = table.column("weight").to_numpy()
+        filters = [np.array(x.as_py(), np.int64) for x in table.column("filters")]
+        unit = units(matrix(table.column("v")))
+        none = np.zeros(len(number), bool)
+        if by_filter:
+            # The filters of this group, each with its vectors.
+            parts = [x.as_py() for x in table.column("own")]
+            flat = np.array([f for p in parts for f in p], np.int64)
+            rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            order = np.argsort(flat, kind="stable")
+            cuts = np.flatnonzero(np.diff(flat[order])) + 1
+            todo = [(int(flat[at[0]]), rows[at], none) for at in np.split(order, cuts)]
+            todo = [x for x in todo if len(x[1]) > 1]
+        else:
+            side = table.column("side").to_numpy().astype(bool)
+            todo = [(key[1].as_py(), np.arange(len(number)), side)]
+        for own, at, side in todo:
+            linked = links_of(unit[at], side[at] if len(side) else side, [filters[i] for i in at], own, cosine)
+            some = np.flatnonzero(linked.any(axis=1))
+            if len(some):
+                linked = linked[np.ix_(some, some)]
+                members = number[at[some]]
+                out["class"].append(members)
+                out["root"].append(members[_local_roots(linked)])
+                out["n"].append(linked @ weight[at[some]])
+        columns = {c: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for c, x in out.items()}
+        return pa.table({c: pa.array(x) for c, x in columns.items()})
+
+    return counted
+
+
 def _links(decoded: DataFrame, cosine: float) -> DataFrame:
     """(class, root, n): links counted per class and filter, and one root per local component."""
     passed = decoded.select("class", "dim", F.explode("filters").alias("filter"))
-    large = passed.groupBy("dim", "filter").count().where(F.col("count") > STRIPE)
-    stripes = large.select(
-        F.col("dim").alias("d"), F.col("filter").alias("f"), F.ceil(F.col("count") / STRIPE).alias("stripes")
+    counts = passed.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(
+        counts.where(F.col("n") > STRIPE).select("dim", "filter", F.ceil(F.col("n") / STRIPE).alias("stripes")),
+        "vectors-large",
     )
-    rows = decoded.select("*", F.explode("filters").alias("filter"))
-    rows = rows.join(
-        materialize(stripes, "vectors-stripes"), (F.col("dim") == F.col("d")) & (F.col("filter") == F.col("f")), "left"
+    # A vector goes once to every group of neighbouring filters that it exceeds and that are not large.
+    near = (
+        passed.join(large, ["dim", "filter"], "left_anti")
+        .groupBy("class", F.floor(F.col("filter") / TOGETHER).alias("together"))
+        .agg(F.collect_list("filter").alias("own"))
     )
-    own = F.pmod(F.xxhash64("class", "filter"), F.coalesce("stripes", F.lit(1)))
+    small = (
+        decoded.join(near, "class")
+        .groupBy("dim", "together")
+        .applyInArrow(_count(cosine, by_filter=True), _COUNTED)
+    )
+    own = F.pmod(F.xxhash64("class", "filter"), F.col("stripes"))
     cells = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.coalesce("stripes", F.lit(1)) - 1),
+        F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1),
         lambda other: F.struct(
             F.least(own, other).alias("i"),
             F.greatest(own, other).alias("j"),
-            (own > other).alias("side"),
+            (own > other).cast("int").alias("side"),
         ),
     )
-    rows = rows.withColumn("cell", F.explode(cells)).select(
-        "class", "weight", "v", "filters", "filter", "dim", "cell.i", "cell.j", "cell.side"
+    striped = (
+        passed.join(large, ["dim", "filter"])
+        .withColumn("cell", F.explode(cells))
+        .select("class", "filter", "cell.i", "cell.j", "cell.side")
     )
-    # A group is a few whole filters, or one pair of stripes of a large one.
-    together = F.when((F.col("i") == 0) & (F.col("j") == 0), F.floor(F.col("filter") / TOGETHER)).otherwise(-1 - F.col("filter"))
-    rows = rows.withColumn("together", together)
-
-    def counted(key, table):
-        out = {"class": [], "root": [], "n": []}
-        codes = table.column("filter").to_numpy()
-        number = table.column("class").to_numpy()
-        weight = table.column("weight").to_numpy()
-        side = table.column("side").to_numpy(zero_copy_only=False).astype(bool)
-        filters = [np.array(x.as_py(), np.int64) for x in table.column("filters")]
-        unit = matrix(table.column("v"))
-        order = np.argsort(codes, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
-            if len(at) < 2:
-                continue
-            linked = links_of(unit[at], side[at], [filters[i] for i in at], int(codes[at[0]]), cosine)
-            some = np.flatnonzero(linked.any(axis=1))
-            if not len(some):
-                continue
-            linked = linked[np.ix_(some, some)]
-            members = number[at[some]]
-            out["class"].append(members)
-            out["root"].append(members[_local_roots(linked)])
-            out["n"].append(linked @ weight[at[some]])
-        columns = {c: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for c, x in out.items()}
-        return pa.table({c: pa.array(x) for c, x in columns.items()})
-
-    return rows.groupBy("together", "i", "j", "dim").applyInArrow(
-        counted, "class long, root long, n long"
+    big = (
+        decoded.join(striped, "class")
+        .groupBy("dim", "filter", "i", "j")
+        .applyInArrow(_count(cosine, by_filter=False), _COUNTED)
     )
+    return small.unionByName(big)
 
 
 def dedup(
@@ -242,6 +276,7 @@ def dedup(
         vectors(df, id_column, vector_column)
         .groupBy(F.xxhash64("v").alias("class"))
         .agg(F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"), F.first("dim").alias("dim"))
+        .withColumn("v", F.col("v").cast(df.schema[vector_column].dataType))
     )
     n = ids.where("class IS NOT NULL").count()
     decoded = materialize(_decoded(classes, n, cosine), "vectors-decoded")
