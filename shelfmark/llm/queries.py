@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
+    html_text,
     jaccard,
     language,
     licenses,
@@ -62,6 +63,12 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "html"))
+    lines = F.when(F.length("text") == 0, 0).otherwise(F.size(F.split("text", "\n")))
+    return text.select("page_id", "text", F.length("text").alias("n_chars"), lines.alias("n_lines"))
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup(_read(spark, sf_dir, "embeddings"))
 
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_scoring": op5_scoring,
     "op6_neighbours": op6_neighbours,
+    "op7_html_text": op7_html_text,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard": op10_jaccard,
