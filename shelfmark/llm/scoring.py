@@ -42,7 +42,8 @@ BITS = 10  # of the filter per key
 PROBES = 4
 MAX_BYTES = 256 << 20
 HOT = 1 << 20
-BUFFER = 2 << 20  # n-grams that a task gathers before it sends them on
+TOGETHER = 1 << 19  # tokens that are scored at once
+BUFFER = 1 << 20  # tokens that a task gathers before it sends them on
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word is a line feed
 
@@ -318,23 +319,29 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = [_tokens(text.as_py(), known) for text in batch.column("text")]
-            lengths, hot, base, total, n_rare, rare = _scores(shared.value, tokens)
-            offsets = np.append(0, np.cumsum(n_rare)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    batch.column("doc_id"),
-                    pa.array(lengths),
-                    pa.array(hot),
-                    pa.array(base),
-                    pa.array(total),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))),
-                ],
-                ["row", "doc_id", "n_tokens", "n_hot", "hot_score", "score", "rare"],
-            )
+            first, tokens, size = 0, [], 0
+            for i, text in enumerate(batch.column("text")):
+                tokens.append(_tokens(text.as_py(), known))
+                size += len(tokens[-1])
+                if size >= TOGETHER or i == batch.num_rows - 1:
+                    yield rows(batch.slice(first, len(tokens)), tokens)
+                    first, tokens, size = i + 1, [], 0
+
+    def rows(batch: pa.RecordBatch, tokens: list[np.ndarray]) -> pa.RecordBatch:
+        lengths, hot, base, total, n_rare, rare = _scores(shared.value, tokens)
+        offsets = np.append(0, np.cumsum(n_rare)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("row"),
+                batch.column("doc_id"),
+                pa.array(lengths),
+                pa.array(hot),
+                pa.array(base),
+                pa.array(total),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))),
+            ],
+            ["row", "doc_id", "n_tokens", "n_hot", "hot_score", "score", "rare"],
+        )
 
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"),
