@@ -174,3 +174,16 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
     found = docs.withColumn("__found", language_of(F.col("text"), profiles, size))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return found.select(*kept, "__found.lang_pred", "__found.score")
+
+
+def keep_known(docs: DataFrame, size: int = PROFILE) -> DataFrame:
+    """The documents whose language is one of those in `lang`, learned from these documents.
+
+    Texts without a letter go. Where no row has a language, there is nothing to tell languages by,
+    and all texts with a letter stay.
+    """
+    profiles = learn(docs, size)
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    marked = docs.withColumn("__found", language_of(F.col("text"), profiles, size))
+    return marked.where(F.col("__found.lang_pred") != UNKNOWN).drop("__found")

@@ -45,6 +45,13 @@ STRETCH = 16 << 20  # bytes of text that are looked up at once
 _MARKS = tuple(",.;:!?")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of an installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _byte_letters() -> dict[int, str]:
     """How the vocabulary writes bytes: printable ones as themselves, the rest from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
