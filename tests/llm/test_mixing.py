@@ -1,0 +1,118 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.llm import mixing
+
+
+def reshared(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """Targets by resharing the excess until none is above its cap."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, open_, target = share * sum(sizes.values()), set(names), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / total > most * sizes[s]}
+        if not over:
+            target |= {s: left * weight[s] / total for s in open_}
+            break
+        for s in over:
+            target[s] = most * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+def words(text):
+    return len(re.findall("[^\x20\x09-\x0d]+", text or ""))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Nine sources, one with a third of all rows, one text far longer than the rest."""
+    rows = []
+    for i in range(1500):
+        source = "hot" if i % 3 == 0 else (None if i % 31 == 0 else f"s{i % 7}")
+        rows.append((i, " ".join(["w"] * (i * 7919 % 90 + (4000 if i == 77 else 0))), source))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_words": 900, "shard_words": 4000}])
+def test_report(corpus, options):
+    rows = mixing.mix_report(corpus, **options).join(corpus.select("doc_id", "source"), "doc_id").collect()
+    assert len(rows) == corpus.count()
+    text = dict(corpus.select("doc_id", "text").collect())
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        assert r["size"] == words(text[r["doc_id"]])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        assert len(r["shards"]) * r["size"] == r["taken"]
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    target = reshared(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(target[r["source"]], rel=1e-12)
+    for source, words_ in target.items():
+        assert abs(taken[source] - words_) <= max(90, 0.02 * words_)
+
+
+def test_reruns_agree_and_copies_follow(corpus):
+    options = {"block_words": 900, "shard_words": 4000}
+    order = lambda df: sorted(map(str, df.collect()))
+    first = mixing.mix_report(corpus, **options)
+    again = mixing.mix_report(corpus.repartition(2), **options)
+    assert order(first) == order(again)
+    copies = mixing.mixed(corpus, **options)
+    assert copies.columns == corpus.columns
+    wanted = Counter({r["doc_id"]: len(r["shards"]) for r in first.collect() if r["shards"]})
+    assert Counter(r["doc_id"] for r in copies.collect()) == wanted
+
+
+def test_shards_are_even_and_mixed(corpus):
+    rows = mixing.mix_report(corpus, block_words=300, shard_words=8000).select("size", F.explode("shards").alias("s"))
+    shards = defaultdict(int)
+    for r in rows.collect():
+        shards[r["s"]] += r["size"]
+    mean = sum(shards.values()) / len(shards)
+    assert len(shards) >= 8 and max(shards.values()) < 2 * mean
+
+
+def test_splitting_tree(spark):
+    quota = [(0, 700), (1, 1), (2, 0), (3, 299)]
+    sources = spark.createDataFrame(quota, "sid int, quota long")
+    rows = mixing.split_quotas(spark, sources, 7, seed=3).collect()
+    by_source, by_shard = Counter(), Counter()
+    for r in rows:
+        by_source[r["sid"]] += r["count"]
+        by_shard[r["shard"]] += r["count"]
+    assert by_source == Counter({s: q for s, q in quota if q})
+    assert set(by_shard) == set(range(7)) and max(by_shard.values()) - min(by_shard.values()) <= 3
+
+
+def test_hypergeometric(spark):
+    uniform = "(shiftrightunsigned(xxhash64(id), 11) / 9007199254740992D)"
+    for c, rest, need in ((30, 100, 40), (1, 2, 1), (5, 5, 3), (500, 1000, 999)):
+        draws = spark.range(4000).selectExpr("id", f"{c}L AS c", f"{rest}L AS rest", f"{need}L AS need")
+        h = draws.selectExpr(mixing._hypergeometric("c", "rest", "need", uniform) + " AS h")
+        low, high, mean, var = h.agg(F.min("h"), F.max("h"), F.avg("h"), F.var_pop("h")).first()
+        assert max(0, need - (rest - c)) <= low and high <= min(c, need)
+        exact = need * c / rest
+        spread = exact * (1 - c / rest) * (rest - need) / (rest - 1)
+        assert abs(mean - exact) < 0.1 and abs(var - spread) < 0.1 * spread + 0.02
+
+
+def test_odd_rows(odd, odd_rows, none):
+    rows = mixing.mix_report(odd).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((i, words(t)) for i, t, *_ in odd_rows)
+    assert all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert mixing.mixed(odd).columns == odd.columns
+    assert mixing.mix_report(none).collect() == [] and mixing.mixed(none).collect() == []
+
+
+def test_no_words(spark):
+    df = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
+    assert [(r["target"], r["taken"]) for r in mixing.mix_report(df).collect()] == [(0.0, 0)] * 2
+    assert mixing.mixed(df).count() == 0
