@@ -1,0 +1,81 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.llm import language
+from shelfmark.llm.queries import op4_language
+from conftest import SMALL
+
+
+def brute_grams(text):
+    """n-grams of letters with a mark at word ends, as strings."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    padded = " " + " ".join(low.split()) + " " if low.split() else ""
+    found = Counter(c for c in padded if c != " ")
+    found.update(padded[i : i + 2] for i in range(len(padded) - 1))
+    found.update(padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " ")
+    return found
+
+
+def test_grams():
+    for text in ("a", "ab cd", " É!!ß 12 x", "中日 ǅ\U0001f600", "", "99", "a b" * 50):
+        values, counts = language.gram_counts([text.encode()])
+        wanted = Counter()
+        for gram, n in brute_grams(text).items():
+            points = [0 if c == " " else ord(c) for c in gram]
+            code = sum(p << 21 * k for k, p in enumerate(reversed(points)))
+            wanted[code | (1 << 63 if len(gram) == 2 else 0)] += n
+        assert dict(zip(values.tolist(), counts.tolist(), strict=True)) == wanted
+
+
+def test_stretches_add_up(monkeypatch):
+    text = ("some words and others " * 400).encode()
+    values, counts = language.gram_counts([text])
+    monkeypatch.setattr(language, "STRETCH", 50)
+    again, n = language.gram_counts([text, b""])
+    assert (values == again).all() and (counts == n).all()
+
+
+def test_held_out_accuracy(spark):
+    rows = op4_language(spark, SMALL).join(
+        spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id"
+    ).collect()
+    assert len(rows) == 200
+    held = [r for r in rows if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in (r["doc_id"] for r in rows) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_distance_by_hand():
+    profiles = {"aa": language._ordered(b"banana", 10), "bb": language._ordered(b"zebra", 10)}
+    names, scores = language._nearest([b"banana", b"zebra", b"", None, b"..."], profiles, 10)
+    assert list(names) == ["aa", "bb", "und", "und", "und"]
+    assert scores.tolist() == [1, 1, 0, 0, 0]
+
+
+def test_odd_rows(odd, odd_rows, none):
+    profiles = language.learn(odd)
+    assert set(profiles) == {"en", "fr"}
+    rows = language.predict(odd, profiles)
+    assert set(odd.columns) | {"lang_pred", "score"} == set(rows.columns)
+    for r in rows.collect():
+        letter = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] != "und") == letter
+    kept = language.keep_known(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == sum(any(c.isalpha() for c in t or "") for _, t, *_ in odd_rows)
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_known(unlabelled).count() == kept.count()
+    assert language.keep_known(none).count() == 0
+    assert language.predict(odd, {}).select("lang_pred").distinct().collect() == [("und",)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_profiles_do_not_depend_on_partitions(spark, partitions):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    one, other = language.learn(docs), language.learn(docs.repartition(partitions))
+    assert one.keys() == other.keys() and all((one[k] == other[k]).all() for k in one)
