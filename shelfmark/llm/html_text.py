@@ -363,6 +363,13 @@ def render(page: str) -> str:
             if canvases[-1] is cell:
                 canvases.pop()
             tables[-1].rows[-1].append((span, cell.done()))
+        elif name == "table" and tables:
+            canvas.block(1)
+            for line in align(tables.pop().rows):
+                canvas.parts.append(line)
+                canvas.end_line()
+                canvas.gap = 1
+            canvas.block(2)
         elif name in SPACED:
             nested = name in LISTS and len(lists) > 1
             canvas.block(1 if nested else 2)
@@ -373,12 +380,6 @@ def render(page: str) -> str:
                     canvas.indents.pop()
             elif name == "pre":
                 pre = max(0, pre - 1)
-            elif name == "table" and tables:
-                for line in align(tables.pop().rows):
-                    canvas.parts.append(line)
-                    canvas.end_line()
-                    canvas.gap = 1
-                canvas.block(2)
         elif name in OWN_LINE:
             canvas.block(1)
             if name in ("li", "dd") and canvas.indents:

@@ -1,0 +1,99 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from shelfmark.llm import packing
+from shelfmark.sources.tables import materialize
+from conftest import SMALL
+
+from . import test_jaccard, test_line_dedup, test_mixing
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "jaccard", "mixing", "packing"]
+    assert entry.queries()["pipeline"] is corpus_pipeline.run
+    registered = sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op"))
+    assert registered == list(range(1, 11))
+
+
+def test_every_stage_by_brute_force(spark):
+    """Each stage is held to its own input, as whole rows."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    # Rows that the stages must tell apart from clean documents.
+    odd = [(-1, None, "en", "src0", None), (-2, "99 !!", "en", "src0", 5), (None, "de la que los y un texto", "es", None, 24)]
+    docs = materialize(docs.unionByName(spark.createDataFrame(odd, docs.schema)), "pipeline-in")
+    rows = lambda df: [tuple(r) for r in df.select(COLUMNS).collect()]
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = materialize(stage(spark, docs, SMALL), f"test-{name}")
+        seen[name] = before, docs
+        if name != "packing":
+            assert docs.columns == COLUMNS
+
+    before, after = map(rows, seen["language"])
+    assert Counter(after) == Counter(r for r in before if any(c.isalpha() for c in r[1] or ""))
+
+    before, after = map(rows, seen["line_dedup"])
+    kept = [x[3] for x in test_line_dedup.brute(before)]
+    assert Counter(after) == Counter((r[0], t, r[2], r[3], len(t)) for r, t in zip(before, kept, strict=True))
+
+    before, after = map(rows, seen["jaccard"])
+    groups = test_jaccard.brute(before)
+    heads = {g for _, n, g in groups if n}
+    assert Counter(r[0] for r in after if r[1].split()) == Counter(heads)
+    assert not Counter(after) - Counter(before)
+
+    before, after = map(rows, seen["mixing"])
+    size, taken, copies = Counter(), Counter(), Counter(after)
+    for r in before:
+        size[r[3]] += test_mixing.words(r[1])
+    for r in after:
+        taken[r[3]] += test_mixing.words(r[1])
+    assert set(after) <= set(before) and max(copies.values()) <= 2
+    target = test_mixing.reshared(size)
+    for source, words in target.items():
+        shortest = [test_mixing.words(r[1]) for r in before if r[3] == source]
+        assert abs(taken[source] - words) <= max(shortest)
+
+    before, after = seen["packing"]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    pieces, sequences = Counter(), {}
+    for r in after.collect():
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"]
+        pieces[r["doc_id"], r["piece"], bytes(r["ids"])] += 1
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    wanted = Counter()
+    for doc, text, *_ in rows(before):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            wanted[doc, piece, ids[start : start + 4096].tobytes()] += 1
+    assert pieces == wanted
+    for places in sequences.values():
+        end = 0
+        for at, length in sorted(places):
+            assert at == end
+            end += length
+        assert end <= 4096
+
+
+def test_run_is_its_stages(spark):
+    result = corpus_pipeline.run(spark, SMALL)
+    tokens, n = result.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert tokens / 4096 <= n <= 1.02 * tokens / 4096 + 1
+
+
+@pytest.mark.parametrize("name", ["op9_line_dedup"])
+def test_sql(spark, name):
+    import check
+
+    assert check.compare(spark, check.connect(SMALL), name, SMALL) == ""
