@@ -3,9 +3,9 @@
 An exact set-similarity join that uses how sets relate to each other:
 
 * Equal sets are one class; everything below works on classes, so copies cost nothing twice.
-* Answers are taken over from similar sets. Each class is first compared to two classes with which
-  it shares smallest hashes; what is found linked is one component, and no pair inside a component
-  is ever made again, because for the groups its answer is known.
+* Answers are taken over from similar sets. In a few rounds, components are compared to classes with
+  which they share smallest hashes; what is found linked is one component, and no pair inside a
+  component is ever made again, because for the groups its answer is known.
 * What is left goes through a prefix index: of two linked sets, the first shingles in one common
   order meet. The order puts shingles that a count sketch of the whole corpus shows to be frequent
   last, ties by hash. Index lists are scanned in blocks; blocks and pairs whose sizes or whose
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import KEY, WORD, WordHashes, components, document_key, mixed_bits
@@ -40,8 +40,8 @@ WORDS = 5
 # The similarity is NUM / DEN.
 NUM, DEN = 75, 100
 
-SMALLEST = 4  # smallest hashes kept per class
-CENTRES = 2  # classes that each class is compared to first
+SMALLEST = 8  # smallest hashes kept per class
+TRIES = (2, 8, 30)  # centres per list and pairs per two components, by round
 COUNTERS = 1 << 18
 STRIPE = 20_000  # entries of an index list beyond what the sketch's noise explains
 BLOCK = 2048
@@ -136,26 +136,45 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return np.array([found.get(i, none) for i in range(64)], np.int64).ravel()
 
 
-def _first_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with at most `CENTRES` others that share its smallest hashes and might link."""
-    lists = classes.select("class", "n", "smallest", F.explode("smallest").alias("m"))
-    order = F.struct(F.xxhash64("m", "class").alias("h"), "class", "n", "smallest")
-    centre = lists.groupBy("m").agg(F.min(order).alias("centre"), F.count(F.lit(1)).alias("size"))
-    centre = centre.where("size > 1").select("m", "centre")
-    shared = F.size(F.array_intersect("smallest", "centre.smallest"))
-    near = (
-        lists.join(centre, "m")
-        .where(F.col("class") != F.col("centre.class"))
-        .where(_sizes_fit(F.col("n"), F.col("centre.n")))
-        .select("class", F.col("centre.class").alias("other"), shared.alias("shared"))
-        .where(F.col("shared") >= F.least(F.lit(2), F.size("smallest")))
+def _shared_lists(documents: DataFrame) -> DataFrame:
+    """(m, class, n, smallest): the classes that have a smallest hash in common with another."""
+    classes = documents.where("class IS NOT NULL").groupBy("class").agg(
+        F.first("n").alias("n"), F.first("smallest").alias("smallest")
     )
-    # At most SMALLEST rows a class.
-    best = near.groupBy("class").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct("shared", "other")), asc=False), 1, CENTRES).alias("best")
+    lists = classes.select(F.explode("smallest").alias("m"), "class", "n", "smallest")
+    more = lists.groupBy("m").count().where(F.col("count") > 1).select("m")
+    return lists.join(more, "m")
+
+
+def _near_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, number: int) -> DataFrame:
+    """Pairs of components with a few pairs of their classes that share smallest hashes.
+
+    Every list has a few centres, others and more of them in each round; the components in it are
+    compared to those. Two components that share much get more pairs, round by round.
+    """
+    known = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    place = Window.partitionBy("m").orderBy(F.xxhash64(F.lit(number), "m", "class"), "class")
+    centres = known.withColumn("place", F.row_number().over(place)).where(F.col("place") <= TRIES[number])
+    c = centres.select("m", *(F.col(x).alias(f"c_{x}") for x in ("class", "root", "n", "smallest")))
+    shared = F.size(F.array_intersect("smallest", "c_smallest"))
+    near = (
+        known.join(c, "m")
+        .where(F.col("root") != F.col("c_root"))
+        .where(_sizes_fit(F.col("n"), F.col("c_n")))
+        .where(shared * 5 >= F.least(F.size("smallest"), F.size("c_smallest")) * 3)
+        .select(
+            F.least("root", "c_root").alias("x"),
+            F.greatest("root", "c_root").alias("y"),
+            F.least("class", "c_class").alias("a"),
+            F.greatest("class", "c_class").alias("b"),
+            shared.alias("shared"),
+        )
+        .distinct()
+        .join(tried, ["a", "b"], "left_anti")
     )
-    pair = best.select("class", F.explode("best.other").alias("other"))
-    return _ordered(pair.select(F.col("class").alias("a"), F.col("other").alias("b")))
+    best = Window.partitionBy("x", "y").orderBy(F.desc("shared"), F.xxhash64(F.lit(number), "a", "b"), "a", "b")
+    ranked = near.withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= TRIES[number]).select("a", "b")
 
 
 def _sizes_fit(n, m):
@@ -168,7 +187,6 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Those of the (a, b) class pairs whose sets are similar enough."""
-    pairs = materialize(pairs, f"{name}-pairs")
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     # One document of each class that a pair needs.
     one = (
@@ -183,13 +201,17 @@ def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, name: str
     texts = _texts(keyed.join(few, F.col(KEY) == F.col("wanted"), "left_semi"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, seen = WordHashes(), set()
         for batch in batches:
             number, found, held = [], [], 0
             for text in batch.column("text"):
-                found.append(shingles(known.of(text.as_py())))
-                number.append(_class_of(found[-1]))
-                held += len(found[-1])
+                members = shingles(known.of(text.as_py()))
+                if (own := _class_of(members)) in seen:
+                    continue
+                seen.add(own)
+                found.append(members)
+                number.append(own)
+                held += len(members)
                 if held > 1 << 20:
                     yield rows(number, found)
                     number, found, held = [], [], 0
@@ -211,13 +233,12 @@ def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, name: str
                 keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # Rows equal in id and text give the same set again.
-    members = texts.mapInArrow(sets, "class long, members binary").dropDuplicates(["class"])
-    members = materialize(members, f"{name}-sets")
+    members = materialize(texts.mapInArrow(sets, "class long, members binary"), f"{name}-sets")
     left = members.select(F.col("class").alias("a"), F.col("members").alias("x"))
     right = members.select(F.col("class").alias("b"), F.col("members").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(compared, "a long, b long")
+    # Rows equal in id and text give the same set once per task.
+    return both.mapInArrow(compared, "a long, b long").distinct()
 
 
 def _index(docs: DataFrame, roots: DataFrame, sketch: np.ndarray, segments: int) -> DataFrame:
@@ -355,6 +376,27 @@ def _class_roots(links: DataFrame, name: str) -> DataFrame:
     return components(links, name).select(F.col("node").alias("class"), "root")
 
 
+def _early_links(docs: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that smallest hashes find, and the components they make as (class, root).
+
+    What the rounds miss is left to the index.
+    """
+    lists = materialize(_shared_lists(documents), "jaccard-lists")
+    links = lists.where("false").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    tried = links
+    roots = links.select(F.col("a").alias("class"), F.col("b").alias("root"))
+    for number in range(len(TRIES)):
+        pairs = materialize(_near_pairs(lists, roots, tried, number), "jaccard-near-pairs")
+        tried = tried.unionByName(pairs)
+        found = materialize(_verified(docs, documents, pairs, "jaccard-near"), "jaccard-near-links")
+        new = found.count()
+        if not new:
+            break
+        links = links.unionByName(found)
+        roots = materialize(_class_roots(links, "jaccard-near"), "jaccard-near-roots")
+    return links, roots
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """`key`, `doc`, `n`, `class` and `root` (null: the class is linked with no other) per document."""
     described = materialize(describe(docs), "jaccard-documents")
@@ -362,16 +404,12 @@ def groups(docs: DataFrame) -> DataFrame:
     segments = 1 << min(12, max(4, math.ceil(math.log2(max(1, size / (1 << 19))))))
     sketch = _sketch(described)
     documents = described.where("part IS NULL").select("key", "doc", "n", "class", "smallest")
-    classes = documents.where("class IS NOT NULL").groupBy("class").agg(
-        F.first("n").alias("n"), F.first("smallest").alias("smallest")
-    )
-    first = _verified(docs, documents, _first_pairs(classes), "jaccard-first")
-    first = materialize(first, "jaccard-first-links")
-    early = _class_roots(first, "jaccard-early")
+    links, early = _early_links(docs, documents)
     known = documents.join(early, "class").select(F.col("key").alias("of"), "root").distinct()
     index = _index(docs, small_side(known, "jaccard-early", FEW), sketch, segments)
-    later = _verified(docs, documents, _later_pairs(index), "jaccard-later")
-    roots = _class_roots(first.unionByName(later), "jaccard-roots")
+    pairs = materialize(_later_pairs(index), "jaccard-later-pairs")
+    later = _verified(docs, documents, pairs, "jaccard-later")
+    roots = _class_roots(links.unionByName(later), "jaccard-roots")
     return documents.join(roots, "class", "left").select("key", "doc", "n", "class", "root")
 
 

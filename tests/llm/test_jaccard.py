@@ -86,7 +86,7 @@ def test_groups(spark, rows, monkeypatch, small):
 
 def test_the_index_alone_finds_all(spark, rows, monkeypatch):
     """Without the first round nothing is taken over from similar sets."""
-    monkeypatch.setattr(jaccard, "CENTRES", 0)
+    monkeypatch.setattr(jaccard, "TRIES", ())
     monkeypatch.setattr(jaccard, "STRIPE", 30)
     check(spark, rows[:150])
 
