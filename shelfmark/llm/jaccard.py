@@ -45,7 +45,7 @@ TRIES = (2, 8, 30)  # centres per list and pairs per two components, by round
 COUNTERS = 1 << 18
 STRIPE = 20_000  # entries of an index list beyond what the sketch's noise explains
 BLOCK = 2048
-BUFFER = 1 << 20  # index entries that a task gathers before it sends them on
+BUFFER = 1 << 19  # shingles or index entries that a task gathers before it sends them on
 FEW = 1_000_000  # rows of two numbers that may be broadcast
 
 _STEPS = mixed_bits(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -80,16 +80,19 @@ def describe(docs: DataFrame) -> DataFrame:
         known = WordHashes()
         counters = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            n, number, least, held = [], [], [], []
+            n, number, least, held, size = [], [], [], [], 0
             for text in batch.column("text"):
                 found = shingles(known.of(text.as_py()))
-                held.append(found)
+                held.append((found >> np.uint64(64 - 18)).astype(np.int32))
+                size += len(found)
+                if size > BUFFER:
+                    counters += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, size = [], 0
                 n.append(len(found))
                 number.append(_class_of(found) if len(found) else None)
-                least.append(found[:SMALLEST].view(np.int64))
+                least.append(found[:SMALLEST].astype(np.int64))
             if held:
-                at = (np.concatenate(held) >> np.uint64(64 - 18)).astype(np.int64)
-                counters += np.bincount(at, minlength=COUNTERS)
+                counters += np.bincount(np.concatenate(held), minlength=COUNTERS)
             size = len(n)
             yield pa.RecordBatch.from_arrays(
                 [

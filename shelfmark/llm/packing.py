@@ -22,7 +22,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,8 +39,8 @@ from shelfmark.sources.tables import materialize
 
 CAPACITY = 4096
 END = 1
-WORDS_KEPT = 1_200_000  # in a worker
-STRETCH = 16 << 20  # bytes of text that are looked up at once
+WORDS_KEPT = 600_000  # in a worker
+STRETCH = 4 << 20  # bytes of text that are looked up at once
 
 _MARKS = tuple(",.;:!?")
 
@@ -122,7 +122,7 @@ def _word_ids(tokenizer_path: str) -> WordIds:
     return WordIds(tokenizer_path)
 
 
-def _texts_ids(texts: list[bytes], words: WordIds) -> Iterator[tuple[int, bytes, bool]]:
+def _texts_ids(texts: Iterable[bytes], words: WordIds) -> Iterator[tuple[int, bytes, bool]]:
     """(text, ids of its next stretch, whether that was the last), about `STRETCH` bytes at once."""
     held, size = [], 0
     for i, text in enumerate(texts):
@@ -143,7 +143,7 @@ def _stretch_ids(held, words: WordIds) -> Iterator[tuple[int, bytes, bool]]:
 
 
 def pieces_of(
-    texts: list[bytes], words: WordIds, capacity: int, end_id: int
+    texts: Iterable[bytes], words: WordIds, capacity: int, end_id: int
 ) -> Iterator[tuple[int, int, bytes]]:
     """(text, piece, ids): the ids of all texts, cut where the capacity is reached."""
     full, held, piece = capacity * 4, b"", 0
@@ -173,7 +173,7 @@ def cut(
         numbers = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows, held, start = [], 0, 0
-            texts = [text.as_py() or b"" for text in batch.column("text")]
+            texts = (text.as_py() or b"" for text in batch.column("text"))
             for i, piece, ids in pieces_of(texts, words, capacity, end_id):
                 n = len(ids) // 4
                 start = 0 if piece == 0 else start
@@ -181,7 +181,7 @@ def cut(
                 numbers[n] += 1
                 start += n
                 held += len(ids) if keep_ids else 0
-                if held > 32 << 20:
+                if held > 8 << 20:
                     yield record(batch, rows, task)
                     rows, held = [], 0
             yield record(batch, rows, task)
