@@ -34,8 +34,9 @@ def to_int_nullable(col: Column) -> Column:
     return F.when(col == F.floor(col), col.try_cast("bigint"))
 
 
-def zero_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(0))
+def zero_to_null(col: Column, dtype: T.DataType = T.DoubleType()) -> Column:
+    """The value as it is, null where it is the number 0; text need not be a number."""
+    return F.when(~to_number(col, dtype).eqNullSafe(F.lit(0.0)), col)
 
 
 def extract_quantity(col: Column, dtype: T.DataType = T.StringType()) -> Column:
@@ -76,7 +77,7 @@ def parse_created_at(col: Column, dtype: T.DataType = T.StringType()) -> Column:
     64-bit nanosecond range are null. Needs the UTC session zone set by `session.prepare`.
     """
     seconds = col.try_cast("bigint")
-    bounded = F.when(F.abs(seconds) <= MAX_EPOCH_SECONDS, seconds)
+    bounded = F.when(seconds.between(-MAX_EPOCH_SECONDS, MAX_EPOCH_SECONDS), seconds)
     from_epoch = F.timestamp_seconds(bounded)
     if not isinstance(dtype, T.StringType):
         return from_epoch
@@ -92,10 +93,19 @@ def round_half_up(col: Column, digits: int) -> Column:
 def exact_avg(col: Column, digits: int = 6) -> Column:
     """Average that does not depend on the order of summation, rounded half up.
 
-    Sums decimals instead of doubles, so every partitioning gives the same last digit. Eight
-    places of a value count; infinite values are left out.
+    Sums decimals instead of doubles, so every partitioning gives the same last digit. That is for
+    values that eight decimal places hold to the last digit a double shows. Where a group has any
+    other value, its average is the plain one: rounded like the others, unless it is so small, so
+    large or so little of a number that rounding would change it beyond recognition.
     """
-    return F.round(F.avg(col.try_cast("decimal(28,8)")), digits).cast("double")
+    value = col.cast("double")
+    exact = value.try_cast("decimal(28,8)")
+    near = F.abs(exact.cast("double") - value) <= F.abs(value) * F.lit(1e-15)
+    fits = F.bool_and(F.when(value.isNotNull(), F.coalesce(near, F.lit(False))))
+    rounded = F.round(F.avg(exact), digits).cast("double")
+    plain = F.avg(value)
+    usual = F.abs(plain).between(1e-3, 1e9)
+    return F.when(fits, rounded).when(usual, F.round(plain, digits)).otherwise(plain)
 
 
 def discount_pct(price: Column, list_price: Column) -> Column:

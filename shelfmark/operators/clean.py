@@ -15,8 +15,9 @@ from shelfmark.sources.tables import materialize
 # Listing columns that the detail record holds in better shape.
 LISTING_DROPPED = ["author_name", "short_description", "inventory_status"]
 
-# Specifications decide the width of a table, so more keys than this are a fault in the data.
+# So many keys become columns, the most frequent first; the values of all others go into a map.
 MAX_SPEC_KEYS = 2000
+MORE_SPECS = "specs_more"
 
 
 def _typed(df: DataFrame, name: str) -> tuple[Column, object]:
@@ -27,7 +28,7 @@ def clean_listing(df: DataFrame, ties: Sequence[str] | None = None) -> DataFrame
     """Latest row per id; quantity as integer; list price 0 as null."""
     changed = {"quantity_sold": S.extract_quantity(*_typed(df, "quantity_sold"))}
     if "list_price" in df.columns:
-        changed["list_price"] = S.zero_to_null(F.col("list_price"))
+        changed["list_price"] = S.zero_to_null(*_typed(df, "list_price"))
     latest = drop_if_present(latest_per_key(df, ["id"], ties=ties), LISTING_DROPPED)
     return latest.withColumns(changed)
 
@@ -54,6 +55,8 @@ def clean_detail(
         known = [SPEC_PREFIX + key for key in KNOWN_SPECS]
         found = discover_spec_keys(latest, "specifications")
         spec_keys = known + [key for key in found if key not in known]
+        more = MORE_SPECS if len(found) >= MAX_SPEC_KEYS else None
+        return pivot_specs(latest.withColumns(changed), "specifications", spec_keys, more)
     return pivot_specs(latest.withColumns(changed), "specifications", spec_keys)
 
 
@@ -79,10 +82,16 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def pivot_specs(df: DataFrame, col: str, spec_keys: Sequence[str] = KNOWN_SPECS) -> DataFrame:
+def pivot_specs(
+    df: DataFrame,
+    col: str,
+    spec_keys: Sequence[str] = KNOWN_SPECS,
+    more: str | None = None,
+) -> DataFrame:
     """Replace the specification text by one column per key, null where the key is absent.
 
-    Works inside the row: no explode, no grouping and no join back, hence no shuffle.
+    `more` names a map column for the keys that have no column of their own. Works inside the row:
+    no explode, no grouping and no join back, hence no shuffle.
     """
     names = [k if k.startswith(SPEC_PREFIX) else SPEC_PREFIX + k for k in spec_keys]
     items, keys, values = "__items", "__keys", "__values"
@@ -95,17 +104,20 @@ def pivot_specs(df: DataFrame, col: str, spec_keys: Sequence[str] = KNOWN_SPECS)
         name: F.expr(f"get({values}, cast(array_position({keys}, {_quoted(name)}) AS int) - 1)")
         for name in names
     }
+    if more is not None:
+        named = F.array(*(F.lit(name) for name in names))
+        others = F.array_except(keys, named)
+        last[more] = F.map_from_arrays(
+            others, F.transform(others, lambda k: F.get(values, F.array_position(keys, k).cast("int") - 1))
+        )
     return listed.withColumns(last).drop(items, keys, values, col)
 
 
 def discover_spec_keys(df: DataFrame, col: str, limit: int = MAX_SPEC_KEYS) -> list[str]:
-    """Every key that occurs, sorted: for tables whose columns follow the data.
+    """The `limit` most frequent keys, sorted: for tables whose columns follow the data.
 
-    Keys are reduced per task before the shuffle and never exceed the width of a table.
+    Keys are counted per task before the shuffle; no more than the width of a table comes back.
     """
-    keys = df.select(F.explode_outer(spec_items(F.col(col))["k"]).alias("k")).distinct()
-    keys = keys.where(F.col("k").isNotNull())
-    found = [row["k"] for row in keys.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} specification keys; pass the wanted ones")
-    return sorted(found)
+    keys = df.select(F.explode_outer(spec_items(F.col(col))["k"]).alias("k"))
+    counts = keys.where(F.col("k").isNotNull()).groupBy("k").count()
+    return sorted(row["k"] for row in counts.orderBy(F.desc("count"), "k").limit(limit).collect())

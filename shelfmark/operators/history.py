@@ -14,9 +14,6 @@ from shelfmark.operators.rows import latest_per_key
 VALID_FROM = "valid_from"
 VALID_TO = "valid_to"
 
-# About 4 MB of run stamps: hourly runs of eleven years.
-MAX_BROADCAST_RUNS = 100_000
-
 
 def _differs(left: str, right: str, check_cols: Sequence[str]) -> Column:
     parts = [~F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in check_cols]
@@ -139,23 +136,16 @@ def scd2_backfill(
 def _run_calendar(df: DataFrame, run: str, runs: Sequence[str] | None) -> DataFrame:
     """Per run its number and the run that follows.
 
-    Up to `MAX_BROADCAST_RUNS` runs go to every executor as a literal table; beyond that the
-    calendar stays distributed input of an ordinary join.
+    All stamps are one sorted array, about 15 bytes a run, made by partial aggregation: nothing is
+    collected and no window runs over all runs. Spark broadcasts the calendar where its size allows.
     """
-    distinct = df.select(run).where(F.col(run).isNotNull()).distinct()
     if runs is None:
-        runs = [r[0] for r in distinct.limit(MAX_BROADCAST_RUNS + 1).collect()]
-    if len(runs) <= MAX_BROADCAST_RUNS:
-        stamps = sorted(set(runs))
-        following = [*stamps[1:], None]
-        rows = [(stamp, nr, then) for nr, (stamp, then) in enumerate(zip(stamps, following))]
-        schema = f"`{run}` string, __nr int, __next string"
-        return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-    in_order = Window.orderBy(run)
-    return distinct.select(
-        run,
-        F.row_number().over(in_order).alias("__nr"),
-        F.lead(run).over(in_order).alias("__next"),
+        stamps = df.agg(F.array_sort(F.collect_set(run)).alias("r"))
+    else:
+        known = F.array(*map(F.lit, sorted(set(runs)))).cast("array<string>")
+        stamps = df.sparkSession.range(1).select(known.alias("r"))
+    return stamps.select("r", F.posexplode("r").alias("__nr", run)).select(
+        run, "__nr", F.get("r", F.col("__nr") + 1).alias("__next")
     )
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.sources.tables import small_side
 
-# The sketch is off by at most n / ACCURACY ranks; the bracket is a hundred times wider.
+# The sketch is off by at most n / ACCURACY ranks; the bracket is four times wider, and much wider
+# in groups so small that single ranks matter.
 ACCURACY = 10_000
-MARGIN = 0.01
+MARGIN = 0.0004
+SMALL_GROUP, SMALL_MARGIN = 50_000, 0.01
 
 # One line per group and column: a few dozen bytes each.
 MAX_BROADCAST_GROUPS = 500_000
@@ -22,7 +24,7 @@ def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
 
     A group may hold a third of all rows, so its values are never sorted as a whole. A quantile
     sketch, built per task and merged, brackets the middle ranks; values below the bracket are
-    only counted, and the values inside it (about 2 % of a group) are reduced to distinct
+    only counted, and the values inside it (below 0.1 % of a large group) are reduced to distinct
     values with counts before the ranking window sees them. Reads `df` twice.
     """
     pairs = F.array(
@@ -39,8 +41,11 @@ def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
         .where(F.col("v").isNotNull())
     )
 
-    bracket = F.percentile_approx("v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
-    sketches = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), bracket.alias("b"))
+    marks = [0.5 - SMALL_MARGIN, 0.5 - MARGIN, 0.5 + MARGIN, 0.5 + SMALL_MARGIN]
+    sketch = F.percentile_approx("v", marks, ACCURACY)
+    sketches = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("b"))
+    wide, narrow = F.array(F.col("b")[0], F.col("b")[3]), F.array(F.col("b")[1], F.col("b")[2])
+    sketches = sketches.withColumn("b", F.when(F.col("n") < SMALL_GROUP, wide).otherwise(narrow))
     sketches = small_side(sketches, "brackets", MAX_BROADCAST_GROUPS)
     located = values.join(sketches, keys).where(F.col("v") <= F.col("b")[1])
     below = F.col("v") < F.col("b")[0]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfmark.functions.scalars import to_int_nullable, to_number
 from shelfmark.operators.rows import stamp_run
 
 # Fields of a listing item. A string field takes nested values as JSON text.
@@ -43,8 +45,52 @@ REVIEW_ITEM = """
 """
 
 
+def _read_type(dtype: T.DataType) -> T.DataType:
+    """Numbers are read as the text they came in; a number sent as text or as 4.0 is one as well."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _read_type(f.dataType)) for f in dtype])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_read_type(dtype.elementType))
+    return T.StringType() if isinstance(dtype, (T.LongType, T.DoubleType)) else dtype
+
+
+def _as_read(ddl: str) -> str:
+    return _read_type(T.StructType.fromDDL(ddl)).simpleString()
+
+
+def whole_number(text: Column) -> Column:
+    """Text as bigint: digits to the last one, also `4.0`; anything else is null."""
+    digits = F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text.try_cast("bigint"))
+    return F.coalesce(digits, F.when(digits.isNull(), to_int_nullable(to_number(text))))
+
+
+def _converted(ddl: str, of: str) -> list[Column]:
+    """The fields of a record that was read by `_as_read`, in the types of `ddl`."""
+    found = []
+    for field in T.StructType.fromDDL(ddl):
+        value = F.col(f"{of}.`{field.name}`")
+        if isinstance(field.dataType, T.LongType):
+            value = whole_number(value)
+        elif isinstance(field.dataType, T.DoubleType):
+            value = to_number(value)
+        found.append(value.alias(field.name))
+    return found
+
+
 def _page(item: str) -> str:
-    return f"data array<struct<{item}>>, paging struct<total bigint>"
+    return f"data array<{item}>, paging struct<total string>"
+
+
+def _unreadable(text: Column) -> Column:
+    """Whether a response is no JSON object; a missing one is unreadable as well."""
+    return F.coalesce(F.try_parse_json(text).isNull() | ~text.rlike(r"^\s*\{"), F.lit(True))
+
+
+def page_audit(df: DataFrame, col: str = "payload") -> DataFrame:
+    """How many responses there are, and how many of them cannot be read."""
+    return df.agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(_unreadable(F.col(col))).alias("unreadable")
+    )
 
 
 def _items(pages: DataFrame, *keep: str) -> DataFrame:
@@ -60,9 +106,16 @@ def _items(pages: DataFrame, *keep: str) -> DataFrame:
 def listing_from_payload(
     df: DataFrame, run: str, item: str = LISTING_ITEM, col: str = "payload"
 ) -> DataFrame:
-    """One row per item of every listing page; pass a wider `item` to keep more fields."""
-    pages = df.select(F.from_json(col, _page(item)).alias("page"))
-    return stamp_run(_items(pages).select("item.*"), run)
+    """One row per item of every listing page.
+
+    The fields of `item` become columns; `record` is the item as it came, so bronze, the only copy,
+    also keeps the fields that nobody has asked for yet. Unreadable pages have no rows; `page_audit`
+    counts them.
+    """
+    pages = df.select(F.from_json(col, _page("string")).alias("page"))
+    records = _items(pages).withColumnRenamed("item", "record")
+    read = records.withColumn("item", F.from_json("record", _as_read(item)))
+    return stamp_run(read.select(*_converted(item, "item"), "record"), run)
 
 
 def images_project(images: Column) -> Column:
@@ -84,7 +137,8 @@ def detail_from_payload(df: DataFrame, run: str, col: str = "payload") -> DataFr
 
     An unreadable response gives a row without product id, which staging drops.
     """
-    products = df.select(F.from_json(col, DETAIL_FIELDS).alias("d"))
+    read = df.select(F.from_json(col, _as_read(DETAIL_FIELDS)).alias("r"))
+    products = read.select(F.struct(*_converted(DETAIL_FIELDS, "r")).alias("d"))
     named = products.select(
         F.col("d.id").alias("product_id"),
         *(f"d.{c}" for c in DETAIL_SCALARS),
@@ -101,8 +155,9 @@ def reviews_from_payload(
     df: DataFrame, run: str, product: str = "product_id", col: str = "payload"
 ) -> DataFrame:
     """One row per review of every review page, with the product the page was asked for."""
-    pages = df.select(product, F.from_json(col, _page(REVIEW_ITEM)).alias("page"))
+    pages = df.select(product, F.from_json(col, _page(_as_read(REVIEW_ITEM))).alias("page"))
     items = _items(pages.withColumnRenamed(product, "product_id"), "product_id")
+    items = items.withColumn("item", F.struct(*_converted(REVIEW_ITEM, "item")))
     named = items.select(
         F.col("item.id").alias("review_id"),
         "product_id",
@@ -120,13 +175,25 @@ def reviews_from_payload(
 def review_total_reached(
     df: DataFrame, product: str = "product_id", col: str = "payload"
 ) -> DataFrame:
-    """Per product: reviews collected, the total its pages report, and whether that is reached.
+    """Per product: reviews collected, the total its pages report, pages that say neither, and
+    whether the total is reached.
 
-    Counts inside the page, so no review row is ever built or shuffled.
+    A page that cannot be read, or whose total is there but is no number, is `unreadable`; a product
+    with such a page is never complete. A page without a total reports 0. Counts inside the page, so
+    no review row is ever built or shuffled.
     """
-    pages = df.select(product, F.from_json(col, _page(REVIEW_ITEM)).alias("page"))
+    pages = df.select(
+        product,
+        F.from_json(col, _page("string")).alias("page"),
+        _unreadable(F.col(col)).alias("broken"),
+    )
+    said = F.col("page.paging.total")
+    total = whole_number(said)
+    of_page = F.when(~F.col("broken"), F.greatest(F.coalesce(F.size("page.data"), F.lit(0)), F.lit(0)))
     counted = pages.groupBy(F.col(product).alias("product_id")).agg(
-        F.sum(F.greatest(F.coalesce(F.size("page.data"), F.lit(0)), F.lit(0))).alias("collected"),
-        F.coalesce(F.max("page.paging.total"), F.lit(0)).alias("reported"),
+        F.coalesce(F.sum(of_page), F.lit(0)).alias("collected"),
+        F.coalesce(F.max(F.when(~F.col("broken"), total)), F.lit(0)).alias("reported"),
+        F.count_if(F.col("broken") | (said.isNotNull() & total.isNull())).alias("unreadable"),
     )
-    return counted.withColumn("complete", F.col("collected") >= F.col("reported"))
+    done = (F.col("unreadable") == 0) & (F.col("collected") >= F.col("reported"))
+    return counted.withColumn("complete", done)

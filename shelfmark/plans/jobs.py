@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import run_timestamp
-from shelfmark.operators import clean, history, models, quality, rows
-from shelfmark.session import prepare, size_shuffles
+from shelfmark.operators import clean, history, models, payload, quality, rows
+from shelfmark.session import prepare, scratch, size_shuffles
 from shelfmark.sources import bronze, snapshots, tables
 
 ENTITIES = ["listing", "detail", "reviews"]
@@ -17,36 +17,73 @@ BOOKS = "marts.fct_books"
 REVIEWS = "marts.fct_reviews"
 PRICES = "marts.fct_prices_history"
 SNAPSHOT = "snapshots.book_prices"
+AUDIT = "audit.rows"
 
 # What the price snapshot watches.
 SNAPSHOT_KEY = "product_id"
 SNAPSHOT_CHECK = ["price", "discount_rate"]
 
 
+def land(
+    spark: SparkSession, landed: dict[str, DataFrame], bronze_path: str, run: str
+) -> DataFrame:
+    """Landed responses of one run to bronze; returns responses and unreadable ones by entity.
+
+    `landed` maps entities to responses in a column `payload`; reviews also have the `product_id`
+    that was asked for. Entities may be left out.
+    """
+    prepare(spark)
+    read = {
+        "listing": payload.listing_from_payload,
+        "detail": payload.detail_from_payload,
+        "reviews": payload.reviews_from_payload,
+    }
+    counts = None
+    for entity, responses in landed.items():
+        found = bronze.nested_to_json(read[entity](responses, run))
+        bronze.bronze_append(found, f"{bronze_path}/{entity}", run)
+        one = payload.page_audit(responses).select(F.lit(entity).alias("entity"), "pages", "unreadable")
+        counts = one if counts is None else counts.unionByName(one)
+    if counts is None:
+        raise ValueError("nothing landed")
+    return counts
+
+
+def work_list(spark: SparkSession, bronze_path: str) -> DataFrame | None:
+    """The products of the newest listing run, to be asked for next; None before the first."""
+    newest = bronze.latest_run_file(spark, f"{bronze_path}/listing")
+    return None if newest is None else rows.distinct_work_list(newest)
+
+
 def bronze_to_silver(spark: SparkSession, bronze_path: str, location: str) -> DataFrame:
     """Merge and clean all runs of `<bronze_path>/<entity>`; returns the audit of rows."""
     prepare(spark)
     size_shuffles(spark, bronze.input_bytes(spark, bronze_path))
-    raw = {e: bronze.bronze_union(spark, f"{bronze_path}/{e}") for e in ENTITIES}
-    return silver_from_raw(raw, location)
+    with scratch(spark):
+        raw = {e: bronze.bronze_union(spark, f"{bronze_path}/{e}") for e in ENTITIES}
+        return silver_from_raw(raw, location)
 
 
 def silver_from_raw(raw: dict[str, DataFrame], location: str) -> DataFrame:
-    """Replace the three silver tables from raw rows; returns the audit of rows."""
+    """Replace the three silver tables from raw rows; returns the audit of rows, a table itself.
+
+    Raw rows are counted while they are read for the silver tables, not in a pass of their own.
+    """
+    spark = next(iter(raw.values())).sparkSession
+    seen = {e: Observation(f"raw_{e}") for e in ENTITIES}
+    counted = {e: raw[e].observe(seen[e], F.count(F.lit(1)).alias("rows")) for e in ENTITIES}
     cleaned = {
-        "listing": clean.clean_listing(raw["listing"]),
-        "detail": clean.clean_detail(raw["detail"], spec_keys=None),
-        "reviews": clean.clean_reviews(raw["reviews"]),
+        "listing": clean.clean_listing(counted["listing"]),
+        "detail": clean.clean_detail(counted["detail"], spec_keys=None),
+        "reviews": clean.clean_reviews(counted["reviews"]),
     }
     for entity, df in cleaned.items():
         tables.write_table(df, SILVER[entity], location)
-    return rows.row_audit(
-        {
-            "listing": (raw["listing"], ["id"], []),
-            "detail": (raw["detail"], ["product_id"], []),
-            "reviews": (raw["reviews"], ["review_id"], ["review_id", "product_id"]),
-        }
-    )
+    kept = {e: spark.table(SILVER[e]).count() for e in ENTITIES}
+    audit = [(e, seen[e].get["rows"], kept[e], seen[e].get["rows"] - kept[e]) for e in ENTITIES]
+    schema = "entity string, rows_in bigint, rows_out bigint, dropped bigint"
+    tables.write_table(spark.createDataFrame(audit, schema), AUDIT, location)
+    return spark.table(AUDIT)
 
 
 def publish_staging(spark: SparkSession) -> None:

@@ -253,8 +253,9 @@ SELECT CASE own WHEN 0 THEN l_partkey ELSE l_suppkey END AS id,
        CASE own WHEN 0 THEN l_suppkey END AS seller_id,
        CASE own WHEN 0 THEN l_extendedprice ELSE l_tax END AS price,
        CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS BIGINT) END AS quantity_sold,
+       CAST(l_linenumber AS BIGINT) AS review_count,
        l_linestatus = 'O' AS has_ebook,
-       CAST(NULL AS VARCHAR) AS brand_name,
+       CAST(NULL AS VARCHAR) AS brand_name, 'badge' AS badge,
        '20240301_000000' AS extracted_at
 FROM lineitem, range(2) AS offers(own)""",
 )
@@ -304,14 +305,26 @@ FROM events, range(2) AS pair(shift)""",
 _add(
     "review_total_reached",
     f"""
-SELECT user_id AS product_id, 2 * count(*) AS collected,
-       max(CASE WHEN event_type = 'view' THEN {_K} ELSE 2 END) AS reported,
-       2 * count(*) >= max(CASE WHEN event_type = 'view' THEN {_K} ELSE 2 END) AS complete
-FROM events GROUP BY user_id""",
+SELECT *, unreadable = 0 AND collected >= reported AS complete
+FROM (SELECT user_id AS product_id, 2 * count(CASE WHEN NOT cut THEN 1 END) AS collected,
+             coalesce(max(CASE WHEN NOT cut AND event_type <> 'signup' THEN
+                 CASE WHEN event_type = 'view' THEN {_K} ELSE 2 END END), 0) AS reported,
+             count(CASE WHEN cut OR event_type = 'signup' THEN 1 END) AS unreadable
+      FROM (SELECT *, event_type = 'error' AND event_id % 5 = 0 AS cut FROM events)
+      GROUP BY user_id)""",
+)
+_add(
+    "page_audit",
+    """
+SELECT count(*) AS pages,
+       count(CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 1 END) AS unreadable
+FROM events""",
 )
 _add(
     "distinct_work_list",
-    "SELECT l_partkey AS product_id FROM lineitem UNION SELECT l_suppkey FROM lineitem",
+    """
+SELECT l_partkey AS product_id FROM lineitem WHERE l_returnflag = 'N'
+UNION SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'N'""",
 )
 
 # --- cleaning --------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import scalars as S
 from shelfmark.operators import analytics as A
 from shelfmark.operators import clean, history, models, payload, quality, rows
+from shelfmark.plans import jobs
 from shelfmark.session import prepare, scratch_path
 from shelfmark.sources import bronze, tables
 from shelfmark.sources import fixtures as fx
@@ -104,22 +105,23 @@ def bronze_union(spark, sf_dir):
     path = scratch_path(spark, "bronze")
     narrow = raw.where(F.col("book_cover") == "a").drop("list_price")
     drifted = raw.where(F.col("book_cover") == "n").withColumn("id", F.col("id").cast("double"))
-    wider = raw.where(F.col("book_cover") == "r").withColumn("note", F.col("type"))
+    rest = ~F.coalesce(F.col("book_cover").isin("a", "n"), F.lit(False))
+    wider = raw.where(rest).withColumn("note", F.col("type"))
     for run, part in {"1": narrow, "2": drifted, "3": wider}.items():
         bronze.bronze_append(part, path, f"2024010{run}_000000")
-    merged = bronze.bronze_union(spark, path)
-    return merged.withColumn("id", F.col("id").cast("bigint"))
+    return bronze.bronze_union(spark, path)
 
 
 def _bronze_by_flag(spark, sf_dir):
-    """Three runs, one per return flag in the order A, N, R."""
+    """Three runs: the return flags A and N, then all others."""
     lines = fx.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"
     )
     path = scratch_path(spark, "bronze")
-    for run, flag in enumerate("ANR", start=1):
-        part = lines.where(F.col("l_returnflag") == flag)
-        bronze.bronze_append(part, path, f"2024010{run}_000000")
+    flag = F.col("l_returnflag")
+    rest = ~F.coalesce(flag.isin("A", "N"), F.lit(False))
+    for run, chosen in enumerate((flag == "A", flag == "N", rest), start=1):
+        bronze.bronze_append(lines.where(chosen), path, f"2024010{run}_000000")
     return path
 
 
@@ -242,12 +244,20 @@ def listing_from_payload(spark, sf_dir):
         "seller_id",
         "price",
         S.extract_quantity(F.col("quantity_sold")).alias("quantity_sold"),
+        "review_count",
         "has_ebook",
         "brand_name",
+        F.get_json_object("record", "$.badges[0]").alias("badge"),
         "extracted_at",
     )
 
 
+@query
+def page_audit(spark, sf_dir):
+    events = fx.table(spark, sf_dir, "events")
+    return payload.page_audit(fx.reviews_payload(events, faults=True))
+
+
 @query
 def detail_from_payload(spark, sf_dir):
     return _details(spark, sf_dir).select(
@@ -294,13 +304,19 @@ def reviews_from_payload(spark, sf_dir):
 
 @query
 def review_total_reached(spark, sf_dir):
-    return payload.review_total_reached(fx.reviews_payload(fx.table(spark, sf_dir, "events")))
+    events = fx.table(spark, sf_dir, "events")
+    return payload.review_total_reached(fx.reviews_payload(events, faults=True))
 
 
 @query
 def distinct_work_list(spark, sf_dir):
-    items = payload.listing_from_payload(_listing_payload(spark, sf_dir), fx.RUN)
-    return rows.distinct_work_list(items)
+    """The products of the newest of two landed runs."""
+    path = scratch_path(spark, "bronze")
+    lines = fx.table(spark, sf_dir, "lineitem")
+    jobs.land(spark, {"listing": fx.listing_payload(lines)}, path, "20240101_000000")
+    newer = fx.listing_payload(lines.where(F.col("l_returnflag") == "N"))
+    jobs.land(spark, {"listing": newer}, path, "20240102_000000")
+    return jobs.work_list(spark, path)
 
 
 # --- cleaning --------------------------------------------------------------------------------

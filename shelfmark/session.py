@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -57,13 +60,35 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    # local[...] is one machine; local-cluster[...] has executors with folders of their own.
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="shelfmark-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+# Folders of the jobs that are running, innermost last.
+_job_folders: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing else ever writes there."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = _job_folders[-1] if _job_folders else shared_folder(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Everything that `scratch_path` names inside is removed when the job ends, well or not.
+
+    For jobs that write their results before they end; a lazy result would miss its files.
+    """
+    folder = f"{shared_folder(spark)}/job-{uuid.uuid4().hex[:12]}"
+    _job_folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _job_folders.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,11 +11,9 @@ from pyspark.sql import types as T
 
 RUN = "run"
 
-# Footers are read a few at a time by the driver; no data is.
-_FOOTER_THREADS = 16
-
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_NUMERIC = (*_INTEGRAL, T.FloatType, T.DoubleType)
+_FLOATING = (T.FloatType, T.DoubleType)
+_NUMERIC = (*_INTEGRAL, *_FLOATING)
 _NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
@@ -35,18 +32,11 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return _files(spark, path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of fewer files than there are cores, dealt out to all cores; else `df` as it is.
+def bronze_append(df: DataFrame, path: str, run: str) -> None:
+    """Write one run into its own folder. Other runs stay untouched; a retried run replaces itself.
 
-    A small file is one task however heavy its parsing. Large inputs have files enough and pass
-    through without a shuffle.
+    So the checkpoint files of a run need stamps of their own.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
-
-
-def bronze_append(df: DataFrame, path: str, run: str) -> None:
-    """Write one run into its own folder. Other runs stay untouched; a retried run replaces itself."""
     df.write.mode("overwrite").parquet(f"{path}/{RUN}={run}")
 
 
@@ -80,7 +70,9 @@ def bronze_union(spark: SparkSession, path: str, keep_run: bool = False) -> Data
     """All runs below `path`, appended by column name; a column a file lacks is null there.
 
     Files that agree on types are read as one scan. Where they do not (a whole-number column with
-    gaps comes as double), files are grouped by schema, one scan each, and cast to the widest type.
+    gaps comes as double), the runs are cut into stretches that agree, one scan each, and cast to
+    the widest type. Columns that are whole numbers in some files and whole doubles in all others
+    stay whole numbers, so ids keep their last digit.
     """
     if not _files(spark, path).take(1):
         raise FileNotFoundError(f"no Parquet file below {path}")
@@ -93,26 +85,72 @@ def bronze_union(spark: SparkSession, path: str, keep_run: bool = False) -> Data
     return merged if keep_run else merged.drop(RUN)
 
 
+def _agreeing(read, places: list[str]) -> list[DataFrame]:
+    """`places` in order, cut into as few stretches as halving finds whose files merge.
+
+    Writers change now and then, not from file to file: the number of schema reads follows the
+    number of changes, and every read is one job over the footers of its stretch.
+    """
+    try:
+        return [read(places)]
+    except Exception as error:  # raised by the footer job, so it has no class of its own
+        if "CANNOT_MERGE" not in str(error) or len(places) == 1:
+            raise
+    half = len(places) // 2
+    return _agreeing(read, places[:half]) + _agreeing(read, places[half:])
+
+
 def _union_by_schema(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.option("basePath", path)
-    files = sorted(spark.read.parquet(path).inputFiles())
-    with ThreadPoolExecutor(_FOOTER_THREADS) as pool:
-        schemas = list(pool.map(lambda file: spark.read.parquet(file).schema, files))
-    groups: dict[str, list[str]] = {}
-    for file, schema in zip(files, schemas):
-        groups.setdefault(schema.json(), []).append(file)
-    parts = [reader.parquet(*members) for members in groups.values()]
+    reader = spark.read.option("basePath", path).option("mergeSchema", "true")
+    runs = run_folders(spark, path)
+    # The files of a run were written by one job; without run folders, files stand for runs.
+    places = [f"{path}/{RUN}={run}" for run in runs]
+    if not places:
+        places = sorted(r["path"] for r in _files(spark, path).select("path").collect())
+    parts = _agreeing(lambda some: reader.parquet(*some), places)
+    # Stretches that halving cut apart although they agree are read together again.
+    same: dict[str, list[DataFrame]] = {}
+    for part in parts:
+        same.setdefault(part.schema.json(), []).append(part)
+    parts = [reduce(DataFrame.unionByName, some) for some in same.values()]
 
     types: dict[str, list[T.DataType]] = {}
     parts = [_drop_untyped(part, parts) for part in parts]
     for part in parts:
         for f in part.schema:
             types.setdefault(f.name, []).append(f.dataType)
-    wide = {name: widest(seen) for name, seen in types.items()}
+    whole = _whole_doubles(parts, types)
+    wide = {
+        name: widest([T.LongType() if name in whole and isinstance(t, _FLOATING) else t for t in seen])
+        for name, seen in types.items()
+    }
     cast = [part.select(*(_widen(f, wide[f.name]) for f in part.schema)) for part in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
 
+def _whole_doubles(parts: list[DataFrame], types: dict[str, list[T.DataType]]) -> set[str]:
+    """Columns that are whole numbers in some parts and doubles without fractions in others.
+
+    Looks only at the double columns in question, one pass per part that has some.
+    """
+    mixed = {
+        name
+        for name, seen in types.items()
+        if any(isinstance(t, _INTEGRAL) for t in seen) and any(isinstance(t, _FLOATING) for t in seen)
+    }
+    for part in parts:
+        doubles = [f.name for f in part.schema if f.name in mixed and isinstance(f.dataType, _FLOATING)]
+        if doubles:
+            wrong = part.agg(*(F.count_if(~_is_whole(F.col(f"`{c}`"))).alias(c) for c in doubles)).first()
+            mixed -= {c for c in doubles if wrong[c]}
+    return mixed
+
+
+def _is_whole(col: Column) -> Column:
+    """A double that a bigint holds to the last digit."""
+    return (F.abs(col) <= F.lit(float(1 << 53))) & (col == F.floor(col))
+
+
 def _drop_untyped(part: DataFrame, parts: list[DataFrame]) -> DataFrame:
     """Drop columns that hold no value in `part` and read as int only for want of a type.
 
@@ -152,6 +190,10 @@ def _widen(f: T.StructField, target: T.DataType) -> Column:
         return col
     if isinstance(f.dataType, _NESTED):
         return F.to_json(col, {"ignoreNullFields": "false"}).alias(f.name)
+    if isinstance(f.dataType, _FLOATING) and isinstance(target, T.StringType):
+        # 123.0 and 123 are one id.
+        whole = F.when(_is_whole(col), col.cast("bigint").cast("string"))
+        return F.coalesce(whole, col.cast("string")).alias(f.name)
     return col.cast(target).alias(f.name)
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.scalars import RUN_STAMP
-from shelfmark.sources.bronze import spread
 
 # Latest-per-key needs a total order; these make one on the fixtures.
 LISTING_TIES = ["seller_product_id", "seller_id", "original_price"]
@@ -20,7 +19,7 @@ RUN = "20240301_000000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _columns(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
@@ -195,15 +194,21 @@ def price_runs(events: DataFrame) -> DataFrame:
 def _offer(product: str, sku: str, seller: str, price: str) -> str:
     return f"""named_struct('id', {product}, 'sku', concat('{sku}', {product}),
         'name', concat('Book ', {product}), 'seller_id', {seller}, 'price', {price},
-        'quantity_sold', CASE WHEN l_returnflag <> 'N'
+        'review_count', cast(l_linenumber AS double), 'quantity_sold', CASE WHEN l_returnflag <> 'N'
             THEN named_struct('text', 'sold', 'value', {_UNITS}) END,
         'has_ebook', l_linestatus = 'O', 'badges', array('badge'))"""
 
 
 def listing_payload(lineitem: DataFrame) -> DataFrame:
-    """One listing page per order line: the part, and the part as its supplier offers it."""
+    """One listing page per order line: the part, and the part as its supplier offers it.
+
+    The supplier's numbers come as text, review counts as `4.0`; `badges` is a field that nobody
+    reads yet.
+    """
     line = _offer("l_partkey", "SKU-", "l_suppkey", "l_extendedprice")
-    own = _offer("l_suppkey", "OWN-", "cast(NULL AS bigint)", "l_tax")
+    own = _offer(
+        "cast(l_suppkey AS string)", "OWN-", "cast(NULL AS bigint)", "cast(l_tax AS string)"
+    )
     page = f"named_struct('data', array({line}, {own}))"
     return lineitem.selectExpr(f"to_json({page}) AS payload")
 
@@ -225,10 +230,11 @@ def detail_payload(part: DataFrame) -> DataFrame:
     return part.selectExpr(f"to_json({response}) AS payload")
 
 
-def reviews_payload(events: DataFrame) -> DataFrame:
+def reviews_payload(events: DataFrame, faults: bool = False) -> DataFrame:
     """One review page per event: its author's review, and one whose author is unknown.
 
-    Pages of viewers report as many reviews as the event's k.
+    Pages of viewers report as many reviews as the event's k. With `faults`, every fifth error is
+    cut off, clicks report their total as text, and signups report none that is a number.
     """
     author = """named_struct('name', concat('user ', user_id),
         'purchased', event_type = 'purchase')"""
@@ -240,6 +246,12 @@ def reviews_payload(events: DataFrame) -> DataFrame:
 
     nobody = f"CASE WHEN false THEN {author} END"
     total = f"CASE WHEN event_type = 'view' THEN {_K} ELSE 2L END"
+    if faults:
+        total = f"""CASE event_type WHEN 'signup' THEN 'n/a' ELSE cast({total} AS string) END"""
     page = f"""named_struct('data', array({review(0, author)}, {review(1, nobody)}),
         'paging', named_struct('total', {total}))"""
-    return events.selectExpr("user_id AS product_id", f"to_json({page}) AS payload")
+    text = f"to_json({page})"
+    if faults:
+        cut = "event_type = 'error' AND event_id % 5 = 0"
+        text = f"CASE WHEN {cut} THEN left({text}, 40) ELSE {text} END"
+    return events.selectExpr("user_id AS product_id", f"{text} AS payload")

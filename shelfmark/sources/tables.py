@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
@@ -24,17 +25,25 @@ def create_database(spark: SparkSession, name: str, location: str) -> str:
     return database
 
 
-def _new_version(name: str) -> str:
+def new_version(name: str) -> str:
     """A name that sorts after all earlier versions."""
     stamp = datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
     return f"{name}__{stamp}_{uuid.uuid4().hex[:8]}"
 
 
+# What `new_version` puts behind a name: a time to the microsecond and eight hex digits.
+_VERSION = r"__\d{20}_[0-9a-f]{8}"
+
+
 def versions(spark: SparkSession, name: str) -> list[str]:
-    """The stored versions of a table, oldest first."""
+    """The stored versions of exactly this table, oldest first.
+
+    Other tables whose names begin alike (`books__raw` beside `books`) are none of them.
+    """
     database, _, table = name.rpartition(".")
     found = spark.sql(f"SHOW TABLES IN {database} LIKE '{table}__*'").select("tableName")
-    return sorted(f"{database}.{row[0]}" for row in found.collect())
+    own = re.compile(re.escape(table) + _VERSION, re.IGNORECASE)
+    return sorted(f"{database}.{row[0]}" for row in found.collect() if own.fullmatch(row[0]))
 
 
 def write_table(
@@ -52,7 +61,7 @@ def write_table(
     """
     spark = df.sparkSession
     create_database(spark, name, location)
-    version = _new_version(name)
+    version = new_version(name)
     if buckets is None:
         writer = df.write.format("parquet")
     else:
@@ -61,7 +70,8 @@ def write_table(
         writer = by_bucket.write.format("parquet").bucketBy(number, column).sortBy(column)
     writer.saveAsTable(version)
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
-    for old in versions(spark, name)[:-keep]:
+    older = [old for old in versions(spark, name) if old.lower() != version.lower()]
+    for old in older[: max(0, len(older) - (keep - 1))]:
         spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 

@@ -147,13 +147,14 @@ def test_merging_every_run_equals_the_backfill(spark, tmp_path):
     assert overlap.count() == 0
 
 
-def test_backfill_with_a_distributed_calendar(spark, monkeypatch):
+def test_backfill_has_no_window_over_all_runs(spark):
     runs = fx.price_runs(fx.table(spark, SMALL, "events"))
     usual = history.scd2_backfill(runs, "product_id", CHECK, ties=["seen_at"])
-    expected = sorted(map(repr, usual.collect()))
-    monkeypatch.setattr(history, "MAX_BROADCAST_RUNS", 3)
-    beyond = history.scd2_backfill(runs, "product_id", CHECK, ties=["seen_at"])
-    assert sorted(map(repr, beyond.collect())) == expected
+    plan = usual._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(product_id" in plan and "windowspecdefinition(extracted_at" not in plan
+    stamps = [r[0] for r in runs.select("extracted_at").distinct().collect()]
+    known = history.scd2_backfill(runs, "product_id", CHECK, ties=["seen_at"], runs=stamps)
+    assert sorted(map(repr, known.collect())) == sorted(map(repr, usual.collect()))
 
 
 def test_backfill_with_known_runs_sees_empty_runs(spark):

@@ -73,7 +73,45 @@ def test_reviews(spark):
         (None, None),
     ]
     totals = payload.review_total_reached(df).orderBy("product_id").collect()
-    assert [tuple(r) for r in totals] == [(7, 3, 4, False), (8, 0, 2, False), (9, 0, 0, True)]
+    assert [tuple(r) for r in totals] == [(7, 3, 4, 0, False), (8, 0, 2, 0, False), (9, 0, 0, 0, True)]
+
+
+def test_completeness_is_honest(spark):
+    """Pages that cannot be read, and totals that are no number, never make a product complete."""
+    one = json.dumps({"data": [{"id": 1}], "paging": {"total": "2"}})
+    rows = [
+        (1, '{"data": [{"id": 1}'),
+        (2, one),
+        (3, one),
+        (3, one.replace("1}", "2}")),
+        (4, json.dumps({"data": [{"id": 1}], "paging": {"total": "many"}})),
+        (5, None),
+        (6, "[]"),
+        (7, json.dumps({"data": [{"id": 1}, {"id": 2}], "paging": {"total": 2.0}})),
+    ]
+    df = spark.createDataFrame(rows, "product_id bigint, payload string")
+    found = {r[0]: tuple(r)[1:] for r in payload.review_total_reached(df).collect()}
+    assert found == {
+        1: (0, 0, 1, False),
+        2: (1, 2, 0, False),
+        3: (2, 2, 0, True),
+        4: (1, 0, 1, False),
+        5: (0, 0, 1, False),
+        6: (0, 0, 1, False),
+        7: (2, 2, 0, True),
+    }
+    assert tuple(payload.page_audit(df).first()) == (8, 3)
+
+
+def test_items_are_kept_whole(spark):
+    """Numbers sent as text or with a fraction of 0 are numbers; unknown fields stay in `record`."""
+    odd = {"id": "9007199254740993", "price": "12.5", "review_count": 4.0, "order_count": 4.5, "badges": [{"code": "x"}]}
+    page = json.dumps({"data": [odd, {"id": 2, "review_count": 3}, {"id": "x"}]})
+    df = spark.createDataFrame([(page,), ("{",)], "payload string")
+    rows = payload.listing_from_payload(df, RUN).collect()
+    shown = [(r["id"], r["price"], r["review_count"], r["order_count"]) for r in rows]
+    assert shown == [(9007199254740993, 12.5, 4, None), (2, None, 3, None), (None, None, None, None)]
+    assert json.loads(rows[0]["record"]) == odd
 
 
 def test_payload_text_keeps_diacritics(spark):
@@ -88,14 +126,14 @@ def test_each_text_is_parsed_once(spark, tmp_path):
     path = str(tmp_path / "pages")
     spark.createDataFrame([(1, "{}")], "product_id bigint, payload string").write.parquet(path)
     df = spark.read.parquet(path)
-    for rows in (
-        payload.listing_from_payload(df, RUN),
-        payload.detail_from_payload(df, RUN),
-        payload.reviews_from_payload(df, RUN),
-        payload.review_total_reached(df),
+    for rows, times in (
+        (payload.listing_from_payload(df, RUN), 2),  # the page, and each of its records
+        (payload.detail_from_payload(df, RUN), 1),
+        (payload.reviews_from_payload(df, RUN), 1),
+        (payload.review_total_reached(df), 1),
     ):
         text = rows._jdf.queryExecution().executedPlan().toString()
-        assert text.count("from_json(") == 1
+        assert text.count("from_json(") == times
     specs = clean.flatten_specs(df, "product_id", "payload")
     text = specs._jdf.queryExecution().executedPlan().toString()
     assert text.count("from_json(") == 1 and text.count("parseJson") <= 1

@@ -13,12 +13,14 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry.QUERIES.keys() == entry.ORACLE_SQL.keys()
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", entry.QUERIES)
 def test_query(spark, connection, name):
     assert check.compare(spark, connection, name, SMALL) == ""
+    plan = entry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan
 
 
 def test_entry(spark):

@@ -143,6 +143,26 @@ def test_exact_avg_does_not_hang_on_order(spark):
     assert seen == {37579.461613}
 
 
+def test_exact_avg_keeps_large_and_tiny_values(spark):
+    def avg(*values):
+        return spark.createDataFrame([(v,) for v in values], "x double").agg(S.exact_avg(x())).first()[0]
+
+    assert avg(1e21, 1.0, 3.0) == pytest.approx(1e21 / 3)
+    assert avg(1e-9, 1e-9) == 1e-9
+    assert avg(float("inf"), 1.0) == float("inf")
+    assert str(avg(float("nan"), 1.0)) == "nan"
+    assert avg(1 / 3, 2 / 3, None) == 0.5
+    assert avg(None) is None
+    assert avg(1.0, 2.0, 2.0) == 1.666667
+
+
+def test_tolerant_means_tolerant(column):
+    texts = ["12.5", "0", "0.0", "free", None]
+    assert column(texts, "string", S.zero_to_null(x(), T.StringType())) == ["12.5", None, None, "free", None]
+    odd = ["-9223372036854775808", "9223372036854775807"]
+    assert column(odd, "string", S.parse_created_at(x())) == [None, None]
+
+
 def test_run_stamp_round_trip(column):
     stamp = "20240229_235959"
     assert column([stamp], "string", S.run_stamp(S.run_timestamp(x()))) == [stamp]

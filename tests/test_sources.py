@@ -29,7 +29,7 @@ def test_union_of_drifting_files(spark, tmp_path):
     )
     found = bronze.bronze_union(spark, str(tmp_path))
     types = {f.name: f.dataType.simpleString() for f in found.schema}
-    assert types == {"id": "double", "flag": "boolean", "a": "string", "m": "string", "b": "bigint"}
+    assert types == {"id": "bigint", "flag": "boolean", "a": "string", "m": "string", "b": "bigint"}
     by_m = {r["m"]: r for r in found.collect()}
     assert (by_m["1"]["id"], by_m["1"]["flag"], by_m["1"]["a"], by_m["1"]["b"]) == (1.0, None, "x", None)
     assert (by_m["q"]["id"], by_m["q"]["flag"], by_m["q"]["a"], by_m["q"]["b"]) == (3.0, True, None, 1)
@@ -114,6 +114,55 @@ def test_old_versions_go(spark, tmp_path):
         tables.write_table(spark.range(1), "no_database", str(tmp_path))
 
 
+def test_a_table_never_touches_another(spark, tmp_path):
+    """Names that begin alike, also with what separates names and versions."""
+    location = str(tmp_path)
+    for n in range(1, 4):
+        tables.write_table(spark.range(7), "apart.books__raw", location)
+        tables.write_table(spark.range(n), "apart.books", location)
+    assert spark.table("apart.books").count() == 3 and spark.table("apart.books__raw").count() == 7
+    assert len(tables.versions(spark, "apart.books")) == tables.KEPT_VERSIONS
+    assert len(tables.versions(spark, "apart.books__raw")) == tables.KEPT_VERSIONS
+
+
+def test_ids_survive_drift(spark, tmp_path):
+    path = str(tmp_path / "b")
+    big = [9007199254740993, 9007199254740992]
+    bronze.bronze_append(spark.createDataFrame([(i,) for i in big], "id bigint"), path, "20240101_000000")
+    bronze.bronze_append(spark.createDataFrame([(5.0,), (None,)], "id double"), path, "20240102_000000")
+    found = bronze.bronze_union(spark, path)
+    assert found.schema["id"].dataType.simpleString() == "bigint"
+    assert {r["id"] for r in found.collect()} == {*big, 5, None}
+    bronze.bronze_append(spark.createDataFrame([("5",)], "id string"), path, "20240103_000000")
+    assert sorted(r["id"] or "" for r in bronze.bronze_union(spark, path).collect()) == sorted(["", "5", "5", *map(str, big)])
+
+
+def test_union_reads_few_schemas(spark, tmp_path, monkeypatch):
+    """The number of schema reads follows the changes of the schema, not the number of files."""
+    for i in range(60):
+        kind = pd.Series([i], dtype="int64" if i < 20 else "float64" if i < 40 else "object")
+        pd.DataFrame({"id": kind.astype(str) if i >= 40 else kind, "n": [i]}).to_parquet(tmp_path / f"l_{i:03d}.parquet")
+    reads = []
+    usual = bronze._agreeing
+    monkeypatch.setattr(bronze, "_agreeing", lambda read, places: reads.append(len(places)) or usual(read, places))
+    found = bronze.bronze_union(spark, str(tmp_path))
+    assert found.count() == 60 and {r["id"] for r in found.collect()} == {str(i) for i in range(60)}
+    assert len(reads) < 30
+
+
+def test_scratch_goes_with_the_job(spark):
+    import os
+
+    with session.scratch(spark) as folder:
+        assert tables.materialize(spark.range(3), "x").count() == 3
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)
+    with pytest.raises(ZeroDivisionError), session.scratch(spark) as folder:
+        tables.materialize(spark.range(3), "x")
+        raise ZeroDivisionError
+    assert not os.path.exists(folder)
+
+
 def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
     location = str(tmp_path)
     left = spark.range(100).withColumnRenamed("id", "k").withColumn("l", F.lit(1))
@@ -148,8 +197,10 @@ def test_shared_folder_is_never_local_on_a_cluster():
     class Session:
         conf = Conf({"spark.master": "yarn"})
 
-    with pytest.raises(ValueError):
-        session.shared_folder(Session())
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        Session.conf["spark.master"] = master
+        with pytest.raises(ValueError):
+            session.shared_folder(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
     assert session.shared_folder(Session()) == "hdfs:///shared"
     assert session.scratch_path(Session(), "x").startswith("hdfs:///shared/x-")
@@ -224,3 +275,24 @@ def test_snapshot_runs(spark, tmp_path):
     assert _shown(spark.table(name)) == expected
     last = record(5, [(1, 5.0, "back"), (2, 7.0, "b"), (3, 1.0, "c")])
     assert _shown(last) == sorted([*expected, (1, 5.0, 5, None)])
+
+
+def test_snapshots_do_not_grow_and_take_new_columns(spark, tmp_path):
+    name, location = "snap.wide", str(tmp_path / "s")
+    columns = "product_id bigint, price double"
+
+    def record(day, rows, ddl=columns):
+        source = spark.createDataFrame(rows, ddl)
+        return snapshots.snapshot(name, source, location, f"202401{day:02d}_000000", "product_id", ["price"])
+
+    rows = [(i, float(i)) for i in range(50)]
+    for day in range(1, 9):
+        record(day, rows)
+    stored = spark.read.parquet(location).where("state = 'open'").groupBy("run").count().collect()
+    assert sum(r["count"] for r in stored) <= 100
+    wider = [(i, float(i + (i == 3)), "m") for i in range(50)]
+    after = record(9, wider, columns + ", maker string")
+    assert after.count() == 51 and {r["maker"] for r in after.collect()} == {None, "m"}
+    assert [r["maker"] for r in after.where("product_id = 3").orderBy("valid_from").collect()] == [None, "m"]
+    last = record(10, rows)
+    assert "maker" in last.columns and last.where("valid_to IS NULL").count() == 50

@@ -142,8 +142,9 @@ def test_discovered_keys(spark):
     assert keys == ["spec_a", "spec_it's_\\_odd"]
     row = clean.pivot_specs(df.where(F.col("id") == "1"), "specs", keys).first()
     assert row["spec_it's_\\_odd"] == "x"
-    with pytest.raises(ValueError):
-        clean.discover_spec_keys(df, "specs", limit=1)
+    assert clean.discover_spec_keys(df, "specs", limit=1) == ["spec_a"]
+    more = clean.pivot_specs(df, "specs", ["spec_a"], more="more").orderBy("id").collect()
+    assert more[0]["more"] == {"spec_it's_\\_odd": "x"} and not more[1]["more"]
 
 
 def test_discovery_in_clean_detail(spark):
