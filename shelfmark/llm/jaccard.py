@@ -13,7 +13,8 @@ An exact set-similarity join that uses how sets relate to each other:
 
 Prefixes travel as arrays, one per segment of the hash range. A list that the sketch shows to be
 long is cut into stripes, and each pair of stripes is a list of its own. Candidate pairs that remain
-are verified on whole sets. Sets leave their task only for pairs to verify.
+are checked on parity bitmaps, which prove most of the unlinked ones to be so, and then on whole
+sets. Sets leave their task only for pairs to verify.
 
 The links found connect every group of linked documents; links inside a group that others imply are
 not listed. Shingles and sets are known by 64-bit hashes.
@@ -188,8 +189,36 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Those of the (a, b) class pairs whose sets are similar enough."""
+def parity(found: np.ndarray) -> bytes:
+    """A bitmap of at least four bits a shingle, each bit the parity of the shingles that fall on it.
+
+    Two sets' bitmaps of one size differ in at most as many bits as the sets differ in shingles.
+    """
+    size = 1 << max(6, int(4 * len(found) - 1).bit_length())
+    at = (found & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool)).tobytes()
+
+
+def _halved(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set at a smaller size: places that fall together add up."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """False only where the bitmaps prove the similarity to be too small."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(x), len(y))
+    differ = int(np.bitwise_count(_halved(x, size) ^ _halved(y, size)).sum())
+    # Linked sets have at least NUM / (NUM + DEN) of n + m in common, and differ in the rest.
+    return differ * (NUM + DEN) <= (n + m) * (DEN - NUM)
+
+
+def _of_classes(
+    docs: DataFrame, described: DataFrame, pairs: DataFrame, content, name: str
+) -> DataFrame:
+    """(class, n, content) of every class in the (a, b) pairs, written: `content` of its set."""
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     # One document of each class that a pair needs.
     one = (
@@ -206,44 +235,68 @@ def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, name: str
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
         for batch in batches:
-            number, found, held = [], [], 0
+            number, size, found, held = [], [], [], 0
             for text in batch.column("text"):
                 members = shingles(known.of(text.as_py()))
+                # Rows equal in id and text give the same set: once per task is enough.
                 if (own := _class_of(members)) in seen:
                     continue
                 seen.add(own)
-                found.append(members)
                 number.append(own)
-                held += len(members)
-                if held > 1 << 20:
-                    yield rows(number, found)
-                    number, found, held = [], [], 0
-            yield rows(number, found)
+                size.append(len(members))
+                found.append(content(members))
+                held += len(found[-1])
+                if held > 8 << 20:
+                    yield rows(number, size, found)
+                    number, size, found, held = [], [], [], 0
+            yield rows(number, size, found)
 
-    def rows(number, found):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(number, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
-            ["class", "members"],
-        )
+    def rows(number, size, found):
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        columns = [pa.array(c, t) for c, t in zip((number, size, found), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["class", "n", "content"])
+
+    return materialize(texts.mapInArrow(sets, "class long, n long, content binary"), f"{name}-sets")
+
+
+def _where(pairs: DataFrame, contents: DataFrame, keep) -> DataFrame:
+    """The distinct (a, b) pairs for whose contents x and y, of n and m shingles, `keep` holds."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    members = materialize(texts.mapInArrow(sets, "class long, members binary"), f"{name}-sets")
-    left = members.select(F.col("class").alias("a"), F.col("members").alias("x"))
-    right = members.select(F.col("class").alias("b"), F.col("members").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    # Rows equal in id and text give the same set once per task.
+            columns = (batch.column(c) for c in ("x", "y", "n", "m"))
+            kept = [
+                keep(x.as_buffer(), y.as_buffer(), n.as_py(), m.as_py())
+                for x, y, n, m in zip(*columns, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    left = contents.select(F.col("class").alias("a"), "n", F.col("content").alias("x"))
+    right = contents.select(
+        F.col("class").alias("b"), F.col("n").alias("m"), F.col("content").alias("y")
+    )
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
     return both.mapInArrow(compared, "a long, b long").distinct()
 
 
+def linked(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether two sets of sorted shingles are similar enough."""
+    both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return DEN * common >= NUM * (n + m - common)
+
+
+def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Those of the (a, b) class pairs whose sets are similar enough.
+
+    Bitmaps rule most of the others out; whole sets are made and moved for what they leave.
+    """
+    bitmaps = _of_classes(docs, described, pairs, parity, f"{name}-bitmap")
+    close = materialize(_where(pairs, bitmaps, may_link), f"{name}-close")
+    sets = _of_classes(docs, described, close, np.ndarray.tobytes, name)
+    return _where(close, sets, linked)
+
+
 def _index(docs: DataFrame, roots: DataFrame, sketch: np.ndarray, segments: int) -> DataFrame:
     """(segment, list, class, root, n, at): the prefix of every class, as arrays.
 

@@ -117,6 +117,25 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert jaccard.report(none).collect() == [] and jaccard.keep_one(none).collect() == []
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    ruled_out = 0
+    for _ in range(400):
+        n, common = int(rng.integers(1, 400)), rng.random()
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        kept = a[rng.random(len(a)) < common]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(n * rng.random() * 0.4), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        link = 4 * both >= 3 * (len(a) + len(b) - both)
+        assert jaccard.linked(a.tobytes(), b.tobytes(), len(a), len(b)) == link
+        may = jaccard.may_link(jaccard.parity(a), jaccard.parity(b), len(a), len(b))
+        assert may or not link
+        ruled_out += not may
+    assert ruled_out > 150
+
+
 def test_shingles_are_sets_of_five():
     known = common.WordHashes()
     for text in ("", "a", "a b c d", "a b c d e", "x " * 50, "A b\x0bC d e f a b c d e f"):
