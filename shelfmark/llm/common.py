@@ -95,7 +95,7 @@ class WordHashes(dict):
     """Word to its 64-bit hash; forgets everything when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
