@@ -86,8 +86,19 @@ def fct_books(listing: DataFrame, detail: DataFrame) -> DataFrame:
     return join_books(listing, detail, FCT_BOOKS)
 
 
-def join_books(listing: DataFrame, detail: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The wanted columns of the book table; the sides need to hold no more than these take."""
+def listed_books(listing: DataFrame) -> DataFrame:
+    """The columns of the book table that the listing alone gives: no detail is read."""
+    detail_only = {c for c in STG_DETAIL if c not in STG_LISTING}
+    return join_books(listing, None, [c for c in FCT_BOOKS if c not in detail_only])
+
+
+def join_books(
+    listing: DataFrame, detail: DataFrame | None, columns: Sequence[str]
+) -> DataFrame:
+    """The wanted columns of the book table; the sides need to hold no more than these take.
+
+    A detail record adds columns, never books, so without wanted columns of its own it is not read.
+    """
     wanted = [c for c in FCT_BOOKS if c in set(columns)]
     from_detail = [c for c in wanted if c in STG_DETAIL and c not in STG_LISTING]
     books = listing.withColumns(
@@ -96,8 +107,9 @@ def join_books(listing: DataFrame, detail: DataFrame, columns: Sequence[str]) ->
             "has_reviews": S.has_reviews(F.col("review_count")),
         }
     )
-    joined = books.join(detail.select("product_id", *from_detail), "product_id", "left")
-    return joined.select(*wanted)
+    if from_detail:
+        books = books.join(detail.select("product_id", *from_detail), "product_id", "left")
+    return books.select(*wanted)
 
 
 def books_narrow(books: DataFrame) -> DataFrame:

@@ -78,6 +78,11 @@ def _books(spark, sf_dir):
     return models.fct_books(_stg_listing(spark, sf_dir), _stg_detail(spark, sf_dir))
 
 
+def _listed_books(spark, sf_dir):
+    """Books for questions that ask for nothing from the detail records."""
+    return models.listed_books(_stg_listing(spark, sf_dir))
+
+
 def _books_table(spark, sf_dir, *columns):
     """Some columns of the books as a written table.
 
@@ -560,17 +565,17 @@ def price_history(spark, sf_dir):
 
 @query
 def kpi_cards(spark, sf_dir):
-    return A.kpi_cards(_books(spark, sf_dir), _stg_reviews(spark, sf_dir))
+    return A.kpi_cards(_listed_books(spark, sf_dir), _stg_reviews(spark, sf_dir))
 
 
 @query
 def price_distribution(spark, sf_dir):
-    return A.price_distribution(_books(spark, sf_dir), PRICE_WIDTH)
+    return A.price_distribution(_listed_books(spark, sf_dir), PRICE_WIDTH)
 
 
 @query
 def rating_breakdown(spark, sf_dir):
-    return A.rating_breakdown(_books(spark, sf_dir))
+    return A.rating_breakdown(_listed_books(spark, sf_dir))
 
 
 @query
@@ -580,12 +585,12 @@ def top_publishers(spark, sf_dir):
 
 @query
 def discount_vs_rating(spark, sf_dir):
-    return A.discount_vs_rating(_books(spark, sf_dir))
+    return A.discount_vs_rating(_listed_books(spark, sf_dir))
 
 
 @query
 def discount_rating_corr(spark, sf_dir):
-    return A.correlation(_books(spark, sf_dir), "discount_pct", "rating_average")
+    return A.correlation(_listed_books(spark, sf_dir), "discount_pct", "rating_average")
 
 
 @query
@@ -621,7 +626,7 @@ def most_helpful(spark, sf_dir):
 
 @query
 def discount_tiers(spark, sf_dir):
-    return A.discount_tiers(_books(spark, sf_dir))
+    return A.discount_tiers(_listed_books(spark, sf_dir))
 
 
 @query
@@ -631,17 +636,17 @@ def discount_by_publisher(spark, sf_dir):
 
 @query
 def price_vs_rating(spark, sf_dir):
-    return A.price_vs_rating(_books(spark, sf_dir), PRICE_WIDTH)
+    return A.price_vs_rating(_listed_books(spark, sf_dir), PRICE_WIDTH)
 
 
 @query
 def price_rating_corr(spark, sf_dir):
-    return A.correlation(_books(spark, sf_dir), "price", "rating_average")
+    return A.correlation(_listed_books(spark, sf_dir), "price", "rating_average")
 
 
 @query
 def price_vs_sales(spark, sf_dir):
-    return A.price_vs_sales(_books(spark, sf_dir), PRICE_WIDTH)
+    return A.price_vs_sales(_listed_books(spark, sf_dir), PRICE_WIDTH)
 
 
 @query
@@ -660,7 +665,7 @@ def underpriced_books(spark, sf_dir):
 
 @query
 def dq_not_null(spark, sf_dir):
-    return quality.dq_not_null(_books(spark, sf_dir), "price").select("product_id", "name", "price")
+    return quality.dq_not_null(_listed_books(spark, sf_dir), "price").select("product_id", "name", "price")
 
 
 @query
@@ -692,7 +697,7 @@ def dq_relationships(spark, sf_dir):
 @query
 def dq_not_null_when(spark, sf_dir):
     return quality.dq_not_null_when(
-        _books(spark, sf_dir), "rating_average", "has_reviews", "true"
+        _listed_books(spark, sf_dir), "rating_average", "has_reviews", "true"
     )
 
 
@@ -706,12 +711,12 @@ def dq_not_empty_string(spark, sf_dir):
 
 @query
 def dq_price_positive(spark, sf_dir):
-    return quality.dq_price_positive(_books(spark, sf_dir))
+    return quality.dq_price_positive(_listed_books(spark, sf_dir))
 
 
 @query
 def dq_discount_range(spark, sf_dir):
-    return quality.dq_discount_range(_books(spark, sf_dir))
+    return quality.dq_discount_range(_listed_books(spark, sf_dir))
 
 
 @query
@@ -720,24 +725,24 @@ def dq_has_reviews_consistent(spark, sf_dir):
     later = F.when(F.col("order_count") < 3, F.col("review_count")).otherwise(
         F.col("favourite_count")
     )
-    books = _books(spark, sf_dir).withColumn("review_count", later)
+    books = _listed_books(spark, sf_dir).withColumn("review_count", later)
     return quality.dq_has_reviews_consistent(books)
 
 
 @query
 def dq_list_price_gte_price(spark, sf_dir):
-    return quality.dq_list_price_gte_price(_books(spark, sf_dir))
+    return quality.dq_list_price_gte_price(_listed_books(spark, sf_dir))
 
 
 @query
 def dq_rating_range(spark, sf_dir):
-    return quality.dq_rating_range(_books(spark, sf_dir))
+    return quality.dq_rating_range(_listed_books(spark, sf_dir))
 
 
 @query
 def dq_review_count(spark, sf_dir):
     _, reviews = _facts(spark, sf_dir)
-    return quality.dq_review_count(_books(spark, sf_dir), reviews)
+    return quality.dq_review_count(_listed_books(spark, sf_dir), reviews)
 
 
 @query

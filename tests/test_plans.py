@@ -118,3 +118,11 @@ def test_history_step_shuffles_each_side_once(spark):
         assert plan(step).count("Exchange hashpartitioning") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_listing_questions_read_no_details(spark):
+    import __spark_entry__ as entry
+    from conftest import SMALL
+
+    for name in ("kpi_cards", "price_distribution", "discount_tiers", "dq_price_positive"):
+        assert "part.parquet" not in plan(entry.QUERIES[name](spark, SMALL))
