@@ -11,16 +11,15 @@ from shelfmark.functions import scalars as S
 from shelfmark.functions.specs import KNOWN_SPECS, SPEC_PREFIX
 
 # The column lists below are the public shape of the tables.
-STG_LISTING = """
-    product_id sku name url_key url_path type seller_id seller_product_id
-    price list_price original_price discount discount_rate
-    rating_average review_count order_count favourite_count quantity_sold
-    brand_name book_cover has_ebook bundle_deal shippable is_visible is_flower is_gift_card
-    availability inventory salable_type stock_item
-    primary_category_path productset_id productset_group_name
-    thumbnail_url thumbnail_width thumbnail_height
-    url_review extracted_at
-""".split()
+STG_LISTING = [
+    "product_id", "sku", "name", "url_key", "url_path", "type", "seller_id", "seller_product_id",
+    "price", "list_price", "original_price", "discount", "discount_rate", "rating_average",
+    "review_count", "order_count", "favourite_count", "quantity_sold", "brand_name", "book_cover",
+    "has_ebook", "bundle_deal", "shippable", "is_visible", "is_flower", "is_gift_card",
+    "availability", "inventory", "salable_type", "stock_item", "primary_category_path",
+    "productset_id", "productset_group_name", "thumbnail_url", "thumbnail_width",
+    "thumbnail_height", "url_review", "extracted_at",
+]
 
 STG_DETAIL = [
     *"product_id sku name url_key short_description description images categories".split(),
@@ -29,38 +28,39 @@ STG_DETAIL = [
     "extracted_at",
 ]
 
-STG_REVIEWS = """
-    review_id product_id rating title content thank_count
-    reviewer_name reviewer_purchased created_at extracted_at
-""".split()
-
-FCT_BOOKS = """
-    product_id sku name url_key url_path type seller_id seller_product_id
-    price list_price original_price discount discount_rate discount_pct
-    rating_average review_count order_count favourite_count quantity_sold has_reviews
-    brand_name book_cover has_ebook bundle_deal shippable is_visible
-    primary_category_path productset_id productset_group_name
-    availability inventory salable_type thumbnail_url url_review
-    short_description spec_publisher_vn spec_publication_date spec_book_cover
-    spec_number_of_page spec_language_book spec_book_version spec_isbn13 spec_brand
-    spec_origin spec_dich_gia spec_edition spec_dimensions inventory_status categories
-    extracted_at
-""".split()
-
-BOOKS_NARROW = """
-    product_id name primary_category_path brand_name price discount_pct rating_average
-    spec_publisher_vn spec_language_book spec_isbn13
-""".split()
-
-FCT_REVIEWS = """
-    review_id product_id rating title content thank_count reviewer_name reviewer_purchased
-    created_at product_name primary_category_path brand_name price discount_pct rating_average
-    spec_publisher_vn spec_language_book spec_isbn13 extracted_at
-""".split()
-
-SNAPSHOT_SOURCE = """
-    product_id name price original_price discount_rate brand_name extracted_at
-""".split()
+STG_REVIEWS = [
+    "review_id", "product_id", "rating", "title", "content", "thank_count", "reviewer_name",
+    "reviewer_purchased", "created_at", "extracted_at",
+]
+
+FCT_BOOKS = [
+    "product_id", "sku", "name", "url_key", "url_path", "type", "seller_id", "seller_product_id",
+    "price", "list_price", "original_price", "discount", "discount_rate", "discount_pct",
+    "rating_average", "review_count", "order_count", "favourite_count", "quantity_sold",
+    "has_reviews", "brand_name", "book_cover", "has_ebook", "bundle_deal", "shippable",
+    "is_visible", "primary_category_path", "productset_id", "productset_group_name", "availability",
+    "inventory", "salable_type", "thumbnail_url", "url_review", "short_description",
+    "spec_publisher_vn", "spec_publication_date", "spec_book_cover", "spec_number_of_page",
+    "spec_language_book", "spec_book_version", "spec_isbn13", "spec_brand", "spec_origin",
+    "spec_dich_gia", "spec_edition", "spec_dimensions", "inventory_status", "categories",
+    "extracted_at",
+]
+
+BOOKS_NARROW = [
+    "product_id", "name", "primary_category_path", "brand_name", "price", "discount_pct",
+    "rating_average", "spec_publisher_vn", "spec_language_book", "spec_isbn13",
+]
+
+FCT_REVIEWS = [
+    "review_id", "product_id", "rating", "title", "content", "thank_count", "reviewer_name",
+    "reviewer_purchased", "created_at", "product_name", "primary_category_path", "brand_name",
+    "price", "discount_pct", "rating_average", "spec_publisher_vn", "spec_language_book",
+    "spec_isbn13", "extracted_at",
+]
+
+SNAPSHOT_SOURCE = [
+    "product_id", "name", "price", "original_price", "discount_rate", "brand_name", "extracted_at",
+]
 
 
 def stg_listing(listing: DataFrame) -> DataFrame:

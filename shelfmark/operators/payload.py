@@ -33,10 +33,10 @@ DETAIL_FIELDS = """
     url_key string, sku string
 """
 
-DETAIL_SCALARS = """
-    name description short_description price list_price discount_rate rating_average
-    review_count inventory_status
-""".split()
+DETAIL_SCALARS = [
+    "name", "description", "short_description", "price", "list_price", "discount_rate",
+    "rating_average", "review_count", "inventory_status",
+]
 
 # Fields read from a review response.
 REVIEW_ITEM = """

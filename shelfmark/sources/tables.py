@@ -15,6 +15,9 @@ from shelfmark.session import scratch_path
 # Versions that stay after a write: the current one, and the one that running readers may hold.
 KEPT_VERSIONS = 2
 
+# Compressed files of this size are a few times as large in memory.
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+
 
 def create_database(spark: SparkSession, name: str, location: str) -> str:
     """Make sure the database of the table `name` exists below `location`; return its name."""
@@ -102,11 +105,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, name: str, max_rows: int) -> DataFrame:
-    """The one-row-per-key side of a join, written once and counted from its file footers.
+    """The one-row-per-key side of a join, written once; rows and bytes are those of its files.
 
-    Up to `max_rows` rows it is broadcast, so the other side needs no shuffle. Beyond that it is a
-    plain table: both sides are then shuffled straight into the join, which is the shape in which
-    a hot key of the other side is split at run time.
+    Up to `max_rows` rows and `MAX_BROADCAST_BYTES` of files it is broadcast, so the other side needs
+    no shuffle. Beyond either it is a plain table: both sides are then shuffled straight into the
+    join, which is the shape in which a hot key of the other side is split at run time.
     """
     written = materialize(df, name)
-    return F.broadcast(written) if written.count() <= max_rows else written
+    small = written.count() <= max_rows and file_bytes(written) <= MAX_BROADCAST_BYTES
+    return F.broadcast(written) if small else written
+
+
+def file_bytes(df: DataFrame) -> int:
+    """The size of the files behind a table, as Spark's planner sees it."""
+    return int(df._jdf.queryExecution().analyzed().stats().sizeInBytes().toString())

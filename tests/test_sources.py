@@ -189,6 +189,14 @@ def test_small_side_is_broadcast_by_its_size(spark):
     assert "strategy=broadcast" not in plan(9)
 
 
+def test_few_but_long_rows_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_BROADCAST_BYTES", 20_000)
+    long = spark.range(10).withColumn("text", F.expr("array_join(transform(sequence(1, 900), x -> uuid()), '')"))
+    side = tables.small_side(long, "side", 100)
+    assert tables.file_bytes(side) > 20_000
+    assert "strategy=broadcast" not in side._jdf.queryExecution().analyzed().toString()
+
+
 def test_shared_folder_is_never_local_on_a_cluster():
     class Conf(dict):
         def set(self, key, value):
