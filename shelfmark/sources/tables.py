@@ -118,4 +118,4 @@ def small_side(df: DataFrame, name: str, max_rows: int) -> DataFrame:
 
 def file_bytes(df: DataFrame) -> int:
     """The size of the files behind a table, as Spark's planner sees it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
