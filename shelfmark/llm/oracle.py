@@ -21,6 +21,56 @@ FROM lines LEFT JOIN common USING (key)
 GROUP BY doc_id
 """
 
+OP8_VECTOR_DEDUP = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+           embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid
+    FROM embeddings
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.valid AND b.valid AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+    SELECT vec_id, vec_id AS other FROM vectors
+    UNION
+    SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a
+), least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id,
+       vec_id = component_id AS kept
+FROM least
+"""
+
+OP10_JACCARD = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), sets AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 3),
+                                             lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM words
+), shingles AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+), links AS MATERIALIZED (
+    SELECT a, b
+    FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+    WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM sets
+    UNION
+    SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op8_vector_dedup": OP8_VECTOR_DEDUP,
+    "op10_jaccard": OP10_JACCARD,
     "op9_line_dedup": OP9_LINE_DEDUP,
 }

@@ -92,7 +92,7 @@ def test_run_is_its_stages(spark):
     assert tokens / 4096 <= n <= 1.02 * tokens / 4096 + 1
 
 
-@pytest.mark.parametrize("name", ["op9_line_dedup"])
+@pytest.mark.parametrize("name", entry.CORPUS_SQL)
 def test_sql(spark, name):
     import check
 
