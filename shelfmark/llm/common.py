@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -24,6 +24,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand documents to Python a few megabytes at a time; a batch is held by both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return spark
+
+
 def document_key(docs: DataFrame) -> DataFrame:
     """Add `KEY`, a 64-bit hash of `doc_id` and `text`: equal rows are one document."""
     return docs.withColumn(KEY, F.xxhash64(F.col("doc_id"), F.col("text")))

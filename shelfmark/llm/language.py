@@ -30,6 +30,7 @@ from shelfmark.llm.common import stretches
 PROFILE = 400
 UNKNOWN = "und"
 STRETCH = 1 << 20  # bytes of text whose n-grams are held at once
+HELD = 16 << 20  # bytes of text that are counted before the counts are sent on
 ROWS = 500  # texts that are compared at once
 
 _CODE = 21  # bits of a code point
@@ -96,22 +97,31 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of (lang, text)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        size = 0
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                by_lang.setdefault(lang, []).append(text.as_py())
-            for lang, texts in by_lang.items():
-                values, counts = gram_counts(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(counts)],
-                    ["lang", "gram", "n"],
-                )
+                text = text.as_py()
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= HELD:
+                    yield from rows(held)
+                    held, size = {}, 0
+        yield from rows(held)
+
+    def rows(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in held.items():
+            values, counts = gram_counts(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(counts)],
+                ["lang", "gram", "n"],
+            )
 
     texts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
         "lang", F.col("text").cast("binary").alias("text")
     )
-    rows = texts.mapInArrow(counted, "lang string, gram long, n long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(counted, "lang string, gram long, n long")
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:

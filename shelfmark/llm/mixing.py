@@ -297,7 +297,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     )
     mix = plan_mix(sized, **options)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    packed = keyed.select("source", KEY, F.struct(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("__doc"))
+    whole = F.struct(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    packed = keyed.select("source", KEY, whole.alias("__doc"))
     copies = drawn(packed, mix).select("__doc", KEY, "sid", F.explode("draws").alias("draw"))
     placed = copies.join(mix.deal, ["sid", "draw"])
     order = F.xxhash64(F.lit(mix.seed), "shard", "draw", KEY)

@@ -24,7 +24,6 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,7 @@ from shelfmark.sources.tables import materialize
 
 CAPACITY = 4096
 END = 1
-WORDS_KEPT = 600_000  # in a worker
+WORDS_KEPT = 400_000  # by a task
 STRETCH = 4 << 20  # bytes of text that are looked up at once
 
 _MARKS = tuple(",.;:!?")
@@ -116,12 +115,6 @@ def _joined(words: pa.Array) -> str:
     return pc.binary_join(one, "\n").view(pa.binary())[0].as_py().decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
-def _word_ids(tokenizer_path: str) -> WordIds:
-    """One per worker, so that tasks profit from each other."""
-    return WordIds(tokenizer_path)
-
-
 def _texts_ids(texts: Iterable[bytes], words: WordIds) -> Iterator[tuple[int, bytes, bool]]:
     """(text, ids of its next stretch, whether that was the last), about `STRETCH` bytes at once."""
     held, size = [], 0
@@ -168,7 +161,7 @@ def cut(
     """One row per piece, with the task that cut it and its running number there by length."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(tokenizer_path)
+        words = WordIds(tokenizer_path)
         task = TaskContext.get().partitionId()
         numbers = np.zeros(capacity + 1, np.int64)
         for batch in batches:

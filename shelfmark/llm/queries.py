@@ -19,11 +19,11 @@ from shelfmark.llm import (
     scoring,
     vector_dedup,
 )
-from shelfmark.llm.common import fold
+from shelfmark.llm.common import fold, small_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

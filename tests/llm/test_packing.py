@@ -65,7 +65,7 @@ def tokenizer():
 
 
 def test_ids_by_word_are_ids_of_the_text(tokenizer):
-    words = packing._word_ids(packing.vocabulary())
+    words = packing.WordIds(packing.vocabulary())
 
     @settings(max_examples=400, deadline=None)
     @given(st.one_of(st.text(max_size=40), st.text(ODD_LETTERS, max_size=20)))
@@ -113,7 +113,7 @@ def test_exactly_full(spark, tokenizer):
 
 
 def test_stretches_of_a_long_text(spark, tokenizer, monkeypatch):
-    words = packing._word_ids(packing.vocabulary())
+    words = packing.WordIds(packing.vocabulary())
     text = ("some words, in a row\n" * 3000).encode()
     whole = b"".join(x for _, _, x in packing.pieces_of([text], words, 4096, 1))
     monkeypatch.setattr(packing, "stretches", lambda t: common.stretches(t, 100))
