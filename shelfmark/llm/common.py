@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker have freed but the allocators still hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """Hand documents to Python a few megabytes at a time; a batch is held by both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

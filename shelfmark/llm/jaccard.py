@@ -34,7 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import KEY, WORD, WordHashes, components, document_key, mixed_bits
+from shelfmark.llm.common import (
+    KEY,
+    WORD,
+    WordHashes,
+    components,
+    document_key,
+    mixed_bits,
+    release_memory,
+)
 from shelfmark.sources.tables import materialize, small_side
 
 WORDS = 5
@@ -45,7 +53,7 @@ SMALLEST = 8  # smallest hashes kept per class
 TRIES = (2, 8, 30)  # centres per list and pairs per two components, by round
 COUNTERS = 1 << 18
 STRIPE = 20_000  # entries of an index list beyond what the sketch's noise explains
-BLOCK = 2048
+BLOCK = 1024
 BUFFER = 1 << 19  # shingles or index entries that a task gathers before it sends them on
 FEW = 1_000_000  # rows of two numbers that may be broadcast
 
@@ -233,6 +241,7 @@ def _of_classes(
     texts = _texts(keyed.join(few, F.col(KEY) == F.col("wanted"), "left_semi"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         known, seen = WordHashes(), set()
         for batch in batches:
             number, size, found, held = [], [], [], 0
@@ -325,6 +334,7 @@ def _index(docs: DataFrame, roots: DataFrame, sketch: np.ndarray, segments: int)
         return lists[plain], at[plain]
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         known, seen, held, size = WordHashes(), set(), [], 0
         for batch in batches:
             for text, root in zip(batch.column("text"), batch.column("root").to_pylist(), strict=True):

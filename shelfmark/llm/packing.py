@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import stretches
+from shelfmark.llm.common import release_memory, stretches
 from shelfmark.sources.tables import materialize
 
 CAPACITY = 4096
 END = 1
-WORDS_KEPT = 400_000  # by a task
-STRETCH = 4 << 20  # bytes of text that are looked up at once
+WORDS_KEPT = 200_000  # by a task
+STRETCH = 2 << 20  # bytes of text that are looked up at once
 
 _MARKS = tuple(",.;:!?")
 
@@ -161,6 +161,7 @@ def cut(
     """One row per piece, with the task that cut it and its running number there by length."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         words = WordIds(tokenizer_path)
         task = TaskContext.get().partitionId()
         numbers = np.zeros(capacity + 1, np.int64)
