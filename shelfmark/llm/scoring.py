@@ -9,9 +9,12 @@ The score interpolates: P(w | v) = L * c(v w) / c(v) + (1 - L) * (c(w) + 1) / (N
 1 - L is the share of training pairs that occurred once, which estimates how often a pair is new.
 
 N-grams are pre-aggregated in tasks and travel as sorted arrays, one per segment of the hash range;
-each segment's part of the filter is built where its counts meet. `MAX_BYTES` bounds the filter that
-workers receive: `BITS` bits a key below it, fewer beyond it, which raises the rate of counts that
-are read too high but leaves nothing out. Tokens are known by 64-bit hashes.
+each segment's part of the filter is built where its counts meet, with `BITS` bits a key at every size,
+so the rate of counts that are read too high does not depend on the corpus. A filter of up to
+`MAX_BYTES` goes to the workers whole. A larger one stays where it is, a row per segment: documents
+are dealt into chunks by a hash, the distinct n-grams of a chunk travel to their segments as sorted
+arrays, and the levels read there travel back to the chunk. Both ways read the same bits and give the
+same scores. Tokens are known by 64-bit hashes.
 
 The base score is exact. The most frequent tokens, at most `HOT`, go to the workers with their
 counts; the occurrences of all others are joined to the table of counts, so no hot token is ever
@@ -24,7 +27,7 @@ is 1; repeated rows are scored alike and counted each; a null `doc_id` belongs t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,9 +43,10 @@ from shelfmark.sources.tables import materialize
 BASE = 1.5  # of the logarithm that quantises counts
 BITS = 10  # of the filter per key
 PROBES = 4
-MAX_BYTES = 256 << 20
+MAX_BYTES = 256 << 20  # of a filter that workers receive whole
 HOT = 1 << 20
 TOGETHER = 1 << 19  # tokens that are scored at once
+CHUNK = 4 << 20  # bytes of text whose n-grams are sent to the segments together
 BUFFER = 1 << 20  # tokens that a task gathers before it sends them on
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word is a line feed
@@ -99,7 +103,7 @@ def _positions(keys: np.ndarray, level: np.ndarray | int, bits: np.ndarray):
 class Model:
     """What workers receive: bounded by MAX_BYTES for the filter and HOT tokens."""
 
-    bits: np.ndarray  # uint8, all segments one behind the other
+    bits: np.ndarray  # uint8, all segments one behind the other; none where it stays in segments
     starts: np.ndarray  # first bit of each segment
     sizes: np.ndarray  # its bits
     hot: np.ndarray  # hashes in order, and their exact counts
@@ -110,26 +114,42 @@ class Model:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts by probing one level after the other."""
-        levels = np.zeros(len(keys), np.int64)
         if not len(self.bits):
-            return levels.astype(float)
+            return np.zeros(len(keys))
         segment = (keys >> np.uint64(64 - int(math.log2(len(self.sizes))))).astype(np.int64)
-        size, start = self.sizes[segment], self.starts[segment]
-        left, level = np.flatnonzero(size), 0
-        while len(left):
-            level += 1
-            left = left[self._holds(keys[left], level, size[left], start[left])]
-            levels[left] = level
-        return _middle(levels)
-
-    def _holds(self, keys: np.ndarray, level: int, size: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Whether every probed bit of (key, level) is set."""
-        holds = np.ones(len(keys), bool)
-        for at in _positions(keys, level, size):
-            at = at + start
-            byte = self.bits[(at >> np.uint64(3)).astype(np.int64)]
-            holds &= (byte >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return holds
+        return _middle(_read(self.bits, keys, self.sizes[segment], self.starts[segment]))
+
+
+def _read(bits: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The level of every key in the filter part of `size` bits that begins at bit `start`."""
+    levels = np.zeros(len(keys), np.int64)
+    left, level = np.flatnonzero(size), 0
+    while len(left):
+        level += 1
+        left = left[_holds(bits, keys[left], level, size[left], start[left])]
+        levels[left] = level
+    return levels
+
+
+def _holds(bits: np.ndarray, keys: np.ndarray, level: int, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether every probed bit of (key, level) is set."""
+    holds = np.ones(len(keys), bool)
+    for at in _positions(keys, level, size):
+        at = at + start
+        byte = bits[(at >> np.uint64(3)).astype(np.int64)]
+        holds &= (byte >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return holds
+
+
+def _by_segment(keys: np.ndarray, segments: int) -> Iterator[tuple[int, int, int]]:
+    """(segment, start, end) of each segment's run in sorted keys."""
+    shift = np.uint64(64 - int(math.log2(segments)))
+    ends = np.searchsorted(keys >> shift, np.arange(segments, dtype=np.uint64), side="right")
+    start = 0
+    for segment, end in enumerate(ends):
+        if end > start:
+            yield segment, start, end
+        start = end
 
 
 def _segments(docs: DataFrame) -> int:
@@ -140,19 +160,14 @@ def _segments(docs: DataFrame) -> int:
 
 def _count(train: DataFrame, segments: int) -> DataFrame:
     """(segment, pair, keys, counts): sorted keys and their counts in this part of the corpus."""
-    shift = np.uint64(64 - int(math.log2(segments)))
 
     def parts(tokens: list[np.ndarray]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
         histories = [_histories(t) for t in tokens]
         words = np.concatenate(tokens)
         for pair, keys in ((False, words), (True, _pairs(np.concatenate(histories), words))):
             keys, counts = np.unique(keys, return_counts=True)
-            ends = np.searchsorted(keys >> shift, np.arange(segments, dtype=np.uint64), side="right")
-            start = 0
-            for segment, end in enumerate(ends):
-                if end > start:
-                    yield segment, pair, keys[start:end], counts[start:end].astype(np.uint32)
-                start = end
+            for segment, start, end in _by_segment(keys, segments):
+                yield segment, pair, keys[start:end], counts[start:end].astype(np.uint32)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = WordHashes(), [], 0
@@ -189,7 +204,7 @@ _BUILT = (
 )
 
 
-def _build(counts: DataFrame, segments: int, max_bytes: int) -> DataFrame:
+def _build(counts: DataFrame) -> DataFrame:
     """One row per segment: its part of the filter, its exact word counts, its totals."""
 
     def built(key, table):
@@ -205,7 +220,7 @@ def _build(counts: DataFrame, segments: int, max_bytes: int) -> DataFrame:
         pairs, pair_counts = gather(True)
         keys = np.concatenate([words, pairs])
         levels = _level(np.concatenate([word_counts, pair_counts]))
-        size = int(min(BITS * int(levels.sum()), max_bytes * 8 // segments)) + 7 & ~7
+        size = BITS * int(levels.sum()) + 7 & ~7
         bits = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             inside = keys[levels >= level]
@@ -227,18 +242,23 @@ def _build(counts: DataFrame, segments: int, max_bytes: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Trained:
-    """A model on its way to the workers, and the exact counts of all tokens as (token, count)."""
+    """A model on its way to the workers, and the exact counts of all tokens as (token, count).
+
+    `parts` has a filter that is too large for the workers: (segment, bits, size), else None.
+    """
 
     shared: Broadcast[Model]
     counts: DataFrame
     tokens: int
     types: int
+    segments: int
+    parts: DataFrame | None
 
 
 def train(docs: DataFrame, max_bytes: int = MAX_BYTES, hot: int = HOT) -> Trained:
-    """The model of all `docs` (text)."""
+    """The model of all `docs` (text); its filter goes to the workers up to `max_bytes`."""
     segments = _segments(docs)
-    built = materialize(_build(_count(docs, segments), segments, max_bytes), "lm-segments")
+    built = materialize(_build(_count(docs, segments)), "lm-segments")
     total = built.agg(
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "pairs", "once"))
     ).first()
@@ -261,10 +281,12 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES, hot: int = HOT) -> Traine
     known = dict(built.select("segment", "size").collect())
     sizes = np.array([known.get(i, 0) for i in range(segments)], np.uint64)
     starts = np.append(0, np.cumsum(sizes)[:-1]).astype(np.uint64)
-    bits = np.zeros(int(sizes.sum()) // 8, np.uint8)
-    for segment, part in built.select("segment", "bits").toLocalIterator():
-        first = int(starts[segment]) // 8
-        bits[first : first + len(part)] = np.frombuffer(part, np.uint8)
+    whole = int(sizes.sum()) // 8 <= max_bytes
+    bits = np.zeros(int(sizes.sum()) // 8 if whole else 0, np.uint8)
+    if whole:
+        for segment, part in built.select("segment", "bits").toLocalIterator():
+            first = int(starts[segment]) // 8
+            bits[first : first + len(part)] = np.frombuffer(part, np.uint8)
     model = Model(
         bits=bits,
         starts=starts,
@@ -276,11 +298,15 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES, hot: int = HOT) -> Traine
         seen=1 - total["once"] / total["pairs"] if total["pairs"] else 0.0,
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return Trained(shared, counts, model.tokens, model.types)
+    parts = None if whole else built.select("segment", "bits", "size")
+    return Trained(shared, counts, model.tokens, model.types, segments, parts)
+
 
+def _scores(model: Model, tokens: list[np.ndarray], counts: Callable[[np.ndarray], np.ndarray]):
+    """Per text: number of tokens, known hot tokens, their base score, the score; rare tokens.
 
-def _scores(model: Model, tokens: list[np.ndarray]):
-    """Per text: number of tokens, known hot tokens, their base score, the score; rare tokens."""
+    `counts` gives the quantised counts of n-grams.
+    """
     lengths = np.array([len(t) for t in tokens])
     starts = np.append(0, np.cumsum(lengths)[:-1])
     flat = np.concatenate(tokens)
@@ -294,9 +320,9 @@ def _scores(model: Model, tokens: list[np.ndarray]):
     is_hot = found[at]
     base = np.where(is_hot, np.log10((exact + 1) / space)[at], 0.0)
 
-    rough = model.counts(words)
+    rough = counts(words)
     pairs, pair_at = np.unique(_pairs(before, flat), return_inverse=True)
-    together = model.counts(pairs)[pair_at]
+    together = counts(pairs)[pair_at]
     # Every history is a token of the same batch: the end is one of each text.
     history = rough[np.searchsorted(words, before)]
     single = ((rough + 1) / (model.tokens + model.types + 1))[at]
@@ -312,9 +338,20 @@ def _scores(model: Model, tokens: list[np.ndarray]):
     )
 
 
-def score(docs: DataFrame, trained: Trained) -> DataFrame:
-    """`doc_id`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score` for each document."""
-    shared = trained.shared
+_NAMES = ["doc_id", "n_tokens", "n_hot", "hot_score", "score", "rare"]
+_SCORED = "doc_id long, n_tokens long, n_hot long, hot_score double, score double, rare array<long>"
+
+
+def _scored_rows(doc_id: pa.Array, scores: tuple) -> list[pa.Array]:
+    """The columns of `_SCORED` from what `_scores` gives."""
+    lengths, hot, base, total, n_rare, rare = scores
+    offsets = pa.array(np.append(0, np.cumsum(n_rare)).astype(np.int32))
+    rare = pa.ListArray.from_arrays(offsets, pa.array(rare.view(np.int64)))
+    return [doc_id, pa.array(lengths), pa.array(hot), pa.array(base), pa.array(total), rare]
+
+
+def _score_whole(texts: DataFrame, shared: Broadcast[Model]) -> DataFrame:
+    """`_SCORED` for (doc_id, text) where the workers have the whole filter."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -328,33 +365,85 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
                     first, tokens, size = i + 1, [], 0
 
     def rows(batch: pa.RecordBatch, tokens: list[np.ndarray]) -> pa.RecordBatch:
-        lengths, hot, base, total, n_rare, rare = _scores(shared.value, tokens)
-        offsets = np.append(0, np.cumsum(n_rare)).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("row"),
-                batch.column("doc_id"),
-                pa.array(lengths),
-                pa.array(hot),
-                pa.array(base),
-                pa.array(total),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))),
-            ],
-            ["row", "doc_id", "n_tokens", "n_hot", "hot_score", "score", "rare"],
-        )
+        model = shared.value
+        columns = _scored_rows(batch.column("doc_id"), _scores(model, tokens, model.counts))
+        return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+    return texts.mapInArrow(scored, _SCORED)
+
+
+def _ngrams(tokens: list[np.ndarray]) -> np.ndarray:
+    """The distinct tokens and pairs of the texts, sorted."""
+    words = np.concatenate(tokens)
+    pairs = _pairs(np.concatenate([_histories(t) for t in tokens]), words)
+    return np.unique(np.concatenate([words, pairs]))
+
+
+def _score_parts(texts: DataFrame, trained: Trained) -> DataFrame:
+    """`_SCORED` for (doc_id, text) where the filter stays in its segments."""
+    shared, segments = trained.shared, trained.segments
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(size / CHUNK))))
+    chunks = texts.withColumn("chunk", chunk)
 
+    def tokens_of(table: pa.Table) -> list[np.ndarray]:
+        known = WordHashes()
+        return [_tokens(text.as_py(), known) for text in table.column("text")]
+
+    def asked(key, table):
+        keys = _ngrams(tokens_of(table))
+        rows = [(s, keys[a:b].tobytes()) for s, a, b in _by_segment(keys, segments)]
+        columns = [
+            pa.array([key[0].as_py()] * len(rows), pa.int64()),
+            pa.array([r[0] for r in rows], pa.int32()),
+            pa.array([r[1] for r in rows], pa.binary()),
+        ]
+        return pa.Table.from_arrays(columns, ["chunk", "segment", "keys"])
+
+    def answered(questions: pa.Table, part: pa.Table) -> pa.Table:
+        bits = np.frombuffer(part.column("bits")[0].as_py() if part.num_rows else b"", np.uint8)
+        n_bits = np.uint64(8 * len(bits))
+        levels = []
+        for keys in questions.column("keys"):
+            keys = np.frombuffer(keys.as_py(), np.uint64)
+            found = _read(bits, keys, np.full(len(keys), n_bits), np.zeros(len(keys), np.uint64))
+            levels.append(found.astype(np.uint8).tobytes())
+        columns = [
+            questions.column("chunk"), questions.column("segment"), pa.array(levels, pa.binary())
+        ]
+        return pa.Table.from_arrays(columns, ["chunk", "segment", "levels"])
+
+    def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens = tokens_of(table)
+        keys = _ngrams(tokens)
+        # Segments are runs of the sorted keys, so their answers in order are those of all keys.
+        parts = answers.sort_by("segment").column("levels").to_pylist()
+        counts = _middle(np.frombuffer(b"".join(parts), np.uint8).astype(np.int64))
+        scores = _scores(shared.value, tokens, lambda x: counts[np.searchsorted(keys, x)])
+        doc_id = table.column("doc_id").combine_chunks()
+        return pa.Table.from_arrays(_scored_rows(doc_id, scores), _NAMES)
+
+    questions = chunks.groupBy("chunk").applyInArrow(asked, "chunk long, segment int, keys binary")
+    answers = (
+        questions.groupBy("segment")
+        .cogroup(trained.parts.groupBy("segment"))
+        .applyInArrow(answered, "chunk long, segment int, levels binary")
+    )
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, _SCORED)
+
+
+def score(docs: DataFrame, trained: Trained) -> DataFrame:
+    """`doc_id`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score` for each document."""
     texts = docs.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
     )
-    first = materialize(
-        texts.mapInArrow(
-            scored,
-            "row long, doc_id long, n_tokens long, n_hot long, hot_score double, score double, rare array<long>",
-        ),
-        "lm-scores",
-    )
+    if trained.parts is None:
+        found = _score_whole(texts, trained.shared)
+    else:
+        found = _score_parts(texts, trained)
+    # A row's number is written with it, once.
+    first = materialize(found.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     space = F.lit(float(trained.tokens + trained.types + 1))
     # Tokens that training never saw find no count.
     rare = (

@@ -69,3 +69,41 @@ def test_odd_rows(spark, odd, odd_rows, none):
     compare(untrained, texts, [])
     assert {r["score"] for r in untrained} == {0}
     assert scoring.score(none, scoring.train(odd)).collect() == []
+
+
+def same_rows(found, wanted):
+    """Equal but for the order in which a text's logarithms were added up."""
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], round(r["base_score"], 6), round(r["score"], 6))
+    assert [key(r) for r in sorted(found, key=key)] == [key(r) for r in sorted(wanted, key=key)]
+
+
+def test_a_filter_beyond_the_broadcast_gives_the_same_scores(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK", 1 << 16)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    for rows in (docs, odd):
+        train = rows.where("doc_id % 3 > 0")
+        whole, parts = scoring.train(train), scoring.train(train, max_bytes=0)
+        assert whole.parts is None and parts.parts is not None
+        assert not len(parts.shared.value.bits)
+        same_rows(scoring.score(rows, parts).collect(), scoring.score(rows, whole).collect())
+    assert scoring.score(none, parts).collect() == []
+
+
+def test_rate_of_false_ngrams_does_not_grow_with_the_corpus(spark):
+    """The broadcast limit holds the smallest filter only; larger ones keep their bits a key."""
+    strange = np.random.default_rng(2).integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2)
+    for n in (100, 1_000, 10_000):
+        texts = [(" ".join(f"w{i}x{j}" for j in range(20)),) for i in range(n)]
+        trained = scoring.train(spark.createDataFrame(texts, "text string"), max_bytes=1 << 13)
+        if trained.parts is None:
+            counts = trained.shared.value.counts(strange)
+        else:
+            rows = {r["segment"]: r["bits"] for r in trained.parts.collect()}
+            segment = (strange >> np.uint64(64 - int(math.log2(trained.segments)))).astype(int)
+            counts = np.zeros(len(strange))
+            for s, bits in rows.items():
+                keys = strange[segment == s]
+                size = np.full(len(keys), np.uint64(8 * len(bits)))
+                counts[segment == s] = scoring._read(np.frombuffer(bits, np.uint8), keys, size, size * np.uint64(0))
+        assert (trained.parts is None) == (n == 100)
+        assert np.mean(counts > 0) < 0.02, n
