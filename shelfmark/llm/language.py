@@ -8,6 +8,12 @@ not hold counts as `PROFILE` places. The nearest profile wins.
 Counting is pre-aggregated per Arrow batch and summed by Spark; a profile is bounded by `PROFILE`
 rows per language, so what workers receive does not grow with the corpus.
 
+`keep_known` also asks whether the nearest profile is near enough. A text's score depends on how many
+n-grams it has, so beginnings of `HEADS` bytes of labelled texts are compared as well, and a language's
+floor for texts with 2^c to 2^(c+1) distinct n-grams is `MARGIN` of the score that all but `LOWEST` of
+these reach. Up to about twice `SAMPLE` labelled rows of each language, chosen by a hash, set the
+floors; every document is held to them.
+
 Defined results: a null text, one without a letter, or any text while no language was learned is
 `und` with score 0; equal distances go to the language that is first in code-point order; n-grams
 of equal count are ordered by their letters. Rows are independent, so repeated rows agree; extra
@@ -33,6 +39,11 @@ STRETCH = 1 << 20  # bytes of text whose n-grams are held at once
 HELD = 16 << 20  # bytes of text that are counted before the counts are sent on
 ROWS = 500  # texts that are compared at once
 
+HEADS = (16, 64, 256, 1024, 4096)
+LOWEST = 0.01
+MARGIN = 0.7
+SAMPLE = 4000
+
 _CODE = 21  # bits of a code point
 
 
@@ -136,13 +147,18 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
 
 def _nearest(texts: list[bytes | None], profiles: dict[str, np.ndarray], size: int):
     """Language and score of every text."""
+    return _compared(texts, profiles, size)[:2]
+
+
+def _compared(texts: list[bytes | None], profiles: dict[str, np.ndarray], size: int):
+    """Language, score and number of n-grams of every text."""
     own = [_ordered(t, size) if t else np.zeros(0, np.uint64) for t in texts]
     lengths = np.array([len(x) for x in own])
     languages = list(profiles)
     names = np.full(len(texts), UNKNOWN, object)
     scores = np.zeros(len(texts))
     if not languages or not lengths.any():
-        return names, scores
+        return names, scores, lengths
     flat = np.concatenate(own)
     places = np.concatenate([np.arange(n) for n in lengths])
     full = np.flatnonzero(lengths)
@@ -157,7 +173,7 @@ def _nearest(texts: list[bytes | None], profiles: dict[str, np.ndarray], size: i
     best = away.argmin(axis=0)
     names[full] = np.array(languages, object)[best]
     scores[full] = 1 - away[best, np.arange(len(full))] / (lengths[full] * size)
-    return names, scores
+    return names, scores, lengths
 
 
 def language_of(text: Column, profiles: dict[str, np.ndarray], size: int = PROFILE) -> Column:
@@ -186,14 +202,64 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
     return found.select(*kept, "__found.lang_pred", "__found.score")
 
 
+def _class(n_grams: np.ndarray) -> np.ndarray:
+    """The power of two in a number of n-grams."""
+    return np.frexp(np.maximum(n_grams, 1))[1] - 1
+
+
+def score_floors(
+    docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE
+) -> dict[str, np.ndarray]:
+    """Language to the least score of its texts, by `_class`; see the module's text."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / SAMPLE))
+    hashed = labelled.select("lang", "text", F.xxhash64(*docs.columns).alias("__hash"))
+    some = hashed.join(F.broadcast(counts), "lang").where(F.pmod("__hash", step) == 0)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i in range(0, len(texts), ROWS):
+                heads = [t[:n] for t in texts[i : i + ROWS] for n in HEADS if t]
+                names, scores, n_grams = _compared(heads, profiles, size)
+                columns = [pa.array(names, pa.string()), pa.array(_class(n_grams), pa.int32()), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "class", "score"])
+
+    heads = some.select(F.substring(F.col("text").cast("binary"), 1, max(HEADS)).alias("text"))
+    found = heads.mapInArrow(compared, "lang string, class int, score double").where(F.col("lang") != UNKNOWN)
+    rows = found.groupBy("lang", "class").agg(F.percentile("score", F.lit(LOWEST)).alias("low")).collect()
+    floors = {}
+    for lang in profiles:
+        low = {r["class"]: MARGIN * r["low"] for r in rows if r["lang"] == lang}
+        # Where no labelled text has so many n-grams, the lowest floor of the language.
+        other = min(low.values(), default=0.0)
+        floors[lang] = np.array([low.get(c, other) for c in range(int(_class(np.array(size))) + 1)])
+    return floors
+
+
 def keep_known(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """The documents whose language is one of those in `lang`, learned from these documents.
 
-    Texts without a letter go. Where no row has a language, there is nothing to tell languages by,
-    and all texts with a letter stay.
+    Texts without a letter go, and so do texts that have no n-gram of their nearest language or
+    score below its floor: other languages and noise. Where no row has a language, there is nothing
+    to tell languages by, and all texts with a letter stay.
     """
     profiles = learn(docs, size)
     if not profiles:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    marked = docs.withColumn("__found", language_of(F.col("text"), profiles, size))
-    return marked.where(F.col("__found.lang_pred") != UNKNOWN).drop("__found")
+    floors = score_floors(docs, profiles, size)
+
+    def near(texts: list[bytes | None]) -> np.ndarray:
+        names, scores, n_grams = _compared(texts, profiles, size)
+        least = [floors[x][c] if x in floors else 1.0 for x, c in zip(names, _class(n_grams), strict=True)]
+        return (names != UNKNOWN) & (scores > 0) & (scores >= np.array(least))
+
+    @F.pandas_udf("boolean")
+    def known(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            found = [near(list(part.iloc[i : i + ROWS])) for i in range(0, len(part), ROWS)]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
+
+    marked = docs.withColumn("__known", known.asNondeterministic()(F.col("text").cast("binary")))
+    return marked.where("__known").drop("__known")

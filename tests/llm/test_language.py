@@ -79,3 +79,29 @@ def test_profiles_do_not_depend_on_partitions(spark, partitions):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     one, other = language.learn(docs), language.learn(docs.repartition(partitions))
     assert one.keys() == other.keys() and all((one[k] == other[k]).all() for k in one)
+
+
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    strange = [
+        "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+        "Все счастливые семьи похожи друг на друга, the каждая несчастливая семья несчастлива по-своему.",
+        "Привет",
+        "ทุกคนเกิดมามีอิสระและเสมอภาคกัน",
+        "人人生而自由，在尊严和权利上一律平等。",
+        "qzx wvkj xqpz kkvw zzqj jxwq pqzv wxkz vvqk zjxk qwpz xkvj",
+        "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saaani sanelemahan, sukuvirttä suoltamahan",
+    ]
+    clean = [
+        "the",
+        "the house and the garden",
+        "le chat est dans la maison",
+        "der Hund und die Katze",
+        "la casa de los padres",
+        "It is a truth universally acknowledged that a man in possession of a good fortune wants the one thing",
+    ]
+    texts = [(-1 - i, t, None) for i, t in enumerate(strange + clean)]
+    rows = docs.unionByName(spark.createDataFrame(texts, docs.schema))
+    kept = {r["doc_id"] for r in language.keep_known(rows).collect()}
+    assert {t for i, t, _ in texts if i in kept} == set(clean)
+    assert kept >= {r["doc_id"] for r in docs.collect()}
