@@ -3,7 +3,7 @@
 Each notice is indexed under its highest-IDF words only, with their positions in it; the IDF counts
 all documents. A file's words are looked up in that index. A hit at word i of a word at position p of
 a notice says that the notice would start at i - p; there, the notice and the text are compared
-position by position. Equal words weigh their IDF. A notice is found where the key phrase that it
+position by position. Equal words weigh their IDF, which stays above 0. A notice is found where the key phrase that it
 cannot do without is complete and at least `MIN_SCORE` of its weight agrees; the base phrases must
 agree in full. Places are told apart by notice and start.
 
@@ -125,14 +125,17 @@ def words_of(text: Column) -> Column:
 
 
 def idf(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """ln((documents + 1) / (documents with the word + 1)) over all documents."""
+    """1 + ln((documents + 1) / (documents with the word + 1)) over all documents.
+
+    At least 1: words that every document holds still count where a notice is compared.
+    """
     known = F.array(*(F.lit(w) for w in vocabulary))
     # Every document adds one to the empty word: their number comes with the counts.
     held = F.concat(F.array(F.lit("")), F.array_intersect(known, words_of(F.col("text"))))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").count()
     count = dict(counts.collect())
     total = count.pop("", 0)
-    return {w: math.log((total + 1) / (count.get(w, 0) + 1)) for w in vocabulary}
+    return {w: 1 + math.log((total + 1) / (count.get(w, 0) + 1)) for w in vocabulary}
 
 
 def _index(found: list[Notice], weight: dict[str, float]) -> list[tuple[str, int, int]]:
@@ -153,7 +156,7 @@ def _index(found: list[Notice], weight: dict[str, float]) -> list[tuple[str, int
 
 def _agreement(notice: Notice, weight: dict[str, float], start: Column, words: Column) -> Column:
     """The weight that agrees at `start`, 0 to 1; null where the notice is not found."""
-    total = sum(weight[w] for w in notice.words) or 1.0
+    total = sum(weight[w] for w in notice.words)
     same = [F.get(words, start + i).eqNullSafe(F.lit(w)) for i, w in enumerate(notice.words)]
     first, size = notice.key
     key = same[first]

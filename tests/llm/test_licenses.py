@@ -72,3 +72,13 @@ def test_no_python_in_the_plan(spark):
     df = licenses.report(spark.read.parquet(f"{SMALL}/documents.parquet"))
     text = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", text)
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_a_notice_that_every_row_holds(spark, n):
+    """The words of such a notice are in all documents; it is found all the same."""
+    notice = licenses.NOTICES[0][0]
+    df = spark.createDataFrame([(i, f"file {i} {notice} end") for i in range(n)], "doc_id long, text string")
+    rows = compare(df)
+    assert [r["labels"] for r in rows.values()] == ["mit"] * n
+    assert all(r["score"] == pytest.approx(1) for r in rows.values())
