@@ -7,7 +7,10 @@ when the table ends. Nothing is thrown away for being navigation or advertising:
 comes out, in order. Neither step recurses, so nesting may be of any depth.
 
 Not visible: head, scripts, styles, templates, comments, elements with `hidden` or with a style of
-`display: none` or `visibility: hidden`, and hidden inputs.
+`display: none` or `visibility: hidden`, hidden inputs; in formulas and drawings (math, svg) annotations,
+titles, descriptions, metadata and what is only defined there. Also left out: what stands in for embedded
+content (iframe, object, noembed, noframes, noscript), suggestions (datalist), pictures' alternative
+texts, default labels of buttons, placeholders, and the values of inputs that show none as text.
 
 Defined results: a null page gives null; an empty page, or one without visible text, an empty text;
 a tag that the page ends in is dropped. Rows are independent; extra columns stay, except `text`,
@@ -28,8 +31,15 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 HIDDEN = frozenset(
-    "head script style template noscript noembed noframes iframe object svg math datalist title".split()
+    "head script style template noscript noembed noframes iframe object datalist title".split()
 )
+FOREIGN = frozenset(("svg", "math"))
+# Inside of these: what is not painted where it stands.
+UNPAINTED = frozenset(
+    "annotation annotation-xml desc defs metadata symbol clippath mask marker pattern lineargradient"
+    " radialgradient".split()
+)
+WORDLESS_INPUTS = frozenset("checkbox radio password file image color range".split())
 IN_HEAD = frozenset("base link meta title style script template noscript".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure"
@@ -86,6 +96,7 @@ def attributes(text: str) -> dict[str, str]:
 def marks(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", words, ""), ("open", name, rest of the tag) and ("close", name, "")."""
     at, size = 0, len(page)
+    foreign = 0
     while at < size:
         less = page.find("<", at)
         if less < 0:
@@ -110,9 +121,16 @@ def marks(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         name = name.lower()
         if slash:
+            if name in FOREIGN:
+                foreign = max(0, foreign - 1)
             yield "close", name, ""
             continue
         yield "open", name, rest
+        if rest.endswith("/") and (foreign or name in FOREIGN):
+            yield "close", name, ""
+            continue
+        if name in FOREIGN:
+            foreign += 1
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             stop = close.start() if close else size
@@ -294,11 +312,17 @@ def _number(text: str | None, default: int) -> int:
     return int(found[1]) if found else default
 
 
+def _unpainted(found: dict[str, str]) -> bool:
+    """Whether attributes of a drawing's element, not its style, hide it."""
+    return found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse")
+
+
 def render(page: str) -> str:
     """The visible text of a page."""
     canvases = [Canvas()]
     tables: list[_Table] = []
     lists: list[list] = []  # [ordered, next number]
+    foreign = 0  # formulas and drawings that are open
     unseen = 0  # elements open since a hidden one, itself included
     pre = 0
 
@@ -320,10 +344,18 @@ def render(page: str) -> str:
                 name in HIDDEN
                 or "hidden" in found
                 or _UNSEEN.search(found.get("style", "")) is not None
-                or name == "input"
+                or (name == "input" and found.get("type", "").strip().lower() == "hidden")
+                or (foreign and (name in UNPAINTED or _unpainted(found)))
             )
             if hidden:
                 unseen = 1
+            elif name == "input":
+                if found.get("type", "").strip().lower() not in WORDLESS_INPUTS and found.get("value"):
+                    canvas.write(f" {found['value']} ")
+            elif name in FOREIGN:
+                foreign += 1
+            elif foreign and name == "text":
+                canvas.block(1)
             elif name == "br":
                 canvas.end_line(always=True)
             elif name in CELLS and tables:
@@ -358,7 +390,11 @@ def render(page: str) -> str:
                     canvas.indents.append("    ")
             continue
         # A closing tag of something visible.
-        if name in CELLS and tables and tables[-1].cells:
+        if name in FOREIGN:
+            foreign -= 1
+        elif foreign and name == "text":
+            canvas.block(1)
+        elif name in CELLS and tables and tables[-1].cells:
             cell, span = tables[-1].cells.pop()
             if canvases[-1] is cell:
                 canvases.pop()

@@ -92,3 +92,21 @@ def test_odd_rows(spark):
     assert found.columns == ["page_id", "n_chars", "text"]
     assert sorted((r["page_id"], r["text"]) for r in found.collect()) == [(1, None), (2, ""), (3, "x"), (3, "x")]
     assert extract(df.where("page_id < 0")).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"),
+        ("<math><semantics><mi>y</mi><annotation>no</annotation></semantics></math>", "y"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><g><text>yes</text></g></svg>", "yes"),
+        ("<svg><defs/><title/><path d='M 0'/><text>a</text><text>b</text></svg>c", "a\nb\nc"),
+        ("<svg><text display=none>no</text><metadata>no</metadata></svg><desc>yes</desc>", "yes"),
+        ("a<svg/>b", "ab"),
+        ("<input type=submit value='Send it'><input type=BUTTON value=Stop>", "Send it Stop"),
+        ("<input value=typed><input type=password value=no><input type=checkbox value=no>", "typed"),
+        ("<input type=submit value=no hidden><input type=' Hidden ' value=no>yes", "yes"),
+    ],
+)
+def test_formulas_drawings_and_buttons(page, text):
+    assert render(page) == text
