@@ -115,8 +115,9 @@ def _edges(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
         .select("sid", F.col("block").alias("edge_block"), (F.col("left") - F.col("ahead")).alias("room"))
     )
     edge = materialize(edge, "mix-edges")
-    # One block per source: bounded by its words, whatever the source's size.
-    at_edge = last_pass.join(edge, "sid").where("block = edge_block")
+    # One block per source: bounded by its words, whatever the source's size. Documents without words
+    # always fit and are not listed.
+    at_edge = last_pass.join(edge, "sid").where("block = edge_block AND size > 0")
     units = (
         at_edge.groupBy("sid", "edge_block", "room", KEY)
         .agg(F.sum("size").alias("size"))
@@ -249,14 +250,15 @@ def plan_mix(
 
 
 def drawn(docs: DataFrame, mix: Mix) -> DataFrame:
-    """`docs` (with `source` and KEY) with their source's numbers and `draws`: one per copy."""
+    """`docs` (with `source`, `empty` and KEY) with their source's numbers and `draws`: one per copy."""
     s = mix.sources.select(
         F.col("source").alias("__source"), "sid", "source_size", "target", "passes", "n_blocks", "edge_block", "edge_keys",
     )
     joined = docs.join(s, docs["source"].eqNullSafe(s["__source"]))
     block = _block(mix.seed, F.col("passes"), F.col("n_blocks"))
     partly = (block < F.col("edge_block")) | (
-        (block == F.col("edge_block")) & F.array_contains(F.coalesce("edge_keys", F.array().cast("array<bigint>")), F.col(KEY))
+        (block == F.col("edge_block"))
+        & (F.col("empty") | F.array_contains(F.coalesce("edge_keys", F.array().cast("array<bigint>")), F.col(KEY)))
     )
     copies = F.when(F.col("source_size") > 0, F.col("passes") + F.coalesce(partly, F.lit(False)).cast("long")).otherwise(0)
     none = F.array().cast("array<bigint>")
@@ -275,7 +277,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     )
     sized = materialize(measured, "mix-sized")
     mix = plan_mix(sized, **options)
-    copies = drawn(sized, mix).select(
+    copies = drawn(sized.withColumn("empty", F.col("size") == 0), mix).select(
         "row", "doc_id", "size", "source_size", "target", "sid", F.explode_outer("draws").alias("draw")
     )
     placed = copies.join(mix.deal, ["sid", "draw"], "left")
@@ -298,7 +300,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     mix = plan_mix(sized, **options)
     names = [f"c{i}" for i in range(len(docs.columns))]
     whole = F.struct(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    packed = keyed.select("source", KEY, whole.alias("__doc"))
+    empty = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    packed = keyed.select("source", KEY, empty.alias("empty"), whole.alias("__doc"))
     copies = drawn(packed, mix).select("__doc", KEY, "sid", F.explode("draws").alias("draw"))
     placed = copies.join(mix.deal, ["sid", "draw"])
     order = F.xxhash64(F.lit(mix.seed), "shard", "draw", KEY)

@@ -116,3 +116,16 @@ def test_no_words(spark):
     df = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["target"], r["taken"]) for r in mixing.mix_report(df).collect()] == [(0.0, 0)] * 2
     assert mixing.mixed(df).count() == 0
+
+
+def test_documents_without_words_are_not_listed(spark):
+    rows = [(i, "w " * 10 if i < 40 else ("" if i % 2 else None), "a") for i in range(2000)]
+    rows += [(2000 + i, "w " * 10, "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.document_key(df).select("source", mixing.KEY, mixing.word_count(F.col("text")).alias("size"))
+    plan = mixing.plan_mix(sized, weights=(1, 9), max_repeats=1.9)
+    listed = {r["source"]: len(r["edge_keys"] or []) for r in plan.sources.collect()}
+    assert 0 < listed["a"] <= 40
+    report = mixing.mix_report(df, weights=(1, 9), max_repeats=1.9).where("size = 0").collect()
+    copies = Counter(r["doc_id"] for r in mixing.mixed(df, weights=(1, 9), max_repeats=1.9).collect())
+    assert len(report) == 1960 and all(len(r["shards"]) == copies[r["doc_id"]] > 0 for r in report)
