@@ -1,11 +1,11 @@
-"""Documents whose sets of word 5-grams have a Jaccard similarity of 0.75 or more, and their groups.
+"""Groups of documents linked by a Jaccard similarity of 0.75 or more of their sets of word 5-grams.
 
-An exact set-similarity join that uses how sets relate to each other:
+Exact groups by a set-similarity join that uses how sets relate to each other:
 
 * Equal sets are one class; everything below works on classes, so copies cost nothing twice.
-* Answers are taken over from similar sets. In a few rounds, components are compared to classes with
+* Linked sets are merged. In a few rounds, components are compared to classes with
   which they share smallest hashes; what is found linked is one component, and no pair inside a
-  component is ever made again, because for the groups its answer is known.
+  component is ever made again, because for the groups its answer is not needed.
 * What is left goes through a prefix index: of two linked sets, the first shingles in one common
   order meet. The order puts shingles that a count sketch of the whole corpus shows to be frequent
   last, ties by hash. Index lists are scanned in blocks; blocks and pairs whose sizes or whose
@@ -16,8 +16,9 @@ long is cut into stripes, and each pair of stripes is a list of its own. Candida
 are checked on parity bitmaps, which prove most of the unlinked ones to be so, and then on whole
 sets. Sets leave their task only for pairs to verify.
 
-The links found connect every group of linked documents; links inside a group that others imply are
-not listed. Shingles and sets are known by 64-bit hashes.
+The links found connect every group of linked documents. They are not all links: a pair inside a group
+may be linked or not, Jaccard is not transitive, and neither it nor a set's number of links comes out.
+Shingles and sets are known by 64-bit hashes.
 
 Defined results: null texts and texts without words have size 0 and are groups of one; fewer than
 five words are one shingle; rows with equal `doc_id` and other text are different documents, and a
