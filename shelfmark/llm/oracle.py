@@ -69,8 +69,38 @@ shared AS (
 SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
 """
 
+OP11_HARD_NEGATIVES = """
+WITH vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id,
+           CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+    SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id AS vec_id, b.row AS row,
+           a.label = b.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+    FROM vectors a JOIN vectors b ON a.row <> b.row AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor, anchor_id, row, vec_id AS positive_id, score AS positive_score
+    FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.row
+                               ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n
+  ON n.anchor = p.anchor AND NOT n.same
+ AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLE_SQL = {
     "op8_vector_dedup": OP8_VECTOR_DEDUP,
     "op10_jaccard": OP10_JACCARD,
     "op9_line_dedup": OP9_LINE_DEDUP,
+    "op11_hard_negatives": OP11_HARD_NEGATIVES,
 }
