@@ -28,6 +28,7 @@ two underscores are taken.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -64,6 +65,48 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Entries:
+    """Byte strings that are looked up by number and joined."""
+
+    def __init__(self, entries: list[bytes]):
+        self.flat = np.frombuffer(b"".join(entries), np.uint8)
+        self.sizes = np.array(list(map(len, entries)), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        shift = self.starts[ids] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(sizes.sum())].tobytes()
+
+
+# How byte-level vocabularies of this kind separate words: a fixed value.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _as_ranks(path: str):
+    """The vocabulary of a byte-level file for the quicker library, if the file says no more than that.
+
+    That is: nothing but words separated as in `_WORDS` and merged in the order of their ids.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model, letters = content["model"], _byte_letters()
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    steps = {k: v for k, v in (content["pre_tokenizer"] or {}).items() if k in plain}
+    if content["normalizer"] or {**plain, "trim_offsets": steps.get("trim_offsets")} != steps:
+        return None
+    special = {t["content"] for t in content["added_tokens"] if t["special"]}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    entries = {e: i for e, i in model["vocab"].items() if e not in special}
+    order = [entries[m] for m in merged]
+    if order != sorted(set(order)) or len(entries) != len(order) + 256 or model.get("ignore_merges"):
+        return None
+    ranks = {bytes(map(letters.get, e)): i for e, i in entries.items()}
+    return tiktoken.Encoding("from file", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Pair:
     """Two tokenizers, and the bytes and written forms of their entries."""
 
@@ -74,6 +117,7 @@ class Pair:
 
         self.first = Tokenizer.from_file(first_path)
         self.first.encode_special_tokens = True
+        self.quick = _as_ranks(first_path)
         self.second = sentencepiece.SentencePieceProcessor(model_file=second_path)
         letters = _byte_letters()
         self.first_bytes = [b""] * self.first.get_vocab_size()
@@ -87,15 +131,12 @@ class Pair:
         ]
         # Only where no entry crosses from one word into the next may a text be cut.
         self.cuts = not any(_MARK in p.lstrip(_MARK) for p in pieces)
-        self.sizes = [
-            np.array(list(map(len, entries)), np.int64)
-            for entries in (self.first_bytes, self.second_bytes)
-        ]
+        self.bytes = [_Entries(self.first_bytes), _Entries(self.second_bytes)]
         # Each entry's number with what may follow it in the written form of groups.
-        self.written = [f"{i},".encode() for i in range(len(self.first_bytes))]
-        self.written += [f"{i}|".encode() for i in range(len(self.first_bytes))]
-        self.written += [f"{i},".encode() for i in range(len(self.second_bytes))]
-        self.written += [f"{i};".encode() for i in range(len(self.second_bytes))]
+        numbers = [range(len(self.first_bytes)), range(len(self.second_bytes))]
+        self.written = _Entries(
+            [f"{i}{end}".encode() for ids, ends in zip(numbers, (",|", ",;"), strict=True) for end in ends for i in ids]
+        )
 
     def _stretches(self, text: str) -> Iterator[str]:
         """Parts of the text, without the space between two of them."""
@@ -114,14 +155,18 @@ class Pair:
             letters = (text or b"").decode()
         except UnicodeDecodeError:
             return []
-        found, same = [], (hashlib.sha256(), hashlib.sha256(), hashlib.sha256(b" " + (text or b"")))
+        found = []
         for part in self._stretches(letters) if letters else ():
-            first = self.first.encode_batch_fast([" " + part], add_special_tokens=False)[0].ids
+            if self.quick:
+                first = self.quick.encode_to_numpy(" " + part, disallowed_special=()).astype(np.int32)
+            else:
+                first = self.first.encode_batch_fast([" " + part], add_special_tokens=False)[0].ids
             second = self.second.encode(part, num_threads=1)
-            same[0].update(b"".join(map(self.first_bytes.__getitem__, first)))
-            same[1].update(b"".join(map(self.second_bytes.__getitem__, second)))
             found.append((np.array(first, np.int32), np.array(second, np.int32)))
-        return found if len({h.digest() for h in same}) == 1 else []
+        for kind in (0, 1):
+            if b"".join(self.bytes[kind].joined(x[kind]) for x in found) != b" " + (text or b""):
+                return []
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -201,7 +246,7 @@ def _align(found: list[tuple[Aligned, np.ndarray, np.ndarray]], pair: Pair) -> N
         return
     ids = [np.concatenate([x[kind] for x in found]).astype(np.int64) for kind in (1, 2)]
     counts = [np.array([len(x[kind]) for x in found]) for kind in (1, 2)]
-    sizes = [pair.sizes[kind][ids[kind]] for kind in (0, 1)]
+    sizes = [pair.bytes[kind].sizes[ids[kind]] for kind in (0, 1)]
     ends = [np.cumsum(x) for x in sizes]
     kinds = np.repeat([0, 1], [len(x) for x in ids])
     group = groups_of(
@@ -218,10 +263,12 @@ def _align(found: list[tuple[Aligned, np.ndarray, np.ndarray]], pair: Pair) -> N
     order = np.argsort(group * 2 + kinds, kind="stable")
     place = (group * 2 + kinds)[order]
     ending = np.append(place[1:] != place[:-1], True).astype(np.int64)
-    base = np.array([[0, len(pair.first_bytes)], [2 * len(pair.first_bytes), 2 * len(pair.first_bytes) + len(pair.second_bytes)]])
+    n_first, n_second = len(pair.first_bytes), len(pair.second_bytes)
+    base = np.array([[0, n_first], [2 * n_first, 2 * n_first + n_second]])
     entry = np.concatenate(ids)[order] + base[kinds[order], ending]
-    written = list(map(pair.written.__getitem__, entry.tolist()))
+    written = pair.written.joined(entry)
     token_ends = np.cumsum(counts[0] + counts[1])
+    written_ends = np.cumsum(pair.written.sizes[entry])[token_ends - 1]
 
     document = np.repeat(np.arange(len(found)), np.diff(np.append(0, group_ends)))
     keys, links = [], []
@@ -237,13 +284,13 @@ def _align(found: list[tuple[Aligned, np.ndarray, np.ndarray]], pair: Pair) -> N
             found[i][0].pairs.append(part[1, bounds[i] : bounds[i + 1]])
             found[i][0].links.append(n[bounds[i] : bounds[i + 1]])
 
-    token_start = group_start = 0
+    start = group_start = 0
     for i, (aligned, first, second) in enumerate(found):
-        aligned.write(b"".join(written[token_start : token_ends[i]]))
+        aligned.write(written[start : written_ends[i]])
         aligned.counts += (
             len(first), len(second), group_ends[i] - group_start, n_links[i + 1] - n_links[i]
         )
-        token_start, group_start = token_ends[i], group_ends[i]
+        start, group_start = written_ends[i], group_ends[i]
 
 
 def align_texts(texts: list[bytes | None], pair: Pair, keep_groups: bool = False) -> list[Aligned]:
