@@ -18,6 +18,7 @@ from shelfmark.llm import (
     mixing,
     neighbours,
     packing,
+    quality,
     scoring,
     vector_dedup,
 )
@@ -84,6 +85,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.coalesce(fold(docs, 5) == 0, F.lit(False))
+    model = quality.learn(docs.where(~held_out), labels.where(~F.coalesce(fold(labels, 5) == 0, F.lit(False))))
+    scored = quality.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -100,5 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard": op10_jaccard,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality": op12_quality,
     "op13_alignment": op13_alignment,
 }
