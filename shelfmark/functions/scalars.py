@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.exact import exact_sum
 from shelfmark.functions.json import bind, is_whole, parse_whole
 
 # The run stamp, as written into every extracted record.
@@ -93,17 +94,18 @@ def round_half_up(col: Column, digits: int) -> Column:
 def exact_avg(col: Column, digits: int = 6) -> Column:
     """Average that does not depend on the order of summation, rounded half up.
 
-    Sums decimals instead of doubles, so every partitioning gives the same last digit. That is for
-    values that eight decimal places hold to the last digit a double shows. Where a group has any
-    other value, its average is the plain one: rounded like the others, unless it is so small, so
-    large or so little of a number that rounding would change it beyond recognition.
+    Where eight decimal places hold every value of the group to the last digit a double shows, decimals
+    are summed, so that 0.1 counts as a tenth. Any other group is summed exactly as the binary numbers
+    its values are (`exact_sum`). So every partitioning gives the same last digit. Averages that are so
+    small, so large or so little of a number that rounding would change them beyond recognition stay
+    as they are.
     """
     value = col.cast("double")
     exact = value.try_cast("decimal(28,8)")
     near = F.abs(exact.cast("double") - value) <= F.abs(value) * F.lit(1e-15)
     fits = F.bool_and(F.when(value.isNotNull(), F.coalesce(near, F.lit(False))))
     rounded = F.round(F.avg(exact), digits).cast("double")
-    plain = F.avg(value)
+    plain = exact_sum(value) / F.count(value)
     usual = F.abs(plain).between(1e-3, 1e9)
     return F.when(fits, rounded).when(usual, F.round(plain, digits)).otherwise(plain)
 

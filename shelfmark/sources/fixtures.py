@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.scalars import RUN_STAMP
+from shelfmark.sources.tables import file_bytes
 
 # Latest-per-key needs a total order; these make one on the fixtures.
 LISTING_TIES = ["seller_product_id", "seller_id", "original_price"]
@@ -18,8 +19,18 @@ REVIEW_TIES = ["thank_count"]
 RUN = "20240301_000000"
 
 
+# Below so many bytes of file for each core, a table cannot have a row group for every core.
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One with fewer row groups than cores, as small files have, is dealt out to them.
+
+    Anything larger is read as its row groups lie, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if file_bytes(df) < cores * ROW_GROUP_BYTES else df
 
 
 def _columns(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
