@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.sources.footers import FileGroup, file_groups
+
 RUN = "run"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -69,20 +71,50 @@ def latest_run_file(spark: SparkSession, path: str) -> DataFrame | None:
 def bronze_union(spark: SparkSession, path: str, keep_run: bool = False) -> DataFrame:
     """All runs below `path`, appended by column name; a column a file lacks is null there.
 
-    Files that agree on types are read as one scan. Where they do not (a whole-number column with
-    gaps comes as double), the runs are cut into stretches that agree, one scan each, and cast to
-    the widest type. Columns that are whole numbers in some files and whole doubles in all others
-    stay whole numbers, so ids keep their last digit.
+    The footers of all files are read once, in tasks. Files whose shared columns agree are one scan;
+    where they do not (a whole-number column with gaps comes as double), there is a scan for each
+    group that agrees, in whatever order the files lie, and columns are cast to the widest type.
+    Columns that are whole numbers in some files and whole doubles in all others stay whole numbers,
+    so ids keep their last digit.
     """
-    if not _files(spark, path).take(1):
+    files = _files(spark, path)
+    groups = file_groups(files)
+    if groups is not None:
+        if not groups:
+            raise FileNotFoundError(f"no Parquet file below {path}")
+        merged = _widened(_scans(spark, path, groups))
+    elif not files.take(1):
         raise FileNotFoundError(f"no Parquet file below {path}")
+    else:
+        merged = _union_by_halves(spark, path)
+    return merged if keep_run else merged.drop(RUN)
+
+
+def _scans(spark: SparkSession, path: str, groups: list[FileGroup]) -> list[DataFrame]:
+    """One scan per group, with the schema of its examples; columns without a type of their own go."""
+    parts = []
+    for group in groups:
+        merging = spark.read.option("basePath", path).option("mergeSchema", "true")
+        schema = merging.parquet(*group.examples).schema
+        kept = [
+            T.StructField(f.name, T.StringType()) if f.name == RUN and f.name not in group.columns else f
+            for f in schema
+        ]
+        reader = spark.read.option("basePath", path).schema(T.StructType(kept))
+        part = reader.parquet(*group.files)
+        others = set().union(*(g.typed for g in groups if g is not group))
+        parts.append(part.drop(*(group.empty & others)))
+    return parts
+
+
+def _union_by_halves(spark: SparkSession, path: str) -> DataFrame:
+    """For files that only Spark's readers can open: merged, or cut into stretches that merge."""
     try:
-        merged = spark.read.option("mergeSchema", "true").parquet(path)
+        return spark.read.option("mergeSchema", "true").parquet(path)
     except Exception as error:  # raised by the footer job, so it has no class of its own
         if "CANNOT_MERGE" not in str(error):
             raise
-        merged = _union_by_schema(spark, path)
-    return merged if keep_run else merged.drop(RUN)
+    return _widened(_stretches(spark, path))
 
 
 def _agreeing(read, places: list[str]) -> list[DataFrame]:
@@ -100,7 +132,7 @@ def _agreeing(read, places: list[str]) -> list[DataFrame]:
     return _agreeing(read, places[:half]) + _agreeing(read, places[half:])
 
 
-def _union_by_schema(spark: SparkSession, path: str) -> DataFrame:
+def _stretches(spark: SparkSession, path: str) -> list[DataFrame]:
     reader = spark.read.option("basePath", path).option("mergeSchema", "true")
     runs = run_folders(spark, path)
     # The files of a run were written by one job; without run folders, files stand for runs.
@@ -113,9 +145,14 @@ def _union_by_schema(spark: SparkSession, path: str) -> DataFrame:
     for part in parts:
         same.setdefault(part.schema.json(), []).append(part)
     parts = [reduce(DataFrame.unionByName, some) for some in same.values()]
+    return [_drop_untyped(part, parts) for part in parts]
+
 
+def _widened(parts: list[DataFrame]) -> DataFrame:
+    """All parts by column name, each column as the widest of its types."""
+    if len(parts) == 1:
+        return parts[0]
     types: dict[str, list[T.DataType]] = {}
-    parts = [_drop_untyped(part, parts) for part in parts]
     for part in parts:
         for f in part.schema:
             types.setdefault(f.name, []).append(f.dataType)
@@ -141,8 +178,11 @@ def _whole_doubles(parts: list[DataFrame], types: dict[str, list[T.DataType]]) -
     for part in parts:
         doubles = [f.name for f in part.schema if f.name in mixed and isinstance(f.dataType, _FLOATING)]
         if doubles:
-            wrong = part.agg(*(F.count_if(~_is_whole(F.col(f"`{c}`"))).alias(c) for c in doubles)).first()
-            mixed -= {c for c in doubles if wrong[c]}
+            # Counted in passing, so nothing is exchanged.
+            seen = Observation()
+            wrong = [F.count_if(~_is_whole(F.col(f"`{c}`"))).alias(c) for c in doubles]
+            part.observe(seen, *wrong).select(*(F.col(f"`{c}`") for c in doubles)).write.format("noop").mode("overwrite").save()
+            mixed -= {c for c in doubles if seen.get[c]}
     return mixed
 
 

@@ -1,11 +1,12 @@
 import json
+import uuid
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark import session
-from shelfmark.sources import bronze, snapshots, tables
+from shelfmark.sources import bronze, footers, snapshots, tables
 
 
 def test_union_of_agreeing_runs(spark, tmp_path):
@@ -150,6 +151,82 @@ def test_union_reads_few_schemas(spark, tmp_path, monkeypatch):
     assert len(reads) < 30
 
 
+def _drifting(folder, n, runs=False):
+    """Files of three schemas that take turns: whole numbers, doubles with gaps, text."""
+    for i in range(n):
+        place = folder / f"run=2024{i:04d}_000000" if runs else folder
+        place.mkdir(exist_ok=True, parents=True)
+        kind = ["int64", "float64", "object"][i % 3]
+        ids = pd.Series([i, None] if i % 3 == 1 else [i, i], dtype="object").astype(str if kind == "object" else kind)
+        pd.DataFrame({"id": ids, "n": [i, i]}).to_parquet(place / f"l_{i:04d}.parquet")
+
+
+def _jobs(spark, action):
+    """What `action` returns, and the number of Spark jobs it took."""
+    name = f"counted {uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(name, "", False)
+    try:
+        found = action()
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _number_of_scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+@pytest.mark.parametrize("runs", [False, True])
+def test_union_reads_each_schema_once(spark, tmp_path, runs):
+    """Neither jobs nor scans follow the number of files, in whatever order schemas change."""
+    _drifting(tmp_path, 500, runs)
+    spark.range(1).count()
+    found, jobs = _jobs(spark, lambda: bronze.bronze_union(spark, str(tmp_path), keep_run=runs))
+    assert jobs <= 8 + runs  # folders are listed by a job of their own
+    assert _number_of_scans(found) <= 3
+    rows = found.collect()
+    expected = [x for i in range(500) for x in ([str(i), None] if i % 3 == 1 else [str(i)] * 2)]
+    assert sorted((r["id"] for r in rows), key=lambda x: (x is None, x)) == sorted(expected, key=lambda x: (x is None, x))
+    if runs:
+        assert {r["run"] for r in rows if r["n"] == 7} == {"20240007_000000"}
+
+
+def test_union_without_reach_for_tasks(spark, tmp_path, monkeypatch):
+    """Where only Spark's readers can open the files, halving gives the same rows."""
+    _drifting(tmp_path, 12)
+    key = lambda r: (r["n"], r["id"] or "")
+    expected = sorted(bronze.bronze_union(spark, str(tmp_path)).collect(), key=key)
+    monkeypatch.setattr(bronze, "file_groups", lambda files: None)
+    assert sorted(bronze.bronze_union(spark, str(tmp_path)).collect(), key=key) == expected
+
+
+def test_footers_group_files(spark, tmp_path):
+    """Missing columns and wider decimals agree; types, nesting and repetition do not."""
+    schemas = {
+        "a": "id long, s struct<x:int>", "b": "id long, extra string", "c": "id long, s struct<x:int,y:string>",
+        "d": "id long, s string", "e": "id long, s array<int>", "f": "id int", "g": "d decimal(10,2)",
+        "h": "d decimal(20,2)", "i": "d decimal(20,3)",
+    }
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).coalesce(1).write.parquet(str(tmp_path / name))
+    groups = footers.file_groups(bronze._files(spark, str(tmp_path)))
+    names = [sorted({f.split("/")[-2] for f in g.files}) for g in groups]
+    assert len(names) == 4
+    by_name = {n: i for i, some in enumerate(names) for n in some}
+    assert by_name["a"] == by_name["b"] == by_name["c"] and by_name["g"] == by_name["h"] != by_name["i"]
+    assert len({by_name[n] for n in "adef"}) == 4
+    missing = spark.createDataFrame([(str(tmp_path / "no.parquet"),)], "path string")
+    assert footers.file_groups(missing) is None
+
+
+def test_run_stamps_stay_text(spark, tmp_path):
+    """Stamps that look like numbers in some runs are text in all."""
+    for run, kind in {"20240101": "int", "20240102_000000": "string"}.items():
+        bronze.bronze_append(spark.range(1).select(F.col("id").cast(kind).alias("id")), str(tmp_path), run)
+    found = bronze.bronze_union(spark, str(tmp_path), keep_run=True)
+    assert {r["run"] for r in found.collect()} == {"20240101", "20240102_000000"}
+
+
 def test_scratch_goes_with_the_job(spark):
     import os
 
