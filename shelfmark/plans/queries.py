@@ -759,11 +759,16 @@ def dq_report(spark, sf_dir):
 
     def staged(name, df, wanted):
         wanted = {*quality.columns_read(name), *wanted}
-        return tables.materialize(df.select(*(c for c in df.columns if c in wanted)), name)
+        return df.select(*(c for c in df.columns if c in wanted))
 
-    listing = staged("stg_listing", _stg_listing(spark, sf_dir), of_books)
-    detail = staged("stg_detail", _stg_detail(spark, sf_dir), of_books)
-    reviews = staged("stg_reviews", _stg_reviews(spark, sf_dir), of_reviews)
+    written = tables.materialize_all(
+        {
+            "stg_listing": staged("stg_listing", _stg_listing(spark, sf_dir), of_books),
+            "stg_detail": staged("stg_detail", _stg_detail(spark, sf_dir), of_books),
+            "stg_reviews": staged("stg_reviews", _stg_reviews(spark, sf_dir), of_reviews),
+        }
+    )
+    listing, detail, reviews = written.values()
     books = tables.materialize(models.join_books(listing, detail, of_books), "books")
     facts = models.join_reviews(reviews, books, of_reviews)
     return quality.dq_report(

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from shelfmark.session import scratch_path
 
@@ -104,6 +106,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """`materialize` of several tables that do not need each other, at the same time.
+
+    So the last tasks of one write do not leave the cluster idle before the next begins.
+    """
+    if not dfs:
+        return {}
+    write = inheritable_thread_target(materialize)
+    with ThreadPoolExecutor(len(dfs)) as threads:
+        running = {name: threads.submit(write, df, name) for name, df in dfs.items()}
+        return {name: one.result() for name, one in running.items()}
+
+
 def small_side(df: DataFrame, name: str, max_rows: int) -> DataFrame:
     """The one-row-per-key side of a join, written once; rows and bytes are those of its files.
 
