@@ -37,6 +37,8 @@ MAX_REPEATS = 2
 BLOCK_WORDS = 1 << 16
 SHARD_WORDS = 1 << 24
 SPAN = 4096
+PIECE_WORDS = 1 << 21  # of a file: a shard is several files, so that readers of the mix share its work
+MAX_PIECES = 200_000
 
 
 @dataclass(frozen=True)
@@ -44,12 +46,14 @@ class Mix:
     """A finished plan.
 
     `sources`: one row per source (source, sid, source_size, target, passes, n_blocks, edge_block,
-    edge_keys); `deal`: which shard has draw number `draw` of source `sid`.
+    edge_keys); `deal`: which shard has draw number `draw` of source `sid`; `shards` of about `words`.
     """
 
     sources: DataFrame
     deal: DataFrame
     seed: int
+    shards: int
+    words: float
 
 
 def word_count(text: Column) -> Column:
@@ -246,7 +250,7 @@ def plan_mix(
     deal = runs.select(
         "sid", "shard", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("draw")
     )
-    return Mix(sources, materialize(deal, "mix-deal"), seed)
+    return Mix(sources, materialize(deal, "mix-deal"), seed, shards, words / shards)
 
 
 def drawn(docs: DataFrame, mix: Mix) -> DataFrame:
@@ -304,9 +308,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     packed = keyed.select("source", KEY, empty.alias("empty"), whole.alias("__doc"))
     copies = drawn(packed, mix).select("__doc", KEY, "sid", F.explode("draws").alias("draw"))
     placed = copies.join(mix.deal, ["sid", "draw"])
-    order = F.xxhash64(F.lit(mix.seed), "shard", "draw", KEY)
+    # A shard's order is a hash, and its pieces are equal ranges of that hash.
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), "shard", "draw", KEY), 1)
+    pieces = max(1, min(math.ceil(mix.words / PIECE_WORDS), MAX_PIECES // mix.shards))
+    piece = F.floor(F.col("__order") / F.lit(2.0**63) * pieces)
+    place = (F.col("shard") * pieces + F.least(piece, F.lit(pieces - 1))) % MAX_PIECES
     return (
-        placed.repartition("shard")
-        .sortWithinPartitions("shard", order)
+        placed.withColumn("__order", order)
+        .repartitionById(min(mix.shards * pieces, MAX_PIECES), place.cast("int"))
+        .sortWithinPartitions("shard", "__order")
         .select(*(F.col(f"__doc.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)))
     )

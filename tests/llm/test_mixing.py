@@ -129,3 +129,17 @@ def test_documents_without_words_are_not_listed(spark):
     report = mixing.mix_report(df, weights=(1, 9), max_repeats=1.9).where("size = 0").collect()
     copies = Counter(r["doc_id"] for r in mixing.mixed(df, weights=(1, 9), max_repeats=1.9).collect())
     assert len(report) == 1960 and all(len(r["shards"]) == copies[r["doc_id"]] > 0 for r in report)
+
+
+def test_pieces_of_shards_are_even(corpus, monkeypatch):
+    """Files of the mix hold about as many words each, whatever the numbers of their shards."""
+    options = {"block_words": 900, "shard_words": 20_000}
+    whole = Counter(r["doc_id"] for r in mixing.mixed(corpus, **options).collect())
+    monkeypatch.setattr(mixing, "PIECE_WORDS", 7000)
+    pieces = mixing.mixed(corpus, **options).withColumn("piece", F.spark_partition_id())
+    assert Counter(r["doc_id"] for r in pieces.collect()) == whole
+    sizes = pieces.groupBy("piece").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
+    found = [r["n"] for r in sizes.collect()]
+    assert len(found) >= 12 and max(found) <= 4000 + 2 * sum(found) / len(found)
+    monkeypatch.setattr(mixing, "MAX_PIECES", 3)
+    assert Counter(r["doc_id"] for r in mixing.mixed(corpus, **options).collect()) == whole
