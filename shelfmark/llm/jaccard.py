@@ -163,10 +163,11 @@ def _near_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, number: in
     """Pairs of components with a few pairs of their classes that share smallest hashes.
 
     Every list has a few centres, others and more of them in each round; the components in it are
-    compared to those. Two components that share much get more pairs, round by round.
+    compared to those. Centres are ranked by class alone, so that the lists of one group share theirs
+    and a class meets the same few in all of them. Two components that share much get more pairs, round by round.
     """
     known = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    place = Window.partitionBy("m").orderBy(F.xxhash64(F.lit(number), "m", "class"), "class")
+    place = Window.partitionBy("m").orderBy(F.xxhash64(F.lit(number), "class"), "class")
     centres = known.withColumn("place", F.row_number().over(place)).where(F.col("place") <= TRIES[number])
     c = centres.select("m", *(F.col(x).alias(f"c_{x}") for x in ("class", "root", "n", "smallest")))
     shared = F.size(F.array_intersect("smallest", "c_smallest"))
