@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WordHashes, mixed_bits
+from shelfmark.llm.common import WordHashes, mixed_bits, release_memory
 from shelfmark.sources.tables import materialize
 
 BASE = 1.5  # of the logarithm that quantises counts
@@ -45,9 +45,9 @@ BITS = 10  # of the filter per key
 PROBES = 4
 MAX_BYTES = 256 << 20  # of a filter that workers receive whole
 HOT = 1 << 20
-TOGETHER = 1 << 19  # tokens that are scored at once
+TOGETHER = 1 << 17  # tokens that are scored at once
 CHUNK = 4 << 20  # bytes of text whose n-grams are sent to the segments together
-BUFFER = 1 << 20  # tokens that a task gathers before it sends them on
+BUFFER = 1 << 19  # tokens that a task gathers before it sends them on
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word is a line feed
 
@@ -193,6 +193,10 @@ def _count(train: DataFrame, segments: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield sent()
+        # The worker lives on; what it holds would stand beside the filter of the next stages.
+        known.clear()
+        held.clear()
+        release_memory()
 
     texts = train.select(F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(counted, "segment int, pair boolean, keys binary, counts binary")
@@ -208,6 +212,8 @@ def _build(counts: DataFrame) -> DataFrame:
     """One row per segment: its part of the filter, its exact word counts, its totals."""
 
     def built(key, table):
+        release_memory()
+
         def gather(pair: bool):
             rows = [i for i, p in enumerate(table.column("pair").to_pylist()) if p == pair]
             keys = [np.frombuffer(table.column("keys")[i].as_py(), np.uint64) for i in rows]
@@ -354,6 +360,7 @@ def _score_whole(texts: DataFrame, shared: Broadcast[Model]) -> DataFrame:
     """`_SCORED` for (doc_id, text) where the workers have the whole filter."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         known = WordHashes()
         for batch in batches:
             first, tokens, size = 0, [], 0
