@@ -51,12 +51,8 @@ def clean_detail(
     latest = latest_per_key(df, ["product_id"], ties=ties)
     if spec_keys is None:
         # The latest rows are read twice, for their keys and for their values.
-        latest = materialize(latest, "latest_detail")
-        known = [SPEC_PREFIX + key for key in KNOWN_SPECS]
-        found = discover_spec_keys(latest, "specifications")
-        spec_keys = known + [key for key in found if key not in known]
-        more = MORE_SPECS if len(found) >= MAX_SPEC_KEYS else None
-        return pivot_specs(latest.withColumns(changed), "specifications", spec_keys, more)
+        latest = materialize(latest, "latest_detail").withColumns(changed)
+        return pivot_all_specs(latest, "specifications", KNOWN_SPECS)
     return pivot_specs(latest.withColumns(changed), "specifications", spec_keys)
 
 
@@ -113,6 +109,22 @@ def pivot_specs(
     return listed.withColumns(last).drop(items, keys, values, col)
 
 
+def pivot_all_specs(
+    df: DataFrame, col: str, known: Sequence[str] = (), limit: int = MAX_SPEC_KEYS
+) -> DataFrame:
+    """`pivot_specs` by the `known` keys and the keys that occur; no value is lost.
+
+    Where more than `limit` keys occur, the most frequent become columns and the values of all others
+    go into the map `MORE_SPECS`. Reads `df` twice, for its keys and for its values.
+    """
+    first = [SPEC_PREFIX + key for key in known]
+    found = discover_spec_keys(df, col, limit + 1)
+    more = MORE_SPECS if len(found) > limit else None
+    if more is not None:
+        found = discover_spec_keys(df, col, limit)
+    return pivot_specs(df, col, first + [key for key in found if key not in first], more)
+
+
 def discover_spec_keys(df: DataFrame, col: str, limit: int = MAX_SPEC_KEYS) -> list[str]:
     """The `limit` most frequent keys, sorted: for tables whose columns follow the data.
 

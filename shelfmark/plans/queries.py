@@ -183,7 +183,7 @@ def silver_write(spark, sf_dir):
     database, location = _scratch_database(spark)
     silver = {
         "silver_listing": clean.clean_listing(_listing_raw(spark, sf_dir), fx.LISTING_TIES),
-        "silver_detail": clean.clean_detail(_detail_raw(spark, sf_dir), ties=fx.DETAIL_TIES),
+        "silver_detail": clean.clean_detail(_detail_raw(spark, sf_dir), None, fx.DETAIL_TIES),
         "silver_reviews": clean.clean_reviews(_reviews_raw(spark, sf_dir), fx.REVIEW_TIES),
     }
     named = {f"{database}.{name}": df for name, df in silver.items()}
@@ -409,10 +409,9 @@ def pivot_specs(spark, sf_dir):
 
 @query
 def pivot_specs_discovered(spark, sf_dir):
-    """Columns follow the keys that occur."""
+    """Columns follow the keys that occur; keys beyond the widest table go into a map."""
     details = _detail_raw(spark, sf_dir).select("sku", "extracted_at", "specifications")
-    found = clean.discover_spec_keys(details, "specifications")
-    return clean.pivot_specs(details, "specifications", found)
+    return clean.pivot_all_specs(details, "specifications")
 
 
 @query

@@ -167,3 +167,13 @@ def test_row_rules_of_a_table_share_one_scan(spark, tmp_path, good):
     suite = Q.Suite("books", rows_only.columns, rows=rows_only.rows)
     plan = Q.dq_report({"books": books}, [suite])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_unique_rules_share_one_shuffle(spark, good):
+    """All unique rules of all tables are one aggregation by (rule, value)."""
+    report = Q.dq_report({"stg_listing": good, "stg_detail": good, "books": good.union(good)})
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("hashpartitioning(at") == 1
+    found = {(r["table"], r["rule"]): r["violations"] for r in report.collect()}
+    assert found["books", "unique(product_id)"] == 3
+    assert found["stg_listing", "unique(product_id)"] == found["stg_detail", "unique(product_id)"] == 0

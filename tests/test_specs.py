@@ -163,3 +163,23 @@ def test_discovery_in_clean_detail(spark):
         6.0,
         9.0,
     )
+
+
+def test_no_key_is_lost(spark):
+    """2,500 keys: 2,000 columns and a map, and every value is found again."""
+    import json
+
+    n = 2500
+    rows = [
+        (i, json.dumps([{"name": "g", "attributes": [{"code": f"k{j}", "name": f"k{j}", "value": f"v{i}-{j}"} for j in range(i, n, 5)]}]))
+        for i in range(5)
+    ]
+    df = spark.createDataFrame(rows, "id int, specs string")
+    found = clean.pivot_all_specs(df, "specs")
+    assert len(found.columns) == 1 + clean.MAX_SPEC_KEYS + 1
+    values = {}
+    for row in found.collect():
+        cells = row.asDict()
+        cells |= cells.pop(clean.MORE_SPECS) or {}
+        values |= {k: v for k, v in cells.items() if k != "id" and v is not None}
+    assert len(values) == n and {int(v.split("-")[1]) for v in values.values()} == set(range(n))
