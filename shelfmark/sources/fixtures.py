@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if file_bytes(df) < cores * ROW_GROUP_BYTES else df
+    return df.hint("rebalance") if file_bytes(df) < cores * ROW_GROUP_BYTES else df
 
 
 def _columns(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
