@@ -13,8 +13,9 @@ its own, and what a block answers is at most k rows a query. Blocks and chunks h
 and copies are dealt by row, so no group of them meets in one place.
 
 Defined results: null, zero and non-finite vectors take no part; only vectors of one length are
-compared; a query is not its own neighbour, but another row with its id is one; equal scores are in
-the order of ids; fewer than k candidates give all of them; an empty table gives no rows.
+compared; a query is not its own neighbour, but another row with its id is one; a candidate without an
+id comes out with a null id; equal scores are in the order of ids, null last; fewer than k candidates
+give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,22 +65,24 @@ def leaves_of(points: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
 class Block:
     """Candidates in leaf order, with the boxes of the leaves."""
 
-    def __init__(self, row: np.ndarray, ids: np.ndarray, v: np.ndarray, longest: float):
+    def __init__(self, row: np.ndarray, ids: pa.ChunkedArray, v: np.ndarray, longest: float):
         d = v.shape[1]
         self.stable = np.random.default_rng(SEED).standard_normal((d + 1, PROJECTIONS))
         self.longest = longest
         rest = np.sqrt(np.maximum(longest**2 - (v * v).sum(axis=1), 0))
         points = v @ self.stable[:-1] + rest[:, None] * self.stable[-1]
         leaves = leaves_of(points)
-        order = np.concatenate(leaves)
-        self.row, self.ids, self.v = row[order], ids[order], v[order]
+        self.order = order = np.concatenate(leaves)
+        self.row, self.v = row[order], v[order]
+        self.ids = ids.fill_null(0).to_numpy()[order]
+        self.no_id = ids.is_null().to_numpy()[order]
         self.ends = np.cumsum([len(x) for x in leaves])
         self.starts = self.ends - [len(x) for x in leaves]
         self.low = np.array([points[x].min(axis=0) for x in leaves])
         self.high = np.array([points[x].max(axis=0) for x in leaves])
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best found."""
+        """Places among the candidates as given, and scores, of the k best found."""
         length = np.sqrt(query @ query)
         point = (query * (self.longest / length)) @ self.stable[:-1]
         out = np.maximum(np.maximum(self.low - point, point - self.high), 0)
@@ -107,11 +110,14 @@ class Block:
                 keep = scores >= kth - 1e-9 * max(1.0, abs(kth))
                 best, scores = best[keep], scores[keep]
         exact = (self.v[best] * query).sum(axis=1)  # one order of summation for all rows
-        first = np.lexsort((self.ids[best], -exact))[:k]
-        return self.ids[best[first]], exact[first]
+        first = np.lexsort((self.ids[best], self.no_id[best], -exact))[:k]
+        return self.order[best[first]], exact[first]
 
 
 _FOUND = "query_row long, query_id long, vec_id long, score double"
+_NOTHING = pa.schema(
+    {"query_row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+).empty_table()
 
 
 def nearest(
@@ -142,30 +148,30 @@ def nearest(
     )
 
     def searched(left, right):
-        found = [[], [], [], []]
-        if left.num_rows and right.num_rows:
-            block = Block(
-                right.column("row").to_numpy(), right.column("id").fill_null(-1).to_numpy(),
-                matrix(right.column("v")), longest,
-            )
-            own, ids = left.column("row").to_numpy(), left.column("id").to_numpy()
-            for row, query_id, query in zip(own, ids, matrix(left.column("v")), strict=True):
-                near, scores = block.search(row, query, k)
-                for column, values in zip(
-                    found,
-                    (np.full(len(near), row), np.full(len(near), query_id), near, scores),
-                    strict=True,
-                ):
-                    column.append(values)
-        kinds = (np.int64, np.int64, np.int64, np.float64)
-        columns = [np.concatenate([np.zeros(0, t), *c]) for c, t in zip(found, kinds, strict=True)]
-        return pa.table(
-            {c: pa.array(x) for c, x in zip(("query_row", "query_id", "vec_id", "score"), columns, strict=True)}
+        if not (left.num_rows and right.num_rows):
+            return _NOTHING
+        block = Block(
+            right.column("row").to_numpy(), right.column("id"), matrix(right.column("v")), longest
         )
+        own = left.column("row").to_numpy()
+        at, near, scores = [], [], []
+        for i, query in enumerate(matrix(left.column("v"))):
+            places, exact = block.search(own[i], query, k)
+            at.append(np.full(len(places), i))
+            near.append(places)
+            scores.append(exact)
+        at, near = pa.array(np.concatenate(at)), pa.array(np.concatenate(near))
+        found = {
+            "query_row": left.column("row").take(at),
+            "query_id": left.column("id").take(at),
+            "vec_id": right.column("id").take(near),
+            "score": pa.array(np.concatenate(scores)),
+        }
+        return pa.table(found, schema=_NOTHING.schema)
 
     keys = ["chunk", "block", "dim"]
     found = queries.groupBy(keys).cogroup(candidates.groupBy(keys)).applyInArrow(searched, _FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return (
         found.withColumn("rank", rank)
         .where(F.col("rank") <= k)

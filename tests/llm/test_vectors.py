@@ -45,16 +45,30 @@ def test_neighbours(table, monkeypatch):
         if sum(1 for _, x, _ in queries if x == i) > 1:
             continue  # two rows of one id answer under it
         others = [(float(np.sum(np.array(v) * np.array(w))), j) for m, (j, w) in enumerate(data) if m != k and valid(w) and len(w) == len(v)]
-        best = sorted(others, key=lambda x: (-x[0], -1 if x[1] is None else x[1]))[:20]
-        rows = sorted(found.get(i, []))
+        best = sorted(others, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:20]
+        rows = sorted(found.get(i, []), key=lambda r: r[0])
         assert [r for r, _, _ in rows] == list(range(1, len(best) + 1))
         scores = Counter(others)
-        assert all((s, -1 if j == -1 else j) in scores or j == -1 for _, j, s in rows)
-        hits += len(Counter(-1 if j is None else j for _, j in best) & Counter(j for _, j, _ in rows))
+        assert all((s, j) in scores for _, j, s in rows)
+        hits += len(Counter(j for _, j in best) & Counter(j for _, j, _ in rows))
         total += len(best)
     assert hits >= 0.97 * total and total > 300
 
 
+def test_neighbours_without_an_id(spark, monkeypatch):
+    """A row without an id is a candidate like any other, beside one whose id is -1."""
+    monkeypatch.setattr(neighbours, "LEAF", 2)
+    rows = [(0, [1.0, 0.0]), (None, [2.0, 0.0]), (-1, [2.0, 0.0]), (7, [2.0, 0.0]), (None, [3.0, 0.0]), (None, [1.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [
+        (0, None, 3.0),
+        (0, -1, 2.0),
+        (0, 7, 2.0),
+        (0, None, 2.0),
+    ]
+
+
 def test_neighbours_recall(spark):
     df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     data = df.orderBy("vec_id").collect()
