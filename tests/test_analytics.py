@@ -97,10 +97,23 @@ def test_underpriced(books):
     assert [r["product_id"] for r in A.underpriced_books(books).collect()] == [7]
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_medians_against_brute_force(spark, monkeypatch, limit):
+FORCED = {
+    "usual": {},
+    "shuffled": {"MAX_BROADCAST_GROUPS": 0},
+    # Brackets that lie beside the middle, and above or below it only.
+    "missed": {"MARGIN": -0.2, "SMALL_MARGIN": -0.2},
+    "beside": {"SMALL_GROUP": 0, "MARGIN": -0.3, "SMALL_MARGIN": 0.4},
+    # Every range is too long to be ranked; a poor sketch puts the cuts anywhere.
+    "narrowed": {"MAX_RANKED": 3, "CUTS": 20},
+    "poor": {"MAX_RANKED": 50, "CUTS": 4, "ACCURACY": 5, "MARGIN": -0.1, "SMALL_MARGIN": -0.1},
+}
+
+
+@pytest.mark.parametrize("forced", FORCED)
+def test_medians_against_brute_force(spark, monkeypatch, forced):
     """Small, large, constant, lopsided and heavily repeated groups; one holds most rows."""
-    monkeypatch.setattr(median, "MAX_BROADCAST_GROUPS", limit)
+    for name, value in FORCED[forced].items():
+        monkeypatch.setattr(median, name, value)
     rng = random.Random(3)
     groups = {
         "one": [4.0],
