@@ -109,21 +109,21 @@ def scd2_backfill(
     Pass `runs` when the run stamps are known (bronze has a folder per run) to save a pass.
     """
     states = latest_per_key(df, [key, run], order=run, ties=ties)
-    numbered = states.join(_run_calendar(df, run, runs), run)
+    known = states.join(_run_calendar(df, run, runs), run)
 
-    by_run = Window.partitionBy(key).orderBy("__nr")
+    by_run = Window.partitionBy(key).orderBy(run)
     here = F.struct(*(F.col(c) for c in check_cols))
-    previous_nr = F.lag("__nr").over(by_run)
-    same_as_before = (previous_nr == F.col("__nr") - 1) & here.eqNullSafe(F.lag(here).over(by_run))
-    marked = numbered.withColumn("__starts", ~F.coalesce(same_as_before, F.lit(False)))
+    in_run_before = F.lag("__next").over(by_run) == F.col(run)
+    same_as_before = in_run_before & here.eqNullSafe(F.lag(here).over(by_run))
+    marked = known.withColumn("__starts", ~F.coalesce(same_as_before, F.lit(False)))
     upto_here = by_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Grouping by (key, island) stays inside the partitioning by key: no further shuffle.
     intervals = (
         marked.withColumn("__island", F.count_if("__starts").over(upto_here))
         .groupBy(key, "__island")
         .agg(
-            F.min_by(F.struct(*df.columns), "__nr").alias("first"),
-            F.max_by("__next", "__nr").alias("end"),
+            F.min_by(F.struct(*df.columns), run).alias("first"),
+            F.max_by("__next", run).alias("end"),
         )
     )
     return intervals.select(
@@ -134,19 +134,19 @@ def scd2_backfill(
 
 
 def _run_calendar(df: DataFrame, run: str, runs: Sequence[str] | None) -> DataFrame:
-    """Per run its number and the run that follows.
+    """Every run and the run that follows; null after the last.
 
     All stamps are one sorted array, about 15 bytes a run, made by partial aggregation: nothing is
-    collected and no window runs over all runs. Spark broadcasts the calendar where its size allows.
+    collected and no window runs over all runs. The array is paired with itself one place on, and the
+    pairs are dealt out without it. Spark broadcasts the calendar where its size allows.
     """
     if runs is None:
         stamps = df.agg(F.array_sort(F.collect_set(run)).alias("r"))
     else:
         known = F.array(*map(F.lit, sorted(set(runs)))).cast("array<string>")
         stamps = df.sparkSession.range(1).select(known.alias("r"))
-    return stamps.select("r", F.posexplode("r").alias("__nr", run)).select(
-        run, "__nr", F.get("r", F.col("__nr") + 1).alias("__next")
-    )
+    pairs = F.arrays_zip("r", F.slice("r", 2, F.size("r")))
+    return stamps.select(F.inline(pairs).alias(run, "__next"))
 
 
 def price_history(history: DataFrame, now: Column) -> DataFrame:

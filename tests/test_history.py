@@ -168,3 +168,21 @@ def test_backfill_with_known_runs_sees_empty_runs(spark):
     assert shown(found) == [(1, "a", 1.0, 1, 2), (1, "a", 1.0, 3, None)]
     without = history.scd2_backfill(df, "product_id", CHECK)
     assert shown(without) == [(1, "a", 1.0, 1, None)]
+
+
+def test_backfill_over_very_many_runs(spark):
+    """100,000 runs: the calendar is dealt out as pairs, not with the array of all runs in every row."""
+    stamp = F.date_format(F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000), "yyyyMMdd_HHmmss")
+    runs = spark.range(100_000).select(
+        (F.col("id") % 7).alias("k"), F.lit(1.0).alias("price"), stamp.alias("extracted_at")
+    )
+    # One key in every run, its price changed once; the others in every seventh run.
+    always = spark.range(100_000).select(
+        F.lit(100).cast("long").alias("k"), F.when(F.col("id") < 40_000, 1.0).otherwise(2.0).alias("price"),
+        stamp.alias("extracted_at"),
+    )
+    found = history.scd2_backfill(runs.unionByName(always), "k", ["price"])
+    counts = {r["k"]: (r["n"], r["open"]) for r in found.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("valid_to").isNull()).alias("open")).collect()}
+    assert counts.pop(100) == (2, 1)
+    assert sum(n for n, _ in counts.values()) == 100_000 and sum(o for _, o in counts.values()) == 1
