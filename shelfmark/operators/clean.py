@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as S
 from shelfmark.functions.specs import KNOWN_SPECS, SPEC_PREFIX, spec_items
+from shelfmark.operators.losses import converted
 from shelfmark.operators.rows import drop_if_present, drop_null_keys, latest_per_key
 from shelfmark.sources.tables import materialize
 
@@ -24,46 +25,68 @@ def _typed(df: DataFrame, name: str) -> tuple[Column, object]:
     return F.col(name), df.schema[name].dataType
 
 
-def clean_listing(df: DataFrame, ties: Sequence[str] | None = None) -> DataFrame:
-    """Latest row per id; quantity as integer; list price 0 as null."""
-    changed = {"quantity_sold": S.extract_quantity(*_typed(df, "quantity_sold"))}
-    if "list_price" in df.columns:
-        changed["list_price"] = S.zero_to_null(*_typed(df, "list_price"))
+def listing_conversions(df: DataFrame) -> dict[str, Column]:
+    """What a listing's columns are read as, where a value may fail to be read."""
+    return {"quantity_sold": S.extract_quantity(*_typed(df, "quantity_sold"))}
+
+
+def detail_conversions(df: DataFrame) -> dict[str, Column]:
+    return {
+        "rating_average": S.to_number(*_typed(df, "rating_average")),
+        "review_count": S.to_int_nullable(S.to_number(*_typed(df, "review_count"))),
+        "price": S.to_number(*_typed(df, "price")),
+        "list_price": S.to_number(*_typed(df, "list_price")),
+    }
+
+
+def review_conversions(df: DataFrame) -> dict[str, Column]:
+    return {
+        "rating": S.to_int_nullable(S.to_number(*_typed(df, "rating"))),
+        "created_at": S.parse_created_at(*_typed(df, "created_at")),
+    }
+
+
+def clean_listing(
+    df: DataFrame, ties: Sequence[str] | None = None, lost: Observation | None = None
+) -> DataFrame:
+    """Latest row per id; quantity as integer; list price 0 as null.
+
+    Here and below, `lost` counts the values of kept rows that could not be read, by column.
+    """
     latest = drop_if_present(latest_per_key(df, ["id"], ties=ties), LISTING_DROPPED)
-    return latest.withColumns(changed)
+    read = converted(latest, listing_conversions(df), lost)
+    if "list_price" not in df.columns:
+        return read
+    return read.withColumn("list_price", S.zero_to_null(*_typed(df, "list_price")))
 
 
 def clean_detail(
     df: DataFrame,
     spec_keys: Sequence[str] | None = KNOWN_SPECS,
     ties: Sequence[str] | None = None,
+    lost: Observation | None = None,
 ) -> DataFrame:
     """Latest row per product; tolerant numbers; one `spec_` column per specification key.
 
     With `spec_keys=None` the columns are the known keys and every other key of the latest rows.
     """
-    changed = {
-        "rating_average": S.to_number(*_typed(df, "rating_average")),
-        "review_count": S.to_int_nullable(S.to_number(*_typed(df, "review_count"))),
-        "price": S.to_number(*_typed(df, "price")),
-        "list_price": S.zero_to_null(S.to_number(*_typed(df, "list_price"))),
-    }
     latest = latest_per_key(df, ["product_id"], ties=ties)
     if spec_keys is None:
         # The latest rows are read twice, for their keys and for their values.
-        latest = materialize(latest, "latest_detail").withColumns(changed)
-        return pivot_all_specs(latest, "specifications", KNOWN_SPECS)
-    return pivot_specs(latest.withColumns(changed), "specifications", spec_keys)
+        latest = materialize(latest, "latest_detail")
+        pivoted = pivot_all_specs(latest, "specifications", KNOWN_SPECS)
+    else:
+        pivoted = pivot_specs(latest, "specifications", spec_keys)
+    read = converted(pivoted, detail_conversions(df), lost)
+    return read.withColumn("list_price", S.zero_to_null(F.col("list_price")))
 
 
-def clean_reviews(df: DataFrame, ties: Sequence[str] | None = None) -> DataFrame:
+def clean_reviews(
+    df: DataFrame, ties: Sequence[str] | None = None, lost: Observation | None = None
+) -> DataFrame:
     """Rows with both ids, latest per review; rating as integer; creation time in UTC."""
-    changed = {
-        "rating": S.to_int_nullable(S.to_number(*_typed(df, "rating"))),
-        "created_at": S.parse_created_at(*_typed(df, "created_at")),
-    }
     keyed = drop_null_keys(df, ["product_id", "review_id"])
-    return latest_per_key(keyed, ["review_id"], ties=ties).withColumns(changed)
+    return converted(latest_per_key(keyed, ["review_id"], ties=ties), review_conversions(df), lost)
 
 
 def flatten_specs(df: DataFrame, id_col: str, col: str) -> DataFrame:

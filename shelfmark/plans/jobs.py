@@ -18,6 +18,7 @@ REVIEWS = "marts.fct_reviews"
 PRICES = "marts.fct_prices_history"
 SNAPSHOT = "snapshots.book_prices"
 AUDIT = "audit.rows"
+LOSSES = "audit.losses"
 
 # What the price snapshot watches.
 SNAPSHOT_KEY = "product_id"
@@ -67,15 +68,17 @@ def bronze_to_silver(spark: SparkSession, bronze_path: str, location: str) -> Da
 def silver_from_raw(raw: dict[str, DataFrame], location: str) -> DataFrame:
     """Replace the three silver tables from raw rows; returns the audit of rows, a table itself.
 
-    Raw rows are counted while they are read for the silver tables, not in a pass of their own.
+    Raw rows are counted while they are read for the silver tables, and values that could not be read
+    while these are written, not in a pass of their own. The latter are the table `audit.losses`.
     """
     spark = next(iter(raw.values())).sparkSession
     seen = {e: Observation(f"raw_{e}") for e in ENTITIES}
     counted = {e: raw[e].observe(seen[e], F.count(F.lit(1)).alias("rows")) for e in ENTITIES}
+    lost = {e: Observation(f"lost_{e}") for e in ENTITIES}
     cleaned = {
-        "listing": clean.clean_listing(counted["listing"]),
-        "detail": clean.clean_detail(counted["detail"], spec_keys=None),
-        "reviews": clean.clean_reviews(counted["reviews"]),
+        "listing": clean.clean_listing(counted["listing"], lost=lost["listing"]),
+        "detail": clean.clean_detail(counted["detail"], spec_keys=None, lost=lost["detail"]),
+        "reviews": clean.clean_reviews(counted["reviews"], lost=lost["reviews"]),
     }
     for entity, df in cleaned.items():
         tables.write_table(df, SILVER[entity], location)
@@ -83,6 +86,9 @@ def silver_from_raw(raw: dict[str, DataFrame], location: str) -> DataFrame:
     audit = [(e, seen[e].get["rows"], kept[e], seen[e].get["rows"] - kept[e]) for e in ENTITIES]
     schema = "entity string, rows_in bigint, rows_out bigint, dropped bigint"
     tables.write_table(spark.createDataFrame(audit, schema), AUDIT, location)
+    unread = [(e, column, rows) for e in ENTITIES for column, rows in lost[e].get.items()]
+    schema = "entity string, column string, rows_lost bigint"
+    tables.write_table(spark.createDataFrame(unread, schema), LOSSES, location)
     return spark.table(AUDIT)
 
 

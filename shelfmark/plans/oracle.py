@@ -376,6 +376,19 @@ FROM detail""",
     _DETAIL,
 )
 _add("clean_reviews", "SELECT * FROM stg_reviews", _REVIEWS)
+_add(
+    "conversion_losses",
+    """
+SELECT 'listing' AS entity, 'quantity_sold' AS "column",
+       count(*) FILTER (seller_product_id // 10 % 6 = 4) AS rows_lost FROM listing
+UNION ALL SELECT 'detail', 'price', count(*) FILTER (p_size % 13 = 0) FROM part WHERE p_size <= 40
+UNION ALL SELECT 'detail', 'list_price', 0
+UNION ALL SELECT 'detail', 'rating_average', count(*) FILTER (p_size = 3) FROM part WHERE p_size <= 40
+UNION ALL SELECT 'detail', 'review_count', count(*) FILTER (p_size % 4 = 0) FROM part WHERE p_size <= 40
+UNION ALL SELECT 'reviews', 'rating', count(*) FILTER (rating IS NULL) FROM stg_reviews
+UNION ALL SELECT 'reviews', 'created_at', count(*) FILTER (created_at IS NULL) FROM stg_reviews""",
+    _LISTING + "," + _REVIEWS,
+)
 _add(
     "drop_null_keys",
     """

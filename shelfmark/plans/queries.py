@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as S
 from shelfmark.operators import analytics as A
-from shelfmark.operators import clean, history, models, payload, quality, rows
+from shelfmark.operators import clean, history, losses, models, payload, quality, rows
 from shelfmark.plans import jobs
 from shelfmark.session import prepare, scratch_path
 from shelfmark.sources import bronze, tables
@@ -227,6 +227,25 @@ def row_audit(spark, sf_dir):
     )
 
 
+@query
+def conversion_losses(spark, sf_dir):
+    """Values of the kept rows that no conversion could read, per entity and column."""
+    listing, detail = _listing_raw(spark, sf_dir), _detail_raw(spark, sf_dir)
+    detail = rows.drop_null_keys(detail, ["product_id"])
+    reviews = rows.drop_null_keys(_reviews_raw(spark, sf_dir), ["product_id", "review_id"])
+    latest = rows.latest_per_key
+    listing = latest(listing, ["id"], ties=fx.LISTING_TIES)
+    detail = latest(detail, ["product_id"], ties=fx.DETAIL_TIES)
+    reviews = latest(reviews, ["review_id"], ties=fx.REVIEW_TIES)
+    found = [
+        ("listing", losses.conversion_losses(listing, clean.listing_conversions(listing))),
+        ("detail", losses.conversion_losses(detail, clean.detail_conversions(detail))),
+        ("reviews", losses.conversion_losses(reviews, clean.review_conversions(reviews))),
+    ]
+    parts = [df.select(F.lit(entity).alias("entity"), "column", "rows_lost") for entity, df in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- payloads --------------------------------------------------------------------------------
 
 
