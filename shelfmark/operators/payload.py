@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,11 +86,18 @@ def _unreadable(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text).isNull() | ~text.rlike(r"^\s*\{"), F.lit(True))
 
 
+def _page_counts(col: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("pages"), F.count_if(_unreadable(F.col(col))).alias("unreadable")]
+
+
 def page_audit(df: DataFrame, col: str = "payload") -> DataFrame:
     """How many responses there are, and how many of them cannot be read."""
-    return df.agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(_unreadable(F.col(col))).alias("unreadable")
-    )
+    return df.agg(*_page_counts(col))
+
+
+def observe_pages(df: DataFrame, seen: Observation, col: str = "payload") -> DataFrame:
+    """The responses as they are; `seen` receives the counts of `page_audit` while they are written on."""
+    return df.observe(seen, *_page_counts(col))
 
 
 def _items(pages: DataFrame, *keep: str) -> DataFrame:

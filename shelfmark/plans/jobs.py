@@ -19,6 +19,7 @@ PRICES = "marts.fct_prices_history"
 SNAPSHOT = "snapshots.book_prices"
 AUDIT = "audit.rows"
 LOSSES = "audit.losses"
+LANDED = "audit.landed"
 
 # What the price snapshot watches.
 SNAPSHOT_KEY = "product_id"
@@ -26,28 +27,41 @@ SNAPSHOT_CHECK = ["price", "discount_rate"]
 
 
 def land(
-    spark: SparkSession, landed: dict[str, DataFrame], bronze_path: str, run: str
+    spark: SparkSession,
+    landed: dict[str, DataFrame],
+    bronze_path: str,
+    run: str,
+    location: str | None = None,
 ) -> DataFrame:
     """Landed responses of one run to bronze; returns responses and unreadable ones by entity.
 
     `landed` maps entities to responses in a column `payload`; reviews also have the `product_id`
-    that was asked for. Entities may be left out.
+    that was asked for. Entities may be left out. Responses are counted while they are written. With
+    `location` the counts of all runs are kept in the table `audit.landed`; a repeated run replaces
+    the counts of the entities it lands.
     """
+    if not landed:
+        raise ValueError("nothing landed")
     prepare(spark)
     read = {
         "listing": payload.listing_from_payload,
         "detail": payload.detail_from_payload,
         "reviews": payload.reviews_from_payload,
     }
-    counts = None
+    counts = []
     for entity, responses in landed.items():
-        found = bronze.nested_to_json(read[entity](responses, run))
-        bronze.bronze_append(found, f"{bronze_path}/{entity}", run)
-        one = payload.page_audit(responses).select(F.lit(entity).alias("entity"), "pages", "unreadable")
-        counts = one if counts is None else counts.unionByName(one)
-    if counts is None:
-        raise ValueError("nothing landed")
-    return counts
+        seen = Observation(f"landed_{entity}")
+        found = read[entity](payload.observe_pages(responses, seen), run)
+        bronze.bronze_append(bronze.nested_to_json(found), f"{bronze_path}/{entity}", run)
+        counts.append((entity, seen.get["pages"], seen.get["unreadable"]))
+    counted = spark.createDataFrame(counts, "entity string, pages bigint, unreadable bigint")
+    if location is not None:
+        kept = counted.select("entity", F.lit(run).alias("run"), "pages", "unreadable")
+        if spark.catalog.tableExists(LANDED):
+            again = (F.col("run") == run) & F.col("entity").isin(list(landed))
+            kept = spark.table(LANDED).where(~again).unionByName(kept)
+        tables.write_table(kept.coalesce(1), LANDED, location)
+    return counted
 
 
 def work_list(spark: SparkSession, bronze_path: str) -> DataFrame | None:
