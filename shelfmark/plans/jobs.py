@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import run_timestamp
-from shelfmark.operators import clean, history, models, payload, quality, rows
+from shelfmark.operators import analytics, clean, history, models, payload, quality, rows, titles
 from shelfmark.session import prepare, scratch, size_shuffles
 from shelfmark.sources import bronze, snapshots, tables
 
@@ -15,6 +15,8 @@ ENTITIES = ["listing", "detail", "reviews"]
 SILVER = {entity: f"silver.{entity}" for entity in ENTITIES}
 BOOKS = "marts.fct_books"
 REVIEWS = "marts.fct_reviews"
+EXPLORER = "marts.explorer_books"
+POSTINGS = "marts.title_postings"
 PRICES = "marts.fct_prices_history"
 SNAPSHOT = "snapshots.book_prices"
 AUDIT = "audit.rows"
@@ -125,6 +127,17 @@ def silver_to_gold(spark: SparkSession, location: str) -> None:
     tables.write_table(books, BOOKS, location)
     reviews = models.fct_reviews(spark.table("stg_reviews"), spark.table(BOOKS))
     tables.write_table(reviews, REVIEWS, location)
+    tables.write_table(titles.laid_out(spark.table(BOOKS)), EXPLORER, location, options=titles.PAGES)
+    tables.write_table(titles.title_postings(spark.table(EXPLORER)), POSTINGS, location)
+
+
+def explore(spark: SparkSession, title: str | None = None, **filters) -> DataFrame:
+    """`explore_books` over the stored books: their layout and the index of titles decide what is read."""
+    laid = spark.table(EXPLORER)
+    if title is None:
+        return analytics.explore_books(laid.drop(titles.ROW, titles.LAYOUT), **filters)
+    found = titles.with_title(laid, spark.table(POSTINGS), title)
+    return analytics.explore_books(found, **filters)
 
 
 def snapshot_prices(spark: SparkSession, location: str, run: str) -> DataFrame:

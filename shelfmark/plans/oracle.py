@@ -629,6 +629,14 @@ WHERE spec_publisher_vn IN ('Brand#1', 'Brand#2', 'Brand#3 Press', 'Brand#4')
 ORDER BY price DESC, product_id""",
     _BOOKS,
 )
+_add(
+    "search_titles",
+    """
+SELECT product_id, name, price, rating_average, spec_publisher_vn FROM books
+WHERE contains(lower(name), 'book 11') AND price BETWEEN 1000 AND 90000
+ORDER BY price DESC, product_id""",
+    _BOOKS,
+)
 _add(
     "reviews_by_star",
     """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as S
 from shelfmark.operators import analytics as A
-from shelfmark.operators import clean, history, losses, models, payload, quality, rows
+from shelfmark.operators import clean, history, losses, models, payload, quality, rows, titles
 from shelfmark.plans import jobs
 from shelfmark.session import prepare, scratch_path
 from shelfmark.sources import bronze, tables
@@ -627,6 +627,17 @@ def explore_books(spark, sf_dir):
     return found.select("product_id", *shown)
 
 
+@query
+def search_titles(spark, sf_dir):
+    shown = ["name", "price", "rating_average", A.PUBLISHER]
+    books = _books_table(spark, sf_dir, *shown, "discount_pct")
+    laid = tables.materialize(titles.laid_out(books), "books-laid-out", titles.PAGES)
+    postings = tables.materialize(titles.title_postings(laid), "title-postings")
+    found = titles.with_title(laid, postings, "BOOK 11")
+    found = A.explore_books(found, price=(1000.0, 90000.0), sort="price", ascending=False)
+    return found.select("product_id", *shown)
+
+
 @query
 def reviews_by_star(spark, sf_dir):
     return A.reviews_by_star(_stg_reviews(spark, sf_dir))

@@ -57,12 +57,14 @@ def write_table(
     location: str,
     buckets: tuple[int, str] | None = None,
     keep: int = KEPT_VERSIONS,
+    options: Mapping[str, str] | None = None,
 ) -> None:
     """Replace the table `name`. Readers see the old rows until the new ones are complete.
 
     The rows may come from the table itself: the old version is not touched. `buckets` (number,
     column) stores the rows hash-partitioned in one file per bucket, so that joins on the column
-    need no shuffle. Use it for columns without hot values: a bucket is never split.
+    need no shuffle. Use it for columns without hot values: a bucket is never split. `options` go to
+    the Parquet writer.
     """
     spark = df.sparkSession
     create_database(spark, name, location)
@@ -73,7 +75,7 @@ def write_table(
         number, column = buckets
         by_bucket = df.repartition(number, column)
         writer = by_bucket.write.format("parquet").bucketBy(number, column).sortBy(column)
-    writer.saveAsTable(version)
+    writer.options(**(options or {})).saveAsTable(version)
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
     older = [old for old in versions(spark, name) if old.lower() != version.lower()]
     for old in older[: max(0, len(older) - (keep - 1))]:
@@ -99,10 +101,12 @@ def publish_views(views: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, options: Mapping[str, str] | None = None
+) -> DataFrame:
     """Write `df` once into the shared folder and read it back, for rows that feed many plans."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
