@@ -3,7 +3,10 @@
 A source's documents are dealt into blocks of about `block_words` words by a hash, anew for each
 pass over the source, so the block numbers are a random permutation of the source. The mix takes
 whole passes while the target holds them, then the first blocks of one more pass, and from the block
-at the boundary the documents that still fit. That gives each source an exact quota of block draws.
+at the boundary the documents that still fit. Documents larger than the room are no part of that pass.
+Room that stays because nothing else of the boundary block fits goes on to the blocks behind it, in
+rounds, until it is smaller than a mean document (or `ROUNDS` are over; only the target is then missed
+by more). That gives each source an exact quota of block draws.
 
 The quotas are split among equal output shards along a binary tree: a node's left half receives a
 multivariate hypergeometric draw of the node's quotas, which is what cutting one uniform permutation
@@ -37,6 +40,7 @@ MAX_REPEATS = 2
 BLOCK_WORDS = 1 << 16
 SHARD_WORDS = 1 << 24
 SPAN = 4096
+ROUNDS = 16
 PIECE_WORDS = 1 << 21  # of a file: a shard is several files, so that readers of the mix share its work
 MAX_PIECES = 200_000
 
@@ -45,8 +49,9 @@ MAX_PIECES = 200_000
 class Mix:
     """A finished plan.
 
-    `sources`: one row per source (source, sid, source_size, target, passes, n_blocks, edge_block,
-    edge_keys); `deal`: which shard has draw number `draw` of source `sid`; `shards` of about `words`.
+    `sources`: one row per source (source, sid, source_size, target, passes, n_blocks, rounds,
+    edge_keys), with the rounds of its last pass: documents of up to `room` words in the blocks between
+    `after` and `edge` are taken, and those of `edge_keys` in the block `edge`; `deal`: which shard has draw number `draw` of source `sid`; `shards` of about `words`.
     """
 
     sources: DataFrame
@@ -99,12 +104,44 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
 
 def _edges(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """Per source, the block in which the last pass ends and the documents it still takes."""
+    """Per source, the rounds of its last pass and the documents they take from boundary blocks."""
     last_pass = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
-        "sid", "size", "left", "passes", KEY,
-        _block(seed, F.col("passes"), F.col("n_blocks")).alias("block"),
+        "sid", "size", KEY, _block(seed, F.col("passes"), F.col("n_blocks")).alias("block"),
     )
-    blocks = materialize(last_pass.groupBy("sid", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    state = sources.where("left > 0").select(
+        "sid", "n_blocks", F.lit(-1).cast("long").alias("after"), F.col("left").alias("room")
+    )
+    rounds = []
+    for _ in range(ROUNDS):
+        done = materialize(_round(last_pass, state, seed), "mix-round")
+        rounds.append(done)
+        # What is left goes on behind the boundary while a mean document of this round would fit.
+        state = done.where("edge < n_blocks AND rest >= mean").select(
+            "sid", "n_blocks", F.col("edge").alias("after"), F.col("rest").alias("room")
+        )
+        if state.isEmpty():
+            break
+    everything = rounds[0]
+    for done in rounds[1:]:
+        everything = everything.unionByName(done)
+    return everything.groupBy("sid").agg(
+        F.sort_array(F.collect_list(F.struct("after", "edge", "room"))).alias("rounds"),
+        F.flatten(F.collect_list("taken")).alias("edge_keys"),
+    )
+
+
+def _round(last_pass: DataFrame, state: DataFrame, seed: int) -> DataFrame:
+    """(sid, n_blocks, after, room, mean, edge, rest, taken): one round for each source of `state`.
+
+    `edge` is the block behind `after` that the room does not hold any more (n_blocks: it holds all),
+    `taken` what still fits of it, `rest` the room that stays. Only documents of up to `room` words
+    count; those without words always fit and are not listed.
+    """
+    fitting = last_pass.join(state, "sid").where("block > after AND size > 0 AND size <= room")
+    blocks = fitting.groupBy("sid", "block").agg(
+        F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")
+    )
+    blocks = materialize(blocks, "mix-blocks")
     span = F.floor(F.col("block") / SPAN)
     spans = blocks.groupBy("sid", span.alias("span")).agg(F.sum("words").alias("words"))
     ahead = Window.partitionBy("sid").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,32 +151,43 @@ def _edges(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
         blocks.withColumn("span", span)
         .join(spans, ["sid", "span"])
         .withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("words").over(within), F.lit(0)))
-        .join(sources.select("sid", "left"), "sid")
-        .where("left > 0 AND ahead <= left AND left < ahead + words")
-        .select("sid", F.col("block").alias("edge_block"), (F.col("left") - F.col("ahead")).alias("room"))
+        .join(state.select("sid", "room"), "sid")
+        .where("ahead <= room AND room < ahead + words")
+        .select("sid", F.col("block").alias("edge"), (F.col("room") - F.col("ahead")).alias("free"))
     )
     edge = materialize(edge, "mix-edges")
-    # One block per source: bounded by its words, whatever the source's size. Documents without words
-    # always fit and are not listed.
-    at_edge = last_pass.join(edge, "sid").where("block = edge_block AND size > 0")
+    # One block per source: bounded by its words, whatever the source's size.
     units = (
-        at_edge.groupBy("sid", "edge_block", "room", KEY)
+        fitting.join(edge, "sid").where("block = edge")
+        .groupBy("sid", "edge", "free", KEY)
         .agg(F.sum("size").alias("size"))
-        .groupBy("sid", "edge_block", "room")
+        .groupBy("sid", "edge", "free")
         .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), KEY).alias("h"), KEY, "size"))).alias("units"))
     )
+    none = F.array().cast("array<bigint>")
     fit = F.aggregate(
         "units",
-        F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("taken")),
+        F.struct(F.col("free").alias("rest"), none.alias("taken")),
         lambda state, unit: F.when(
-            unit["size"] <= state["room"],
+            unit["size"] <= state["rest"],
             F.struct(
-                (state["room"] - unit["size"]).alias("room"),
+                (state["rest"] - unit["size"]).alias("rest"),
                 F.array_append(state["taken"], unit[KEY]).alias("taken"),
             ),
         ).otherwise(state),
     )
-    return units.select("sid", "edge_block", fit["taken"].alias("edge_keys"))
+    taken = units.select("sid", "edge", fit.alias("fit"))
+    means = blocks.groupBy("sid").agg((F.sum("words") / F.sum("docs")).alias("mean"))
+    return (
+        state.join(means, "sid", "left")
+        .join(taken, "sid", "left")
+        .select(
+            "sid", "n_blocks", "after", "room", "mean",
+            F.coalesce("edge", "n_blocks").alias("edge"),
+            F.col("fit.rest").alias("rest"),
+            F.coalesce("fit.taken", none).alias("taken"),
+        )
+    )
 
 
 # ln(x!) by Stirling's series five places further on; good to ten digits from x = 0.
@@ -165,9 +213,10 @@ def _hypergeometric(c: str, rest: str, need: str, uniform: str) -> str:
         for x in ("v", f"{c} - v", f"{need} - v", f"{rest} - {c} - {need} + v")
     )
     masses = f"transform(sequence({low}, {high}), v -> struct(v AS v, {log_mass} AS m))"
+    # Arrays of one element bind what is used again, so nothing is computed once per value.
     scaled = (
-        f"transform(array({masses}), p -> transform(p, q ->"
-        " struct(q.v AS v, exp(q.m - array_max(transform(p, z -> z.m))) AS m)))[0]"
+        f"transform(array({masses}), p -> transform(array(array_max(transform(p, z -> z.m))), top ->"
+        " transform(p, q -> struct(q.v AS v, exp(q.m - top) AS m)))[0])[0]"
     )
     return (
         f"transform(array({scaled}), p -> aggregate(p, struct({uniform} * aggregate(p, 0D, (s, q) -> s + q.m) AS left,"
@@ -236,7 +285,9 @@ def plan_mix(
     ).withColumn("left", F.col("target") - F.col("passes") * F.col("source_size"))
     base = materialize(base, "mix-targets")
     edges = _edges(sized, base, seed)
-    quota = F.col("passes") * F.col("n_blocks") + F.coalesce(F.col("edge_block") + 1, F.lit(0))
+    quota = F.col("passes") * F.col("n_blocks") + F.coalesce(
+        F.least(F.array_max("rounds.edge") + 1, "n_blocks"), F.lit(0)
+    )
     sources = base.join(edges, "sid", "left").withColumn(
         "quota", F.when(F.col("source_size") > 0, quota).otherwise(0).cast("long")
     )
@@ -254,16 +305,18 @@ def plan_mix(
 
 
 def drawn(docs: DataFrame, mix: Mix) -> DataFrame:
-    """`docs` (with `source`, `empty` and KEY) with their source's numbers and `draws`: one per copy."""
+    """`docs` (with `source`, `size` and KEY) with their source's numbers and `draws`: one per copy."""
     s = mix.sources.select(
-        F.col("source").alias("__source"), "sid", "source_size", "target", "passes", "n_blocks", "edge_block", "edge_keys",
+        F.col("source").alias("__source"), "sid", "source_size", "target", "passes", "n_blocks", "rounds", "edge_keys",
     )
     joined = docs.join(s, docs["source"].eqNullSafe(s["__source"]))
-    block = _block(mix.seed, F.col("passes"), F.col("n_blocks"))
-    partly = (block < F.col("edge_block")) | (
-        (block == F.col("edge_block"))
-        & (F.col("empty") | F.array_contains(F.coalesce("edge_keys", F.array().cast("array<bigint>")), F.col(KEY)))
+    last = F.col("__last")
+    joined = joined.withColumn("__last", _block(mix.seed, F.col("passes"), F.col("n_blocks")))
+    whole = F.exists(
+        "rounds", lambda r: (last > r["after"]) & (last < r["edge"]) & (F.col("size") <= r["room"])
     )
+    at_edge = F.exists("rounds", lambda r: last == r["edge"])
+    partly = whole | (at_edge & ((F.col("size") == 0) | F.array_contains("edge_keys", F.col(KEY))))
     copies = F.when(F.col("source_size") > 0, F.col("passes") + F.coalesce(partly, F.lit(False)).cast("long")).otherwise(0)
     none = F.array().cast("array<bigint>")
     epochs = F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1)).otherwise(none)
@@ -281,7 +334,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     )
     sized = materialize(measured, "mix-sized")
     mix = plan_mix(sized, **options)
-    copies = drawn(sized.withColumn("empty", F.col("size") == 0), mix).select(
+    copies = drawn(sized, mix).select(
         "row", "doc_id", "size", "source_size", "target", "sid", F.explode_outer("draws").alias("draw")
     )
     placed = copies.join(mix.deal, ["sid", "draw"], "left")
@@ -304,8 +357,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     mix = plan_mix(sized, **options)
     names = [f"c{i}" for i in range(len(docs.columns))]
     whole = F.struct(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    empty = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    packed = keyed.select("source", KEY, empty.alias("empty"), whole.alias("__doc"))
+    packed = keyed.select("source", KEY, word_count(F.col("text")).alias("size"), whole.alias("__doc"))
     copies = drawn(packed, mix).select("__doc", KEY, "sid", F.explode("draws").alias("draw"))
     placed = copies.join(mix.deal, ["sid", "draw"])
     # A shard's order is a hash, and its pieces are equal ranges of that hash.

@@ -143,3 +143,42 @@ def test_pieces_of_shards_are_even(corpus, monkeypatch):
     assert len(found) >= 12 and max(found) <= 4000 + 2 * sum(found) / len(found)
     monkeypatch.setattr(mixing, "MAX_PIECES", 3)
     assert Counter(r["doc_id"] for r in mixing.mixed(corpus, **options).collect()) == whole
+
+
+def taken_words(df, **options):
+    rows = mixing.mix_report(df, **options).collect()
+    assert all(r["taken"] <= 2 * r["size"] for r in rows)
+    return sum(r["taken"] for r in rows), rows
+
+
+def test_one_document_larger_than_the_room(spark):
+    """100 texts of 10 words beside one of 100,000: all that fits is taken twice."""
+    rows = [(i, "w " * 10, "a") for i in range(100)] + [(100, "w " * 100_000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, found = taken_words(df)
+    assert found[0]["target"] == pytest.approx(1.5 * 101_000) and taken == 101_000 + 1000
+
+
+@pytest.mark.parametrize("block_words", [50, 400, 5000])
+def test_room_goes_on_behind_the_boundary(spark, block_words):
+    """Large documents of many sizes in every block; what is left is less than a mean document."""
+    rows = [(i, "w " * (7 + i % 5 if i % 4 else 200 + i * 37 % 900), "ab"[i % 5 == 0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block_words": block_words, "shard_words": 20_000}
+    _, found = taken_words(df, **options)
+    source = {i: s for i, _, s in rows}
+    for name in "ab":
+        own = [r for r in found if source[r["doc_id"]] == name]
+        missing = own[0]["target"] - sum(r["taken"] for r in own)
+        untaken = [r["size"] for r in own if r["taken"] < 2 * r["size"]]
+        assert 0 <= missing < max(20, sum(untaken) / max(1, len(untaken)))
+    copies = Counter(r["doc_id"] for r in mixing.mixed(df, **options).collect())
+    assert copies == Counter({r["doc_id"]: len(r["shards"]) for r in found if r["shards"]})
+
+
+def test_many_draws_take_no_quadratic_time(spark):
+    """One draw among a hundred million: about 90,000 values are weighed, each once."""
+    uniform = "(shiftrightunsigned(xxhash64(id), 11) / 9007199254740992D)"
+    draws = spark.range(20).selectExpr("id", "30000000L AS c", "100000000L AS rest", "50000000L AS need")
+    found = draws.selectExpr(mixing._hypergeometric("c", "rest", "need", uniform) + " AS h").collect()
+    assert all(abs(r["h"] - 15_000_000) < 9 * 2300 for r in found) and len({r["h"] for r in found}) > 10
