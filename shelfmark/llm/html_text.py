@@ -7,10 +7,12 @@ when the table ends. Nothing is thrown away for being navigation or advertising:
 comes out, in order. Neither step recurses, so nesting may be of any depth.
 
 Not visible: head, scripts, styles, templates, comments, elements with `hidden` or with a style of
-`display: none` or `visibility: hidden`, hidden inputs; in formulas and drawings (math, svg) annotations,
+`display: none` or `visibility: hidden` (of the latter, parts that are `visible` again come out), dialogs
+that are not open, what closed `details` hold besides their summary, hidden inputs; in formulas and drawings (math, svg) annotations,
 titles, descriptions, metadata and what is only defined there. Also left out: what stands in for embedded
 content (iframe, object, noembed, noframes, noscript), suggestions (datalist), pictures' alternative
 texts, default labels of buttons, placeholders, and the values of inputs that show none as text.
+Rules of style sheets are not applied. The text of a cell over several rows stands in the first of them.
 
 Defined results: a null page gives null; an empty page, or one without visible text, an empty text;
 a tag that the page ends in is dropped. Rows are independent; extra columns stay, except `text`,
@@ -21,7 +23,10 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,7 +86,8 @@ _MARK = re.compile(
 )
 _START = re.compile(r"</?[A-Za-z]")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -278,33 +284,79 @@ class Canvas:
         return lines
 
 
-def align(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Rows of (columns spanned, lines) as text; columns are as wide as their widest cell."""
+def _width(line: str) -> int:
+    """Columns that a line takes: two for a wide sign, none for one that combines."""
+    if line.isascii():
+        return len(line)
+    wide = sum(unicodedata.east_asian_width(c) in "WF" for c in line)
+    return len(line) + wide - sum(unicodedata.combining(c) > 0 for c in line)
+
+
+class Cell:
+    """A finished cell: the columns and rows it spans, and its lines."""
+
+    def __init__(self, columns: int, rows: int, lines: list[str]) -> None:
+        self.columns, self.rows, self.lines = columns, rows, lines
+
+
+def places(rows: list[tuple[int, list[Cell]]]) -> list[list[tuple[int, Cell]]]:
+    """The first column of every cell: the first that no cell from above reaches into.
+
+    Rows come with the number of their row group, which no cell reaches out of; 0 rows are all of it.
+    """
+    out, group = [], None
+    free: dict[int, tuple[int, int]] = {}  # column: the row it is free in, the end of its cell
+    for i, (own, cells) in enumerate(rows):
+        if own != group:
+            free, group = {}, own
+        at, placed = 0, []
+        for cell in cells:
+            while free.get(at, (0, 0))[0] > i:
+                at = free[at][1]
+            placed.append((at, cell))
+            end = at + cell.columns
+            if cell.rows != 1:
+                until = i + (cell.rows or len(rows))
+                free.update((c, (until, end)) for c in range(at, end))
+            at = end
+        out.append(placed)
+    return out
+
+
+def align(rows: list[tuple[int, list[Cell]]]) -> list[str]:
+    """Rows of cells as text; columns are as wide as their widest cell."""
+    placed = places(rows)
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for span, lines in row:
-            if span == 1 and lines:
-                widths[at] = max(widths.get(at, 0), *map(len, lines))
-            at += span
+    for row in placed:
+        for at, cell in row:
+            if cell.columns == 1 and cell.lines:
+                widths[at] = max(widths.get(at, 0), *map(_width, cell.lines))
+    # Empty columns take no room.
+    filled = sorted(c for c, w in widths.items() if w)
+    starts = list(accumulate((widths[c] + 2 for c in filled), initial=0))
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for _, lines in row), default=0)):
-            line, at, width = "", 0, 0
-            for span, lines in row:
-                line = line.ljust(width) + (lines[i] if i < len(lines) else "")
-                spans = [widths.get(c, 0) for c in range(at, at + span)]
-                # Empty columns take no room.
-                width += sum(w + 2 for w in spans if w)
-                at += span
+    for row in placed:
+        for i in range(max((len(cell.lines) for _, cell in row), default=0)):
+            line = ""
+            for at, cell in row:
+                if i < len(cell.lines):
+                    line += " " * (starts[bisect_left(filled, at)] - _width(line)) + cell.lines[i]
             out.append(line.rstrip())
     return [x for x in out if x]
 
 
 class _Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[int, list[str]]]] = []
-        self.cells: list[tuple[Canvas, int]] = []  # cells that are open
+        self.group = 0  # number of the row group
+        self.rows: list[tuple[int, list[Cell]]] = []
+        self.cells: list[tuple[Canvas, int, int]] = []  # cells that are open
+
+
+class _Open:
+    """An element that is open. `body`: a closed `details`, whose first summary alone is shown."""
+
+    def __init__(self, painted: bool, body: bool) -> None:
+        self.painted, self.body, self.summed = painted, body, False
 
 
 def _number(text: str | None, default: int) -> int:
@@ -313,8 +365,17 @@ def _number(text: str | None, default: int) -> int:
 
 
 def _unpainted(found: dict[str, str]) -> bool:
-    """Whether attributes of a drawing's element, not its style, hide it."""
-    return found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse")
+    """Whether an attribute of a drawing's element, not its style, hides it."""
+    return found.get("display") == "none"
+
+
+def _painted(found: dict[str, str], drawn: bool, inherited: bool) -> bool:
+    """Whether an element's own text is painted, by its visibility or that of what it stands in."""
+    asked = found.get("visibility", "") if drawn else ""
+    for value in _VISIBILITY.findall(found.get("style", "")):
+        asked = value
+    asked = asked.lower()
+    return inherited if asked in ("", "inherit", "unset") else asked not in ("hidden", "collapse")
 
 
 def render(page: str) -> str:
@@ -323,6 +384,7 @@ def render(page: str) -> str:
     tables: list[_Table] = []
     lists: list[list] = []  # [ordered, next number]
     foreign = 0  # formulas and drawings that are open
+    path = [_Open(True, False)]  # elements that are open and not unseen
     unseen = 0  # elements open since a hidden one, itself included
     pre = 0
 
@@ -331,7 +393,10 @@ def render(page: str) -> str:
         if unseen:
             unseen += {"open": 1, "close": -1, "text": 0}[kind]
             continue
+        above = path[-1]
         if kind == "text":
+            if above.body or not above.painted:
+                continue
             text = html.unescape(name) if "&" in name else name
             if pre:
                 canvas.write_lines(text)
@@ -340,16 +405,26 @@ def render(page: str) -> str:
             continue
         found = attributes(rest) if rest and not rest.isspace() else {}
         if kind == "open":
+            drawn = foreign > 0 or name in FOREIGN
             hidden = (
                 name in HIDDEN
                 or "hidden" in found
                 or _UNSEEN.search(found.get("style", "")) is not None
                 or (name == "input" and found.get("type", "").strip().lower() == "hidden")
-                or (foreign and (name in UNPAINTED or _unpainted(found)))
+                or (foreign and name in UNPAINTED)
+                or (drawn and _unpainted(found))
+                or (name == "dialog" and "open" not in found)
+                or (above.body and (name != "summary" or above.summed))
             )
             if hidden:
                 unseen = 1
-            elif name == "input":
+                continue
+            above.summed = above.summed or name == "summary"
+            painted = _painted(found, drawn, above.painted)
+            path.append(_Open(painted, name == "details" and "open" not in found))
+            if not painted and name in ("input", "br"):
+                continue
+            if name == "input":
                 if found.get("type", "").strip().lower() not in WORDLESS_INPUTS and found.get("value"):
                     canvas.write(f" {found['value']} ")
             elif name in FOREIGN:
@@ -359,12 +434,16 @@ def render(page: str) -> str:
             elif name == "br":
                 canvas.end_line(always=True)
             elif name in CELLS and tables:
-                tables[-1].cells.append((Canvas(), max(1, min(1000, _number(found.get("colspan"), 1)))))
+                columns = max(1, min(1000, _number(found.get("colspan"), 1)))
+                rows = max(0, min(65534, _number(found.get("rowspan"), 1)))
+                tables[-1].cells.append((Canvas(), columns, rows))
                 if not tables[-1].rows:
-                    tables[-1].rows.append([])
+                    tables[-1].rows.append((tables[-1].group, []))
                 canvases.append(tables[-1].cells[-1][0])
             elif name == "tr" and tables:
-                tables[-1].rows.append([])
+                tables[-1].rows.append((tables[-1].group, []))
+            elif name in PARTS and tables:
+                tables[-1].group += 1
             elif name in SPACED:
                 nested = name in LISTS and lists
                 canvas.block(1 if nested else 2)
@@ -390,15 +469,16 @@ def render(page: str) -> str:
                     canvas.indents.append("    ")
             continue
         # A closing tag of something visible.
+        path.pop()
         if name in FOREIGN:
             foreign -= 1
         elif foreign and name == "text":
             canvas.block(1)
         elif name in CELLS and tables and tables[-1].cells:
-            cell, span = tables[-1].cells.pop()
+            cell, columns, rows = tables[-1].cells.pop()
             if canvases[-1] is cell:
                 canvases.pop()
-            tables[-1].rows[-1].append((span, cell.done()))
+            tables[-1].rows[-1][1].append(Cell(columns, rows, cell.done()))
         elif name == "table" and tables:
             canvas.block(1)
             for line in align(tables.pop().rows):

@@ -110,3 +110,33 @@ def test_odd_rows(spark):
 )
 def test_formulas_drawings_and_buttons(page, text):
     assert render(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<td>b1<td>c1<tr><td>b2<td>c2</table>", "A  b1  c1\n   b2  c2"),
+        ("<table><tr><td>a<td rowspan=2>B<tr><td>c<tr><td>d<td>e</table>", "a  B\nc\nd  e"),
+        ("<table><tr><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
+        ("<table><thead><tr><td rowspan=9>A<td>b<tbody><tr><td>c<td>d</table>", "A  b\nc  d"),
+        ("<table><tr><td rowspan=2 colspan=2>A<td>b<tr><td>c<tr><td>dd<td>e<td>f</table>", "A      b\n       c\ndd  e  f"),
+        ("<table><tr><td>日本<td>x<tr><td>abc<td>y</table>", "日本  x\nabc   y"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<details>no<summary>sum <b>up</b></summary>no<p>no</p><summary>no</summary></details>yes", "sum up\nyes"),
+        ("<details open>a<summary>s</summary>b</details>", "a\ns\nb"),
+        ("<details><p>no</details><details><summary>t<details>no<summary>u</details></summary>no</details>", "t\nu"),
+        ("<p style='visibility:hidden'>no<b style='visibility: VISIBLE'>yes</b>no<br>no</p>z", "yes\n\nz"),
+        ("<div style='visibility:hidden'><i style='visibility:inherit'>no</i><input value=no></div>z", "z"),
+        ("<div style='display:none'><b style='visibility:visible'>no</b></div>z", "z"),
+        ("<table><tr><td style='visibility:hidden'>a<td>b<tr><td>c<td>d</table>", "   b\nc  d"),
+        ("<svg visibility=hidden><text>no</text><text visibility=visible>yes</text></svg>", "yes"),
+    ],
+)
+def test_rows_dialogs_details_and_visibility(page, text):
+    assert render(page) == text
+
+
+def test_long_spans():
+    cells = "".join(f"<td rowspan=65534>{i}" for i in range(200))
+    page = f"<table><tr>{cells}" + "<tr><td>x" * 2000 + "</table>"
+    assert render(page).split().count("x") == 2000
