@@ -20,7 +20,7 @@ def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "jaccard", "mixing", "packing"]
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     registered = sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op"))
-    assert registered == list(range(1, 11))
+    assert registered == list(range(1, 14))
 
 
 def test_every_stage_by_brute_force(spark):
