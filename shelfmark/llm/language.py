@@ -9,10 +9,10 @@ Counting is pre-aggregated per Arrow batch and summed by Spark; a profile is bou
 rows per language, so what workers receive does not grow with the corpus.
 
 `keep_known` also asks whether the nearest profile is near enough. A text's score depends on how many
-n-grams it has, so beginnings of `HEADS` bytes of labelled texts are compared as well, and a language's
-floor for texts with 2^c to 2^(c+1) distinct n-grams is `MARGIN` of the score that all but `LOWEST` of
-these reach. Up to about twice `SAMPLE` labelled rows of each language, chosen by a hash, set the
-floors; every document is held to them.
+n-grams it has, so every labelled text is compared whole and by its beginnings of `HEADS` bytes, and a
+language's floor for texts with 2^c to 2^(c+1) distinct n-grams is `MARGIN` of the score that all but
+`LOWEST` of these reach. All labelled rows set the floors, and every document is held to them. Scores are
+counted in steps of 1 / `STEPS`, so a floor comes from no more rows than there are steps.
 
 Defined results: a null text, one without a letter, or any text while no language was learned is
 `und` with score 0; equal distances go to the language that is first in code-point order; n-grams
@@ -42,7 +42,7 @@ ROWS = 500  # texts that are compared at once
 HEADS = (16, 64, 256, 1024, 4096)
 LOWEST = 0.01
 MARGIN = 0.7
-SAMPLE = 4000
+STEPS = 10_000
 
 _CODE = 21  # bits of a code point
 
@@ -212,23 +212,24 @@ def score_floors(
 ) -> dict[str, np.ndarray]:
     """Language to the least score of its texts, by `_class`; see the module's text."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("__n") / SAMPLE))
-    hashed = labelled.select("lang", "text", F.xxhash64(*docs.columns).alias("__hash"))
-    some = hashed.join(F.broadcast(counts), "lang").where(F.pmod("__hash", step) == 0)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for i in range(0, len(texts), ROWS):
-                heads = [t[:n] for t in texts[i : i + ROWS] for n in HEADS if t]
-                names, scores, n_grams = _compared(heads, profiles, size)
-                columns = [pa.array(names, pa.string()), pa.array(_class(n_grams), pa.int32()), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "class", "score"])
-
-    heads = some.select(F.substring(F.col("text").cast("binary"), 1, max(HEADS)).alias("text"))
-    found = heads.mapInArrow(compared, "lang string, class int, score double").where(F.col("lang") != UNKNOWN)
-    rows = found.groupBy("lang", "class").agg(F.percentile("score", F.lit(LOWEST)).alias("low")).collect()
+                whole = [t.as_py() for t in texts[i : i + ROWS]]
+                parts = [t[:n] for t in whole for n in (*(n for n in HEADS if n < len(t)), len(t)) if t]
+                names, scores, n_grams = _compared(parts, profiles, size)
+                steps = np.rint(scores * STEPS).astype(np.int32)
+                columns = [pa.array(names, pa.string()), pa.array(_class(n_grams), pa.int32()), pa.array(steps)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "class", "step"])
+
+    parts = labelled.select(F.col("text").cast("binary").alias("text"))
+    found = parts.mapInArrow(compared, "lang string, class int, step int").where(F.col("lang") != UNKNOWN)
+    # Counted by tasks before anything is exchanged: a class has at most `STEPS` + 1 rows here.
+    counts = found.groupBy("lang", "class", "step").agg(F.count(F.lit(1)).alias("n"))
+    low = F.percentile("step", F.lit(LOWEST), F.col("n")) / STEPS
+    rows = counts.groupBy("lang", "class").agg(low.alias("low")).collect()
     floors = {}
     for lang in profiles:
         low = {r["class"]: MARGIN * r["low"] for r in rows if r["lang"] == lang}

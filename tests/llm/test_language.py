@@ -105,3 +105,22 @@ def test_texts_of_no_learned_language_go(spark):
     kept = {r["doc_id"] for r in language.keep_known(rows).collect()}
     assert {t for i, t, _ in texts if i in kept} == set(clean)
     assert kept >= {r["doc_id"] for r in docs.collect()}
+
+
+def test_every_labelled_text_counts_for_the_floors(spark):
+    """Of 16,000 labelled rows, 2 % are far off; one in four rows, by a hash, would hold none of these."""
+    clean, far = "the house and the garden of the old man", "the qzxw vkjq zpqv wxkz jvbq"
+    missed = F.pmod(F.xxhash64(F.col("id"), F.lit(far), F.lit("en")), F.lit(4)) != 0
+    text = F.when(missed & (F.col("id") < 430), far).otherwise(clean)
+    rows = spark.range(0, 16_000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    n_far = rows.where(F.col("text") == far).count()
+    assert 250 < n_far < 400
+    profiles = language.learn(rows)
+    floors = language.score_floors(rows, profiles)["en"]
+    parts = [(t[:n], w) for t, w in ((clean, 16_000 - n_far), (far, n_far)) for n in (16, len(t))]
+    _, scores, n_grams = language._compared([t.encode() for t, _ in parts], profiles, language.PROFILE)
+    steps, classes = np.rint(scores * language.STEPS), language._class(n_grams)
+    for c in set(classes.tolist()):
+        of_class = np.repeat(steps[classes == c], [w for (_, w), k in zip(parts, classes, strict=True) if k == c])
+        assert floors[c] == pytest.approx(language.MARGIN * np.quantile(of_class, language.LOWEST) / language.STEPS)
+    assert language.score_floors(rows.repartition(3), profiles)["en"].tolist() == floors.tolist()
