@@ -136,3 +136,37 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _M1
     x = (x ^ (x >> np.uint64(29))) * _M2
     return x ^ (x >> np.uint64(32))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACE)] = True
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 64  # bytes of words that are hashed one at a time
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's words in order, A-Z in lower case; all words of a stretch at once."""
+    parts = [np.zeros(0, np.uint64), *(_hashed(stretch.lower()) for stretch in stretches(text or b""))]
+    return np.concatenate(parts) if len(parts) > 2 else parts[-1]
+
+
+def _hashed(text: bytes) -> np.ndarray:
+    blank = np.ones(len(text) + 2, bool)
+    blank[1:-1] = _BLANK[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    # The eight bytes from every place on. Sizes count, so what is cut off by zeros is no other word.
+    eight = np.ndarray(len(text) + 1, "<u8", buffer=text + bytes(8), strides=(1,))
+    found = eight[starts] & _FIRST[np.minimum(sizes, 8)]
+    found = mixed_bits(found + sizes.astype(np.uint64) * _ODD)
+    longer, at = np.flatnonzero(sizes > 8), 8
+    while len(longer) and at < _LONG:
+        left = sizes[longer] - at
+        more = eight[starts[longer] + at] & _FIRST[np.minimum(left, 8)]
+        found[longer] = mixed_bits(found[longer] * _ODD + more)
+        longer, at = longer[left > 8], at + 8
+    for i in longer:
+        found[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+    return found

@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import (
     KEY,
     WORD,
-    WordHashes,
     components,
     document_key,
     mixed_bits,
     release_memory,
+    word_hashes,
 )
 from shelfmark.sources.tables import materialize, small_side
 
@@ -69,8 +69,10 @@ def shingles(words: np.ndarray) -> np.ndarray:
     n = len(words) - width + 1
     found = np.full(n, width, np.uint64)
     for k in range(width):
-        found = mixed_bits(found + words[k : k + n] * _STEPS[k])
-    return np.unique(found)
+        found += words[k : k + n] * _STEPS[k]
+    found = mixed_bits(found)
+    found.sort()
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 def _class_of(found: np.ndarray) -> int:
@@ -87,12 +89,11 @@ def describe(docs: DataFrame) -> DataFrame:
     """(key, doc, n, class, smallest) per document and, with `part`, the counters of a sketch."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         counters = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             n, number, least, held, size = [], [], [], [], 0
             for text in batch.column("text"):
-                found = shingles(known.of(text.as_py()))
+                found = shingles(word_hashes(text.as_py()))
                 held.append((found >> np.uint64(64 - 18)).astype(np.int32))
                 size += len(found)
                 if size > BUFFER:
@@ -244,11 +245,11 @@ def _of_classes(
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        known, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             number, size, found, held = [], [], [], 0
             for text in batch.column("text"):
-                members = shingles(known.of(text.as_py()))
+                members = shingles(word_hashes(text.as_py()))
                 # Rows equal in id and text give the same set: once per task is enough.
                 if (own := _class_of(members)) in seen:
                     continue
@@ -321,8 +322,11 @@ def _index(docs: DataFrame, roots: DataFrame, sketch: np.ndarray, segments: int)
         n = len(found)
         often = sketch[(found >> np.uint64(64 - 18)).astype(np.int64)]
         size = n - -(-NUM * n // DEN) + 1
-        order = np.lexsort((found, often))[:size]
+        # `found` is in order already.
+        order = np.argsort(often, kind="stable")[:size]
         lists, at, often = found[order], np.arange(size), often[order]
+        if often[-1] - usual <= STRIPE:
+            return lists, at
         stripes = -(-np.maximum(often - usual, 0) // STRIPE)
         for i in np.flatnonzero(stripes > 1):
             # This entry's stripe meets every stripe, itself included.
@@ -337,10 +341,10 @@ def _index(docs: DataFrame, roots: DataFrame, sketch: np.ndarray, segments: int)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        known, seen, held, size = WordHashes(), set(), [], 0
+        seen, held, size = set(), [], 0
         for batch in batches:
             for text, root in zip(batch.column("text"), batch.column("root").to_pylist(), strict=True):
-                found = shingles(known.of(text.as_py()))
+                found = shingles(word_hashes(text.as_py()))
                 if not len(found):
                     continue
                 number = _class_of(found)

@@ -174,3 +174,29 @@ def test_stretches():
     assert [w for p in parts for w in p.split()] == text.split()
     known = common.WordHashes()
     assert (known.of(text) == np.concatenate([known.of(p) for p in parts])).all()
+
+
+def test_hashes_tell_words_apart_as_splitting_does():
+    rng = random.Random(3)
+    letters = "aAbBzZ09.é\x00\x85\xa0"
+    texts = ["", " ", "a", " a\tA\x0b\x0c\r\n a", "x" * 8 + " " + "x" * 9 + " " + "x" * 8 + "\0", "é" * 700 + " " + "é" * 699]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.choice([1, 2, 7, 8, 9, 16, 17, 40, 300]))) for _ in range(200)) for _ in range(20)]
+    seen = {}
+    for text in texts:
+        words = text.encode().lower().split()
+        found = common.word_hashes(text.encode())
+        assert found.dtype == np.uint64 and len(found) == len(words)
+        for word, h in zip(words, found.tolist(), strict=True):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert len(common.word_hashes(None)) == 0
+
+
+def test_hashing_does_not_go_word_by_word(monkeypatch):
+    """100,000 distinct words: one call of the hash library for each would be too many."""
+    calls = []
+    whole = common.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(common.xxhash, "xxh3_64_intdigest", lambda w: calls.append(1) or whole(w))
+    text = " ".join(f"word{i}" for i in range(100_000)).encode()
+    assert len(jaccard.shingles(common.word_hashes(text))) == 99_996
+    assert not calls
