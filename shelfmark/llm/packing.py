@@ -38,6 +38,8 @@ from shelfmark.sources.tables import materialize
 
 CAPACITY = 4096
 END = 1
+ENTRY = 16  # bytes of a length and a number
+BROADCAST = 256 << 20
 WORDS_KEPT = 200_000  # by a task
 STRETCH = 2 << 20  # bytes of text that are looked up at once
 
@@ -296,6 +298,20 @@ def place(runs: list[Run]) -> Column:
     return placed.asNondeterministic()(F.col("length"), F.col("rank"))
 
 
+def _before(counts: DataFrame, capacity: int) -> DataFrame:
+    """(task, before): how many pieces of each of its lengths the tasks before it cut.
+
+    A row per task, of at most `capacity` entries, goes to all executors, so that pieces and their ids are
+    not shuffled; beyond `BROADCAST` bytes of entries the join is a shuffle.
+    """
+    ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(ahead), F.lit(0))
+    listed = counts.select("task", F.struct("length", before.alias("before")).alias("entry"))
+    rows = listed.groupBy("task").agg(F.map_from_entries(F.collect_list("entry")).alias("before"))
+    written = materialize(rows, "packing-before")
+    return F.broadcast(written) if counts.count() * ENTRY <= BROADCAST else written.hint("shuffle_hash")
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -307,17 +323,15 @@ def pack(
 
     With `keep_ids` also `ids`, little-endian unsigned 32-bit. `docs` needs `doc_id` and `text`.
     """
-    pieces = materialize(cut(docs, tokenizer_path, capacity, end_id, keep_ids), "packing-pieces")
+    # Ids are most of a piece; they are written for this plan alone.
+    options = {"compression": "zstd"} if keep_ids else None
+    pieces = materialize(cut(docs, tokenizer_path, capacity, end_id, keep_ids), "packing-pieces", options)
     counts = pieces.groupBy("task", "length").agg((F.max("number") + 1).alias("n"))
     counts = materialize(counts, "packing-counts")
     # At most `capacity` rows.
     histogram = dict(counts.groupBy("length").agg(F.sum("n")).collect())
-    ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(
-        "task", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")
-    )
-    ranked = pieces.join(before, ["task", "length"]).withColumn(
-        "rank", F.col("before") + F.col("number")
+    ranked = pieces.join(_before(counts, capacity), "task").withColumn(
+        "rank", F.col("number") + F.element_at("before", F.col("length"))
     )
     found = ranked.withColumn("__place", place(plan_runs(histogram, capacity)))
     return found.select(

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from shelfmark.llm import common, packing
+from conftest import SMALL
 
 
 def spread(runs):
@@ -118,3 +119,24 @@ def test_stretches_of_a_long_text(spark, tokenizer, monkeypatch):
     whole = b"".join(x for _, _, x in packing.pieces_of([text], words, 4096, 1))
     monkeypatch.setattr(packing, "stretches", lambda t: common.stretches(t, 100))
     assert b"".join(x for _, _, x in packing.pieces_of([text], words, 4096, 1)) == whole
+
+
+@pytest.mark.parametrize("most", [packing.BROADCAST, 0])
+def test_ids_are_not_shuffled_while_places_fit_a_broadcast(spark, monkeypatch, most):
+    """Also where tables are too large for Spark to broadcast them by itself."""
+    monkeypatch.setattr(packing, "BROADCAST", most)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(6)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = packing.pack(docs, packing.vocabulary(), keep_ids=True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.select("sequence_id", "offset", "length").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert ("hashpartitioning" in plan) == (most == 0)
+    ends = {}
+    for sequence, offset, length in sorted(rows):
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + length
+    assert max(ends.values()) <= 4096
