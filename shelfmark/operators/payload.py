@@ -61,7 +61,7 @@ def _as_read(ddl: str) -> str:
 def whole_number(text: Column) -> Column:
     """Text as bigint: digits to the last one, also `4.0`; anything else is null."""
     digits = F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text.try_cast("bigint"))
-    return F.coalesce(digits, F.when(digits.isNull(), to_int_nullable(to_number(text))))
+    return F.coalesce(digits, to_int_nullable(to_number(text)))
 
 
 def _converted(ddl: str, of: str) -> list[Column]:

@@ -2,11 +2,12 @@ import json
 import uuid
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark import session
-from shelfmark.sources import bronze, footers, snapshots, tables
+from shelfmark.sources import bronze, fixtures, footers, snapshots, tables
 
 
 def test_union_of_agreeing_runs(spark, tmp_path):
@@ -381,3 +382,32 @@ def test_snapshots_do_not_grow_and_take_new_columns(spark, tmp_path):
     assert [r["maker"] for r in after.where("product_id = 3").orderBy("valid_from").collect()] == [None, "m"]
     last = record(10, rows)
     assert "maker" in last.columns and last.where("valid_to IS NULL").count() == 50
+
+
+@pytest.mark.parametrize("groups", [1, 4])
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, tmp_path, monkeypatch, groups):
+    """Row groups too large for a task are dealt out; others are read as they lie, one to a task."""
+    monkeypatch.setattr(fixtures, "ROW_GROUP_BYTES", 0)
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 1_500)
+    lines = pq.read_table("/root/testdata/sf0.001/lineitem.parquet")
+    pq.write_table(lines, tmp_path / "lineitem.parquet", row_group_size=-(-len(lines) // groups))
+    monkeypatch.setattr(fixtures, "file_bytes", lambda df: 1)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert int(size) <= 16 << 20
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16k")
+    try:
+        found = fixtures.table(spark, str(tmp_path), "lineitem")
+        tasks = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found.count() == len(lines)
+    assert tasks <= 1_600
+    assert ("Exchange" in plan) == (groups == 1)
+
+
+def test_conversions_of_a_response_are_generated_in_pieces(spark):
+    """One method for all columns of a listing would be too large for the JVM to compile."""
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
