@@ -36,10 +36,20 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+# What a task holds besides its operators: a batch on both sides of Python, the rows that a Parquet
+# reader decodes at once, and the row group that a writer fills before it goes to disk.
+SMALL = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "parquet.block.size": str(16 << 20),
+}
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Hand documents to Python a few megabytes at a time; a batch is held by both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    """Read, hand to Python and write documents a few megabytes at a time."""
+    for key, value in SMALL.items():
+        spark.conf.set(key, value)
     return spark
 
 

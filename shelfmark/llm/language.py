@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import stretches
+from shelfmark.llm.common import release_memory, stretches
 
 PROFILE = 400
 UNKNOWN = "und"
-STRETCH = 1 << 20  # bytes of text whose n-grams are held at once
-HELD = 16 << 20  # bytes of text that are counted before the counts are sent on
-ROWS = 500  # texts that are compared at once
+# Two workers share an executor with its JVM: together these keep one below 100 MB over its imports.
+STRETCH = 1 << 18  # bytes of text whose n-grams are held at once
+HELD = 4 << 20  # bytes of text that are counted before the counts are sent on
+ROWS = 100  # texts that are compared at once
 
 HEADS = (16, 64, 256, 1024, 4096)
 LOWEST = 0.01
@@ -108,6 +109,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of (lang, text)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         held: dict[str, list[bytes]] = {}
         size = 0
         for batch in batches:
@@ -181,6 +183,7 @@ def language_of(text: Column, profiles: dict[str, np.ndarray], size: int = PROFI
 
     @F.pandas_udf("lang_pred string, score double")
     def nearest(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_memory()
         for part in parts:
             found = [
                 _nearest(list(part.iloc[i : i + ROWS]), profiles, size)
@@ -214,6 +217,7 @@ def score_floors(
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             texts = batch.column("text")
             for i in range(0, len(texts), ROWS):
@@ -258,6 +262,7 @@ def keep_known(docs: DataFrame, size: int = PROFILE) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def known(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_memory()
         for part in parts:
             found = [near(list(part.iloc[i : i + ROWS])) for i in range(0, len(part), ROWS)]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0, bool))

@@ -1,11 +1,13 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language
+from shelfmark.llm import common, language
 from shelfmark.llm.queries import op4_language
 from conftest import SMALL
 
@@ -124,3 +126,30 @@ def test_every_labelled_text_counts_for_the_floors(spark):
         of_class = np.repeat(steps[classes == c], [w for (_, w), k in zip(parts, classes, strict=True) if k == c])
         assert floors[c] == pytest.approx(language.MARGIN * np.quantile(of_class, language.LOWEST) / language.STEPS)
     assert language.score_floors(rows.repartition(3), profiles)["en"].tolist() == floors.tolist()
+
+
+def test_memory_of_a_task_is_bounded():
+    """Two workers share 3,000 MB with their JVM; what is held does not follow the texts."""
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz    "))
+    texts = ["".join(rng.choice(letters, 4000)).encode() for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        language.gram_counts(texts)
+        counted = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counted < 50 << 20
+    assert language.HELD <= 4 << 20 and language.ROWS <= 100
+
+
+def test_documents_reach_python_in_small_batches(spark):
+    docs = spark.range(4000).select(F.expr("repeat('word ', 1000)").alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    common.small_batches(spark)
+    found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) >= 4000 * 5000 and max(found) <= 5 << 20
