@@ -26,11 +26,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import release_memory, stretches
@@ -42,6 +41,7 @@ ENTRY = 16  # bytes of a length and a number
 BROADCAST = 256 << 20
 WORDS_KEPT = 200_000  # by a task
 STRETCH = 2 << 20  # bytes of text that are looked up at once
+HELD = 2 << 20  # bytes of ids that are held before they are sent on
 
 _MARKS = tuple(",.;:!?")
 
@@ -177,7 +177,7 @@ def cut(
                 numbers[n] += 1
                 start += n
                 held += len(ids) if keep_ids else 0
-                if held > 8 << 20:
+                if held > HELD:
                     yield record(batch, rows, task)
                     rows, held = [], 0
             yield record(batch, rows, task)
@@ -277,25 +277,24 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     return runs
 
 
-def place(runs: list[Run]) -> Column:
-    """A struct of `sequence_id` and `offset` for columns `length` and `rank`."""
-    ordered = sorted(runs, key=lambda r: (r.length, r.first))
-    table = np.array(
-        [(r.length, r.first, r.each, r.sequence, r.offset) for r in ordered], np.int64
-    ).reshape(-1, 5)
-    keys = table[:, 0] << 48 | table[:, 1]
+def place(ranked: DataFrame, runs: list[Run]) -> DataFrame:
+    """The rows with `sequence_id` and `offset` for their `length` and `rank`.
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        at = np.searchsorted(keys, length << 48 | rank, side="right") - 1
-        _, first, each, sequence, offset = table[at].T
-        i = rank - first
-        return pd.DataFrame(
-            {"sequence_id": sequence + i // each, "offset": offset + i % each * length}
-        )
-
-    return placed.asNondeterministic()(F.col("length"), F.col("rank"))
+    A length has few runs, and at most `capacity` lists of them go to all executors. The rows stay where
+    they are: handed to Python, they would wait on disk with all that the rank was made from.
+    """
+    by_length: dict[int, list[tuple[int, int, int, int]]] = {}
+    for r in sorted(runs, key=lambda r: (r.length, r.first)):
+        by_length.setdefault(r.length, []).append((r.first, r.each, r.sequence, r.offset))
+    schema = "length long, runs array<struct<first: long, each: long, sequence: long, offset: long>>"
+    listed = ranked.sparkSession.createDataFrame(list(by_length.items()), schema)
+    of_rank = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
+    found = ranked.join(F.broadcast(listed), "length").withColumn("__run", of_rank)
+    i = F.col("rank") - F.col("__run.first")
+    return found.withColumns({
+        "sequence_id": F.col("__run.sequence") + F.expr("(rank - __run.first) div __run.each"),
+        "offset": F.col("__run.offset") + i % F.col("__run.each") * F.col("length"),
+    })
 
 
 def _before(counts: DataFrame, capacity: int) -> DataFrame:
@@ -333,8 +332,7 @@ def pack(
     ranked = pieces.join(_before(counts, capacity), "task").withColumn(
         "rank", F.col("number") + F.element_at("before", F.col("length"))
     )
-    found = ranked.withColumn("__place", place(plan_runs(histogram, capacity)))
-    return found.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "__place.sequence_id", "__place.offset",
+    return place(ranked, plan_runs(histogram, capacity)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
         *(["ids"] if keep_ids else []),
     )

@@ -140,3 +140,16 @@ def test_ids_are_not_shuffled_while_places_fit_a_broadcast(spark, monkeypatch, m
         assert offset == ends.get(sequence, 0)
         ends[sequence] = offset + length
     assert max(ends.values()) <= 4096
+
+
+def test_rows_that_are_placed_do_not_wait_for_python(spark):
+    """A row waited there on disk with the map of its task, up to 64 KB that its rank was made from."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 40)) for i in range(300)], "doc_id long, text string")
+    found = packing.pack(docs, packing.vocabulary())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    ends = {}
+    for row in sorted(found.collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert row.offset == ends.get(row.sequence_id, 0)
+        ends[row.sequence_id] = row.offset + row.length
+    assert len(found.columns) == 7 and all(n <= packing.CAPACITY for n in ends.values())
