@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import KEY, SPACE, TEXT, document_key, nullable
+from shelfmark.llm.common import KEY, SPACE, TEXT, document_key, nullable, release_memory
 from shelfmark.sources.tables import materialize
 
 MIN_LENGTH = 40  # code points of a key
@@ -45,6 +45,7 @@ def lines(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """One row per line whose key is long enough: its hash, document and position."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             doc, key = batch.column("doc"), batch.column("key")
             row, at, digest = [], [], []
@@ -107,6 +108,7 @@ def _stream(min_documents: int):
         )
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         state = None  # the run that is being read
         first = True
 
@@ -230,6 +232,7 @@ def keep_bitmaps(
     """`doc`, `key`, `bitmap` for the documents that lose lines; `document_key` gives the key."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             maps = pa.array([pack(x) for x in batch.column("ats").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -266,6 +269,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             found = [
                 kept_text(text.as_py() or b"", bitmap.as_py())
